@@ -67,3 +67,9 @@ def searchsorted(x: Column, bounds: list, cast: str | None = None) -> Column:
         return F.when(x <= lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
     return build(0, len(bounds))
+
+
+def fixed(x: Column, decimals: int) -> Column:
+    """``x`` as text with ``decimals`` places, correctly rounded from the binary
+    value (like Python's ``f"{x:.2f}"``); no grouping commas."""
+    return F.regexp_replace(F.format_number(x, decimals), ",", "")

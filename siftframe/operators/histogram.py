@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftframe.functions.binning import bin_index, edge, widened
 from siftframe.functions.classify import classify, measure_columns
-from siftframe.functions.exprs import as_double
+from siftframe.functions.exprs import as_double, fixed
 from siftframe.plans.quantiles import quantiles
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
@@ -95,7 +95,7 @@ def distribution(df: DataFrame, cols: list[str] | None = None, settings: Setting
     plan = fd_bins(df, cols, settings)
     counts = binned_counts(df, {c: (lo, hi, k) for c, (_, _, lo, hi, k) in plan.items()})
     return counts.select("column_name", "bin", "lower", "upper",
-                         F.format_string("%.2f-%.2f", "lower", "upper").alias("label"), "count")
+                         F.concat(fixed(F.col("lower"), 2), F.lit("-"), fixed(F.col("upper"), 2)).alias("label"), "count")
 
 
 def histogram_series(df: DataFrame, cols: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:
@@ -113,4 +113,4 @@ def histogram_series(df: DataFrame, cols: list[str] | None = None, settings: Set
         plan[c] = (rng[c]["lo"], rng[c]["hi"], k)
     counts = binned_counts(df, plan)
     return counts.select("column_name", "bin", "lower",
-                         F.format_string("%.1f", "lower").alias("label"), "count")
+                         fixed(F.col("lower"), 1).alias("label"), "count")
