@@ -1,2 +1,282 @@
-QUERIES = {}
-ORACLES = {}
+"""Checks for the cleaning steps and pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftframe.operators.dates import convert_dates, sniff_date_columns
+from siftframe.operators.features import date_parts, drop_all_null_columns, infinities_to_null, unit_price
+from siftframe.operators.impute import impute
+from siftframe.operators.narrow import float_errors, footprint, integer_plan
+from siftframe.operators.outliers import flag_outliers, iqr_bounds, outlier_count_frame
+from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
+from siftframe.plans.pipeline import clean, clean_summary
+from siftframe.suite.common import (DIRTY_ORDERS, LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
+                                    sql_from, table, union_all)
+
+PADDED_PART = [
+    "p_partkey",
+    "CASE WHEN p_partkey % 5 = 0 THEN 'nan' WHEN p_partkey % 5 = 1 THEN concat(chr(9), ' ', p_name, ' ', chr(10))"
+    " ELSE p_name END AS p_name",
+    "CASE WHEN p_partkey % 7 = 0 THEN '   ' ELSE concat(p_brand, '  ') END AS p_brand",
+    "p_size",
+]
+GAPPY_QUANTITY = ["l_orderkey", "l_linenumber",
+                  "CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity"]
+GAPPY_VALUE = ["event_id", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value"]
+GAPPY_PRIORITY = ["o_orderkey", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority"]
+FEW_TS_GAPS = ["event_id", "CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS ts", "value"]
+MANY_TS_GAPS = ["event_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS ts"]
+DATE_TEXT = ["o_orderkey",
+             "CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS o_orderdate"]
+PRICE_QTY = ["l_orderkey", "l_linenumber", "l_extendedprice AS price",
+             "CASE WHEN l_orderkey % 11 = 0 THEN 0.0 ELSE l_quantity END AS quantity"]
+WITH_INF = ["event_id", "CASE WHEN event_id % 13 = 0 THEN CAST('inf' AS DOUBLE) "
+            "WHEN event_id % 17 = 0 THEN CAST('-inf' AS DOUBLE) ELSE value END AS value"]
+WITH_EMPTY = ["o_orderkey", "o_orderstatus", "CAST(NULL AS DOUBLE) AS empty_col", "o_totalprice"]
+
+
+def q_standardize_columns(spark, sf):
+    df = table(spark, sf, "region").toDF("R RegionKey", " r-Name! ")
+    return standardize_columns(df)[0]
+
+
+def q_trim_strings(spark, sf):
+    return trim_strings(dirty(spark, sf, "part", PADDED_PART))[0]
+
+
+def q_drop_duplicates(spark, sf):
+    return drop_duplicates(dirty(spark, sf, "lineitem", LINEITEM_NO_KEYS))[0]
+
+
+def q_impute_mean(spark, sf):
+    out = impute(dirty(spark, sf, "lineitem", GAPPY_QUANTITY))[0]
+    return out.withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+def q_impute_median(spark, sf):
+    return impute(dirty(spark, sf, "events", GAPPY_VALUE))[0]
+
+
+def q_impute_mode(spark, sf):
+    return impute(dirty(spark, sf, "orders", GAPPY_PRIORITY))[0]
+
+
+def q_drop_missing_datetime(spark, sf):
+    return impute(dirty(spark, sf, "events", FEW_TS_GAPS))[0]
+
+
+def q_forward_fill(spark, sf):
+    return impute(dirty(spark, sf, "events", MANY_TS_GAPS), order_by=["event_id"])[0]
+
+
+def q_convert_dates(spark, sf):
+    df = dirty(spark, sf, "orders", DATE_TEXT)
+    fmts = sniff_date_columns(df)
+    return convert_dates(df, {c: f for c, (f, _) in fmts.items()})[0]
+
+
+def q_iqr_bounds(spark, sf):
+    b = iqr_bounds(table(spark, sf, "events"))
+    return b.select("column_name", *[F.round(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
+
+
+def q_flag_outliers(spark, sf):
+    return flag_outliers(table(spark, sf, "events"))[0]
+
+
+def q_outlier_counts(spark, sf):
+    return outlier_count_frame(table(spark, sf, "documents"))
+
+
+def q_outlier_counts_labels(spark, sf):
+    return outlier_count_frame(table(spark, sf, "labels"))
+
+
+def q_narrow_integers(spark, sf):
+    plan = integer_plan(table(spark, sf, "lineitem"))
+    return spark.createDataFrame([(c, lo, hi, t) for c, (lo, hi, t) in plan.items()],
+                                 "column_name string, min long, max long, narrowed_type string")
+
+
+def q_narrow_floats(spark, sf):
+    errs = float_errors(table(spark, sf, "lineitem"))
+    df = spark.createDataFrame([(c, e) for c, e in errs.items()], "column_name string, max_error double")
+    return df.select("column_name", F.round("max_error", 8).alias("max_error"),
+                     (F.col("max_error") <= 5e-4).alias("narrowed"))
+
+
+def q_footprint(spark, sf):
+    return footprint(table(spark, sf, "lineitem"))
+
+
+def q_date_parts(spark, sf):
+    return date_parts(table(spark, sf, "orders"))[0]
+
+
+def q_unit_price(spark, sf):
+    return unit_price(dirty(spark, sf, "lineitem", PRICE_QTY))[0]
+
+
+def q_infinities_to_null(spark, sf):
+    return infinities_to_null(dirty(spark, sf, "events", WITH_INF))[0]
+
+
+def q_drop_all_null_columns(spark, sf):
+    return drop_all_null_columns(dirty(spark, sf, "orders", WITH_EMPTY))[0]
+
+
+def q_clean_pipeline(spark, sf):
+    out = clean(dirty_orders(spark, sf)).df
+    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+def q_clean_summary(spark, sf):
+    before = dirty_orders(spark, sf)
+    return clean_summary(before, clean(before)).drop("steps_applied")
+
+
+def q_clean_log(spark, sf):
+    return clean(dirty_orders(spark, sf)).log
+
+
+QUERIES = {
+    "standardize_columns": q_standardize_columns,
+    "trim_strings": q_trim_strings,
+    "drop_duplicates": q_drop_duplicates,
+    "impute_mean": q_impute_mean,
+    "impute_median": q_impute_median,
+    "impute_mode": q_impute_mode,
+    "drop_missing_datetime": q_drop_missing_datetime,
+    "forward_fill": q_forward_fill,
+    "convert_dates": q_convert_dates,
+    "iqr_bounds": q_iqr_bounds,
+    "flag_outliers": q_flag_outliers,
+    "outlier_counts": q_outlier_counts,
+    "outlier_counts_labels": q_outlier_counts_labels,
+    "narrow_integers": q_narrow_integers,
+    "narrow_floats": q_narrow_floats,
+    "footprint": q_footprint,
+    "date_parts": q_date_parts,
+    "unit_price": q_unit_price,
+    "infinities_to_null": q_infinities_to_null,
+    "drop_all_null_columns": q_drop_all_null_columns,
+    "clean_pipeline": q_clean_pipeline,
+    "clean_summary": q_clean_summary,
+    "clean_log": q_clean_log,
+}
+
+
+def _sql_trim(x: str) -> str:
+    t = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {t} IN ('nan', 'None', '') THEN NULL ELSE {t} END"
+
+
+def _sql_fences(tbl: str, cols: list[str]) -> str:
+    return union_all([
+        f"""SELECT '{c}' AS column_name, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower,
+  q3 + 1.5 * (q3 - q1) AS upper FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
+  quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM {tbl}) WHERE q3 - q1 <> 0""" for c in cols])
+
+
+def _sql_outlier_counts(tbl: str, cols: list[str]) -> str:
+    return union_all([
+        f"""SELECT f.column_name, count_if(CAST(t.{c} AS DOUBLE) < f.lower OR CAST(t.{c} AS DOUBLE) > f.upper)
+  AS outliers FROM {tbl} t, ({_sql_fences(tbl, [c])}) f GROUP BY f.column_name""" for c in cols])
+
+
+_LINEITEM_INTS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_LINEITEM_DBL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_WIDTHS = {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4, "l_quantity": 8,
+           "l_extendedprice": 8, "l_discount": 8, "l_tax": 8, "l_shipdate": 8}
+_LINEITEM_COLS = _LINEITEM_INTS + _LINEITEM_DBL + ["l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _sql_int_type(lo: str, hi: str) -> str:
+    return (f"CASE WHEN {lo} >= -128 AND {hi} <= 127 THEN 'tinyint' WHEN {lo} >= -32768 AND {hi} <= 32767 "
+            f"THEN 'smallint' WHEN {lo} >= -2147483648 AND {hi} <= 2147483647 THEN 'int' ELSE 'bigint' END")
+
+
+def _sql_pipeline() -> str:
+    """The cleaning pipeline restated as SQL over the same dirty orders."""
+    return f"""WITH raw AS (SELECT DISTINCT o_orderkey, o_custkey,
+    CASE WHEN trim(o_orderstatus, ' ' || chr(9)) IN ('nan', 'None', '') THEN NULL
+         ELSE trim(o_orderstatus, ' ' || chr(9)) END AS o_orderstatus,
+    o_totalprice, o_orderdate, o_orderpriority, extra_empty FROM {SQL_DIRTY_ORDERS}),
+st AS (SELECT skewness(o_totalprice) AS sk, avg(o_totalprice) AS mean,
+    quantile_cont(o_totalprice, 0.5) AS med FROM raw),
+md AS (SELECT o_orderpriority AS mode FROM raw WHERE o_orderpriority IS NOT NULL
+    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+imp AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+    coalesce(o_totalprice, CASE WHEN abs(st.sk) > 1 THEN st.med ELSE st.mean END) AS o_totalprice,
+    try_strptime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+    coalesce(o_orderpriority, md.mode) AS o_orderpriority
+  FROM raw, st, md),
+f AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM imp)
+SELECT CAST(o_orderkey AS SMALLINT) AS o_orderkey, CAST(o_custkey AS SMALLINT) AS o_custkey, o_orderstatus,
+  round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority,
+  CAST(CASE WHEN o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END
+       AS TINYINT) AS is_outlier_o_totalprice,
+  CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
+  CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day
+FROM imp, f"""
+
+
+def _sql_summary() -> str:
+    p = _sql_pipeline()
+    before = ("SELECT count(*) * (8 + 8 + 8 + 8) + coalesce(sum(strlen(o_orderstatus)), 0) "
+              "+ coalesce(sum(strlen(o_orderdate)), 0) + coalesce(sum(strlen(o_orderpriority)), 0) AS b "
+              f"FROM {SQL_DIRTY_ORDERS}")
+    after = ("SELECT count(*) AS n, sum(is_outlier_o_totalprice) AS o, count(*) * (2 + 2 + 8 + 8 + 1 + 4 + 4 + 4) "
+             "+ coalesce(sum(strlen(o_orderstatus)), 0) + coalesce(sum(strlen(o_orderpriority)), 0) AS b "
+             f"FROM ({p})")
+    return f"""WITH b0 AS ({before}), a AS ({after})
+SELECT CAST(a.o AS BIGINT) AS outliers_total, CAST(CASE WHEN a.o > 0 THEN 1 ELSE 0 END AS INTEGER) AS outlier_columns,
+  a.n AS rows_after, CAST(10 AS INTEGER) AS columns_after, CAST(b0.b AS BIGINT) AS bytes_before,
+  CAST(a.b AS BIGINT) AS bytes_after, round((b0.b - a.b) / (1024.0 * 1024.0), 2) AS bytes_saved_mb
+FROM b0, a"""
+
+
+ORACLES = {
+    "standardize_columns": "SELECT r_regionkey, r_name FROM region",
+    "trim_strings": f"""SELECT p_partkey, {_sql_trim('p_name')} AS p_name, {_sql_trim('p_brand')} AS p_brand, p_size
+FROM {sql_from('part', PADDED_PART)}""",
+    "drop_duplicates": f"SELECT DISTINCT * FROM {sql_from('lineitem', LINEITEM_NO_KEYS)}",
+    "impute_mean": f"""SELECT l_orderkey, l_linenumber,
+  round(coalesce(l_quantity, CASE WHEN abs(skewness(l_quantity) OVER ()) > 1 THEN median(l_quantity) OVER ()
+        ELSE avg(l_quantity) OVER () END), 6) AS l_quantity FROM {sql_from('lineitem', GAPPY_QUANTITY)}""",
+    "impute_median": f"""SELECT event_id,
+  coalesce(value, CASE WHEN abs(skewness(value) OVER ()) > 1 THEN quantile_cont(value, 0.5) OVER ()
+        ELSE avg(value) OVER () END) AS value FROM {sql_from('events', GAPPY_VALUE)}""",
+    "impute_mode": f"""WITH t AS {sql_from('orders', GAPPY_PRIORITY)},
+m AS (SELECT o_orderpriority AS v FROM t WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT o_orderkey, coalesce(o_orderpriority, m.v) AS o_orderpriority FROM t, m""",
+    "drop_missing_datetime": f"SELECT * FROM {sql_from('events', FEW_TS_GAPS)} WHERE ts IS NOT NULL",
+    "forward_fill": f"""SELECT event_id, last_value(ts IGNORE NULLS) OVER (ORDER BY event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts FROM {sql_from('events', MANY_TS_GAPS)}""",
+    "convert_dates": f"SELECT o_orderkey, try_strptime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM {sql_from('orders', DATE_TEXT)}",
+    "iqr_bounds": f"""SELECT column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+  round(lower, 6) AS lower, round(upper, 6) AS upper FROM ({_sql_fences('events', ['event_id', 'user_id', 'value'])})""",
+    "flag_outliers": f"""SELECT e.*, CAST(CASE WHEN value < f.lower OR value > f.upper THEN 1 ELSE 0 END AS TINYINT)
+  AS is_outlier_value FROM events e, ({_sql_fences('events', ['value'])}) f""",
+    "outlier_counts": _sql_outlier_counts("documents", ["doc_id", "n_chars"]),
+    "outlier_counts_labels": _sql_outlier_counts("labels", ["doc_id", "quality", "toxic"]),
+    "narrow_integers": union_all([
+        f"SELECT '{c}' AS column_name, CAST(min({c}) AS BIGINT) AS min, CAST(max({c}) AS BIGINT) AS max, "
+        f"{_sql_int_type(f'min({c})', f'max({c})')} AS narrowed_type FROM lineitem" for c in _LINEITEM_INTS]),
+    "narrow_floats": union_all([
+        f"SELECT '{c}' AS column_name, round(max(abs({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE))), 8) AS max_error, "
+        f"max(abs({c} - CAST(CAST({c} AS FLOAT) AS DOUBLE))) <= 0.0005 AS narrowed FROM lineitem" for c in _LINEITEM_DBL]),
+    "footprint": union_all([
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, "
+        + (f"count(*) * {_WIDTHS[c]}" if c in _WIDTHS else f"coalesce(sum(strlen({c})), 0)")
+        + " AS bytes FROM lineitem" for i, c in enumerate(_LINEITEM_COLS)]),
+    "date_parts": """SELECT *, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year,
+  CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day
+FROM orders""",
+    "unit_price": f"SELECT *, price / nullif(quantity, 0) AS price_per_unit FROM {sql_from('lineitem', PRICE_QTY)}",
+    "infinities_to_null": f"SELECT event_id, CASE WHEN isinf(value) THEN NULL ELSE value END AS value FROM {sql_from('events', WITH_INF)}",
+    "drop_all_null_columns": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
+    "clean_pipeline": _sql_pipeline(),
+    "clean_summary": _sql_summary(),
+}
