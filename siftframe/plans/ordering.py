@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from siftframe.functions.exprs import q, searchsorted
 from siftframe.settings import DEFAULT, Settings
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+_DAY_MICROS = 86_400_000_000
 
 
 def order_value(name: str, dt: T.DataType) -> Column:
@@ -28,7 +28,10 @@ def order_value(name: str, dt: T.DataType) -> Column:
     """
     c = q(name)
     if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{name}`)")
+        # wall-clock fields only: no session time zone is involved
+        return (F.unix_date(F.to_date(c)).cast("long") * _DAY_MICROS
+                + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+                + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dt, T.DateType):
@@ -47,9 +50,15 @@ def _key(df: DataFrame, order_cols: list[str]) -> Column:
     return F.struct(*[order_value(c, types[c]).alias(f"k{j}") for j, c in enumerate(order_cols)])
 
 
+def bucket_count(n: int, settings: Settings) -> int:
+    """Buckets so that each holds about ``order_bucket_rows`` rows (capped)."""
+    return max(1, min(settings.order_buckets, -(-n // settings.order_bucket_rows)))
+
+
 def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings) -> list[tuple]:
-    """Up to ``order_buckets - 1`` composite split keys from a bounded sample."""
-    if n <= 0:
+    """Up to ``bucket_count - 1`` composite split keys from a bounded sample."""
+    want = bucket_count(n, settings)
+    if n <= 0 or want <= 1:
         return []
     target = settings.order_sample_rows
     frac = min(1.0, 2.0 * target / n)
@@ -57,7 +66,7 @@ def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings
     sample = (df.select(_key(df, order_cols).alias("k")).sample(False, frac, seed=20240101)
               .limit(4 * target).collect())
     keys = sorted(tuple(r["k"]) for r in sample if all(v is not None for v in r["k"]))
-    buckets = min(settings.order_buckets, max(1, len(keys) // 16))
+    buckets = min(want, max(1, len(keys) // 16))
     picks = []
     for j in range(1, buckets):
         kv = keys[(j * len(keys)) // buckets]
@@ -66,34 +75,81 @@ def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings
     return picks
 
 
+def _le(keys: list[Column], lits: list[Column]) -> Column:
+    """Lexicographic ``keys <= lits`` on plain columns (no struct per row)."""
+    if len(keys) == 1:
+        return keys[0] <= lits[0]
+    return (keys[0] < lits[0]) | ((keys[0] == lits[0]) & _le(keys[1:], lits[1:]))
+
+
 def _bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple]) -> Column:
+    """Bucket id by a balanced tree over the precomputed ``_ok<j>`` key columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
     if not bounds:
         return F.lit(0)
-    key = _key(df, order_cols)
-    lits = []
-    for b in bounds:
-        fields = []
-        for j, (c, v) in enumerate(zip(order_cols, b)):
-            img = order_value(c, types[c])
-            # literal typed exactly like the key field
-            fields.append(F.lit(v).cast(df.select(img.alias("x")).schema[0].dataType).alias(f"k{j}"))
-        lits.append(F.struct(*fields))
+    key_types = [df.select(order_value(c, types[c]).alias("x")).schema[0].dataType for c in order_cols]
+    keys = [F.col(f"_ok{j}") for j in range(len(order_cols))]
+
+    def lits(b):
+        return [F.lit(v).cast(t) for v, t in zip(b, key_types)]
+
+    if len(bounds) > _TREE_MAX:
+        return _bucket_search(keys, bounds, key_types)
 
     def build(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key <= lits[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
+        return F.when(_le(keys, lits(bounds[mid])), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds))
+
 
-    return build(0, len(lits))
+_TREE_MAX = 63  # larger CASE trees outgrow generated-method limits
+
+
+def _sql_literal(v, t: T.DataType) -> str:
+    """Exact SQL text for a key literal (one parse instead of many API calls)."""
+    if isinstance(t, T.StringType):
+        return f"CAST(X'{str(v).encode('utf-8').hex()}' AS STRING)"
+    if isinstance(t, T.DoubleType):
+        return f"CAST('{float(v)!r}' AS DOUBLE)"
+    return f"CAST({int(v)} AS {t.simpleString().upper()})"
+
+
+def _bucket_search(keys: list[Column], bounds: list[tuple], key_types: list[T.DataType]) -> Column:
+    """Binary search over a constant boundary array: expression size does not
+    grow with the number of buckets; log2(buckets) steps per row."""
+    arr = F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'k{j}', {_sql_literal(v, t)}" for j, (v, t) in enumerate(zip(b, key_types)))
+        + ")" for b in bounds) + ")")
+    n = len(bounds)
+    steps = max(1, n.bit_length())
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        b = F.element_at(arr, mid + 1)
+        le = _le(keys, [b[f"k{j}"] for j in range(len(keys))])
+        return F.when(lo >= hi, acc).otherwise(
+            F.when(le, F.struct(lo.alias("lo"), mid.alias("hi")))
+            .otherwise(F.struct((mid + 1).alias("lo"), hi.alias("hi"))))
+
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
              n: int | None = None, bucket_col: str = "_bkt") -> DataFrame:
     n = df.count() if n is None else n
     bounds = _boundaries(df, order_cols, n, settings)
-    return df.withColumn(bucket_col, _bucket(df, order_cols, bounds))
+    if not bounds:
+        return df.withColumn(bucket_col, F.lit(0))
+    # key images are their own projection, so the search reads plain columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keyed = df.select("*", *[order_value(c, types[c]).alias(f"_ok{j}") for j, c in enumerate(order_cols)])
+    return (keyed.withColumn(bucket_col, _bucket(df, order_cols, bounds))
+            .drop(*[f"_ok{j}" for j in range(len(order_cols))]))
 
 
 def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
