@@ -78,7 +78,8 @@ def pair_rows(cols, rs, n, settings: Settings = DEFAULT) -> list[tuple]:
             if r is None or abs(r) < settings.corr_min_abs:
                 continue
             band = 0.001 if abs(r) > settings.corr_band_strong else 0.049
-            t = r * math.sqrt(n - 2) / math.sqrt(1 - r * r) if n > 2 and abs(r) < 1 else None
+            # a (numerically) perfect fit has no finite t
+            t = r * math.sqrt(n - 2) / math.sqrt(1 - r * r) if n > 2 and 1 - r * r > 1e-12 else None
             found.append((cols[i], cols[j], r, band, n, t))
     found.sort(key=lambda p: -abs(round(p[2], 4)))
     return [(k + 1, *p) for k, p in enumerate(found)]

@@ -54,7 +54,7 @@ def _sql_pairs(tbl: str, cols: list[str]) -> str:
     return f"""SELECT CAST(row_number() OVER (ORDER BY abs(round(r, 4)) DESC, i, j) AS INTEGER) AS rank,
   col1, col2, round(r, 4) AS correlation,
   CASE WHEN abs(r) > 0.8 THEN 0.001 ELSE 0.049 END AS p_band, n,
-  round(r * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t_stat
+  CASE WHEN n > 2 AND 1 - r * r > 1e-12 THEN round(r * sqrt(n - 2) / sqrt(1 - r * r), 4) END AS t_stat
 FROM ({_sql_corr_cells(tbl, cols)}) WHERE i < j AND abs(r) >= 0.05"""
 
 
