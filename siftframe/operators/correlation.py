@@ -11,6 +11,7 @@ from siftframe.functions.classify import classify
 from siftframe.functions.exprs import as_double, safe_corr
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 MATRIX_SCHEMA = "i int, j int, col1 string, col2 string, r double"
 PAIRS_SCHEMA = ("rank int, col1 string, col2 string, correlation double, p_band double, "
@@ -65,7 +66,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
                 continue
             r = rs.get((min(i, j), max(i, j)))
             rows.append((i, j, cols[i], cols[j], r))
-    out = df.sparkSession.createDataFrame(rows, MATRIX_SCHEMA)
+    out = local_frame(df.sparkSession, rows, MATRIX_SCHEMA)
     return out.withColumn("r", F.round("r", 4))
 
 
@@ -93,7 +94,7 @@ def significant_pairs(df: DataFrame, cols: list[str] | None = None,
     and ``t_stat`` let a caller compute a real one.
     """
     cols, rs, n = correlations(df, cols, settings)
-    out = df.sparkSession.createDataFrame(pair_rows(cols, rs, n, settings), PAIRS_SCHEMA)
+    out = local_frame(df.sparkSession, pair_rows(cols, rs, n, settings), PAIRS_SCHEMA)
     return out.withColumn("correlation", F.round("correlation", 4)).withColumn("t_stat", F.round("t_stat", 4))
 
 
@@ -101,5 +102,5 @@ def heatmap_cells(df: DataFrame, cols: list[str] | None = None, settings: Settin
     """Matrix cells for a heatmap; empty unless there are at least two numeric columns."""
     cols = classify(df).numeric if cols is None else cols
     if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], MATRIX_SCHEMA)
+        return local_frame(df.sparkSession, [], MATRIX_SCHEMA)
     return correlation_matrix(df, cols, settings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftframe.functions.classify import classify
 from siftframe.functions.exprs import q
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None, top: int | Non
     top = settings.top_n if top is None else top
     spark = df.sparkSession
     if not cols:
-        return spark.createDataFrame(
+        return local_frame(spark, 
             [], "column_name string, rank int, value string, count long, percentage double, unique_count long")
     vc = value_counts(df, cols)
     w = Window.partitionBy("ci").orderBy(F.desc("count"), F.asc("value"))

@@ -8,12 +8,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.functions.binning import bin_index, edge, widened
+from siftframe.functions.binning import edge, widened
 from siftframe.functions.classify import classify, measure_columns
 from siftframe.functions.exprs import as_double, fixed
 from siftframe.plans.quantiles import quantiles
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 FD_SCHEMA = "column_name string, n long, iqr double, min double, max double, n_bins int"
 
@@ -52,41 +53,58 @@ def fd_bins(df: DataFrame, cols: list[str] | None = None,
 
 def fd_bin_count(df: DataFrame, cols: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:
     plan = fd_bins(df, cols, settings)
-    return df.sparkSession.createDataFrame(
+    return local_frame(df.sparkSession, 
         [(c, n, iqr, lo, hi, k) for c, (n, iqr, lo, hi, k) in plan.items()], FD_SCHEMA)
 
 
 def binned_counts(df: DataFrame, plan: dict[str, tuple[float, float, int]]) -> DataFrame:
     """``(column_name, bin, lower, upper, count)`` for ``{column: (min, max, k)}``.
 
-    Every value gets its bin by arithmetic (no per-bin pass), rows are
-    counted per (column, bin) with partial aggregation, and the small grid of
-    all bins is joined on so empty bins show as 0.
+    All columns are unpivoted into one ``(ci, x, lo, hi, k)`` frame so a single
+    bin rule (computed in successive projections, each step a plain column)
+    serves every column; rows are counted per (column, bin) with partial
+    aggregation, and the small grid of all bins is joined on so empty bins
+    show as 0.
     """
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(plan)
     if not cols:
-        return spark.createDataFrame([], "column_name string, bin int, lower double, upper double, count long")
+        return local_frame(spark, [], "column_name string, bin int, lower double, upper double, count long")
     cells = []
     for i, c in enumerate(cols):
         lo, hi, k = plan[c]
-        wlo, whi = widened(F.lit(float(lo)), F.lit(float(hi)))
-        x = as_double(c, types[c])
-        cells.append(F.struct(F.lit(i).alias("ci"), bin_index(x, wlo, whi, F.lit(k)).cast("int").alias("bin")))
-    counts = (df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
-              .groupBy("ci", "bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = spark.createDataFrame([(i, c, b, float(plan[c][0]), float(plan[c][1]), plan[c][2])
-                                  for i, c in enumerate(cols) for b in range(plan[c][2])],
-                                 "ci int, column_name string, bin int, lo double, hi double, k int")
-    wlo, whi = widened(F.col("lo"), F.col("hi"))
-    k = F.col("k")
-    # ``grid`` is at most columns x max bins rows: safe to broadcast.
-    return (F.broadcast(grid).join(counts, ["ci", "bin"], "left")
-            .select("column_name", "bin",
-                    edge(F.col("bin"), wlo, whi, k).alias("lower"),
-                    edge(F.col("bin") + 1, wlo, whi, k).alias("upper"),
-                    F.coalesce("count", F.lit(0)).cast("long").alias("count"), "ci"))
+        cells.append(F.struct(F.lit(i).alias("ci"), as_double(c, types[c]).alias("x"),
+                              F.lit(float(lo)).alias("lo0"), F.lit(float(hi)).alias("hi0"),
+                              F.lit(int(k)).alias("k")))
+    x, k = F.col("x"), F.col("k")
+    long = df.select(F.inline(F.array(*cells))).where(x.isNotNull())
+    wlo, whi = widened(F.col("lo0"), F.col("hi0"))
+    long = long.select("ci", "x", "k", wlo.alias("lo"), whi.alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    long = long.withColumn("_b0", F.floor((x - lo) * (k / (hi - lo))))
+    long = long.withColumn("_b1", F.when(F.col("_b0") >= k, k - 1).otherwise(F.col("_b0")))
+    long = long.withColumn("_b2", F.when(x < edge(F.col("_b1"), lo, hi, k), F.col("_b1") - 1)
+                           .otherwise(F.col("_b1")))
+    long = long.withColumn("bin", F.when((x >= edge(F.col("_b2") + 1, lo, hi, k)) & (F.col("_b2") != k - 1),
+                                         F.col("_b2") + 1).otherwise(F.col("_b2")).cast("int"))
+    counts = long.groupBy("ci", "bin").agg(F.count(F.lit(1)).alias("count"))
+    # Empty bins: add a zero row per bin and sum. A join here would make the
+    # optimizer infer a NOT NULL filter on ``bin`` and copy the whole bin
+    # rule into it; the union keeps the plan linear.
+    grid = local_frame(spark, [(i, b, 0) for i, c in enumerate(cols) for b in range(plan[c][2])],
+                       "ci int, bin int, count long")
+    names = F.array(*[F.lit(c) for c in cols])
+    los = F.array(*[F.lit(float(plan[c][0])) for c in cols])
+    his = F.array(*[F.lit(float(plan[c][1])) for c in cols])
+    ks = F.array(*[F.lit(int(plan[c][2])) for c in cols])
+    filled = counts.unionByName(grid).groupBy("ci", "bin").agg(F.sum("count").cast("long").alias("count"))
+    pick = F.col("ci") + 1
+    glo, ghi = widened(F.element_at(los, pick), F.element_at(his, pick))
+    gk = F.element_at(ks, pick)
+    return filled.select(F.element_at(names, pick).alias("column_name"), "bin",
+                         edge(F.col("bin"), glo, ghi, gk).alias("lower"),
+                         edge(F.col("bin") + 1, glo, ghi, gk).alias("upper"), "count", "ci")
 
 
 def distribution(df: DataFrame, cols: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:

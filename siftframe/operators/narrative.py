@@ -19,6 +19,7 @@ from siftframe.operators.frequency import frequency_table
 from siftframe.operators.series import linear_trend
 from siftframe.operators.stats import descriptive_stats
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 SENTENCE_SCHEMA = "seq int, kind string, column_name string, sentence string"
 CATALOG_SCHEMA = "seq int, chart_type string, title string, x string, y string"
@@ -81,7 +82,7 @@ def insight_sentences(df: DataFrame, settings: Settings = DEFAULT, tiebreak: lis
     """``(seq, kind, column_name, sentence)``: overview; range (+ skew) per numeric
     column; column with the largest value; strongest pair; top category per
     categorical; trend per datetime x first 2 numerics."""
-    return df.sparkSession.createDataFrame(insight_rows(df, settings, tiebreak), SENTENCE_SCHEMA)
+    return local_frame(df.sparkSession, insight_rows(df, settings, tiebreak), SENTENCE_SCHEMA)
 
 
 def chart_catalog(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -121,4 +122,4 @@ def chart_catalog(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         rows.append(("scatter", f"{p[1]} vs {p[2]} (r = {round(p[3], 4):.2f})", p[1], p[2]))
     if len(kinds.numeric) >= 2:
         rows.append(("heatmap", "correlation matrix", None, None))
-    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], CATALOG_SCHEMA)
+    return local_frame(df.sparkSession, [(i, *r) for i, r in enumerate(rows)], CATALOG_SCHEMA)

@@ -10,6 +10,7 @@ from siftframe.functions.classify import is_integral
 from siftframe.functions.exprs import q
 from siftframe.operators.steplog import LogRow
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 # Signed integer types from narrowest to widest with their ranges.
 INT_TYPES = (
@@ -100,7 +101,7 @@ def footprint(df: DataFrame) -> DataFrame:
             e = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(q(f.name))))), F.lit(0))
         exprs.append(e.cast("long").alias(f"b{i}"))
     if not exprs:
-        return df.sparkSession.createDataFrame([], "position int, column_name string, bytes long")
+        return local_frame(df.sparkSession, [], "position int, column_name string, bytes long")
     wide = df.agg(*exprs)
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.col(f"b{i}").alias("bytes"))

@@ -12,6 +12,7 @@ from siftframe.functions.exprs import as_double, q
 from siftframe.operators.steplog import LogRow
 from siftframe.plans.quantiles import quantiles
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 BOUNDS_SCHEMA = "column_name string, q1 double, q3 double, iqr double, lower double, upper double"
 
@@ -38,7 +39,7 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, settings: Settings
     """(column_name, q1, q3, iqr, lower, upper) per column with a positive IQR."""
     fences = iqr_fences(df, cols, settings)
     rows = [(c, a, b, b - a, lo, hi) for c, (a, b, lo, hi) in fences.items()]
-    return df.sparkSession.createDataFrame(rows, BOUNDS_SCHEMA)
+    return local_frame(df.sparkSession, rows, BOUNDS_SCHEMA)
 
 
 def _outside(df: DataFrame, c: str, lo: float, hi: float):
@@ -61,7 +62,7 @@ def outlier_count_frame(df: DataFrame, cols: list[str] | None = None,
     """(column_name, outliers) for every column with a positive IQR."""
     fences = iqr_fences(df, cols, settings)
     counts = outlier_counts(df, fences)
-    return df.sparkSession.createDataFrame(list(counts.items()), "column_name string, outliers long")
+    return local_frame(df.sparkSession, list(counts.items()), "column_name string, outliers long")
 
 
 def flag_outliers(df: DataFrame, cols: list[str] | None = None,

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from siftframe.functions.classify import classify, kind_of_type
 from siftframe.functions.exprs import q
+from siftframe.plans.local import local_frame
 
 
 def missing_expr(name: str, dt: T.DataType):
@@ -28,7 +29,7 @@ def column_types(df: DataFrame) -> DataFrame:
     """(position, column_name, data_type, kind) from the schema; no scan."""
     rows = [(i, f.name, f.dataType.simpleString(), kind_of_type(f.dataType))
             for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(
+    return local_frame(df.sparkSession, 
         rows, "position int, column_name string, data_type string, kind string")
 
 
@@ -36,7 +37,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     """(position, column_name, missing) from one aggregate, unpivoted to long form."""
     fields = df.schema.fields
     if not fields:
-        return df.sparkSession.createDataFrame([], "position int, column_name string, missing long")
+        return local_frame(df.sparkSession, [], "position int, column_name string, missing long")
     wide = df.agg(*[F.count_if(missing_expr(f.name, f.dataType)).alias(f"m{i}")
                     for i, f in enumerate(fields)])
     return wide.select(F.inline(F.array(*[
@@ -61,7 +62,7 @@ def type_histogram(df: DataFrame) -> DataFrame:
     kinds = [kind_of_type(f.dataType) for f in df.schema.fields]
     order = ["numeric", "categorical", "datetime", "other"]
     rows = [(k, kinds.count(k)) for k in order if kinds.count(k)]
-    return df.sparkSession.createDataFrame(rows, "kind string, n_columns int")
+    return local_frame(df.sparkSession, rows, "kind string, n_columns int")
 
 
 def total_missing(df: DataFrame) -> DataFrame:
@@ -101,4 +102,4 @@ def profile(df: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     extra = [(f"{k}_columns", len(getattr(kinds, k))) for k in ("numeric", "categorical", "datetime")]
-    return out.unionByName(df.sparkSession.createDataFrame(extra, "metric string, value long"))
+    return out.unionByName(local_frame(df.sparkSession, extra, "metric string, value long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftframe.functions.exprs import q
 from siftframe.operators.profile import missing_expr
+from siftframe.plans.local import local_frame
 
 REPORT_SCHEMA = "check string, level string, column_name string, value long, message string"
 
@@ -47,4 +48,4 @@ def quality_report(df: DataFrame) -> DataFrame:
         pct = dup / counts["rows"] * 100
         rows.append(("duplicates", "warning", None, int(dup),
                      f"{dup} duplicate rows ({pct:.1f}% of {counts['rows']})"))
-    return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+    return local_frame(df.sparkSession, rows, REPORT_SCHEMA)

@@ -9,6 +9,7 @@ from siftframe.functions.classify import classify
 from siftframe.functions.exprs import as_double, q
 from siftframe.plans.ordering import with_position
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 
 def _pairs_frame(df: DataFrame, t: str, v: str, tiebreak: list[str]) -> DataFrame:
@@ -28,7 +29,7 @@ def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     pairs = _pairs_frame(df, t, v, list(tiebreak))
     n = pairs.count()
     if n < 2:
-        return df.sparkSession.createDataFrame([], "position long, label string, value double")
+        return local_frame(df.sparkSession, [], "position long, label string, value double")
     step = n // settings.line_max_points if n > settings.line_max_points else 1
     pos = with_position(pairs, order, settings=settings, n=n)
     return (pos.where(F.col("_pos") % step == 0)
@@ -52,7 +53,7 @@ def bar_series(df: DataFrame, cats: list[str] | None = None, nums: list[str] | N
     top = settings.top_n if top is None else top
     spark = df.sparkSession
     if not cats or not nums:
-        return spark.createDataFrame(
+        return local_frame(spark, 
             [], "cat_column string, num_column string, rank int, category string, mean double")
     types = {f.name: f.dataType for f in df.schema.fields}
     numv = [as_double(n, types[n]).alias(f"y{j}") for j, n in enumerate(nums)]
@@ -103,7 +104,7 @@ def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     pairs = _pairs_frame(df, t, v, list(tiebreak))
     n = pairs.count()
     if n < settings.trend_min_rows:
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     pos = with_position(pairs, order, settings=settings, n=n)
     x, y = F.col("_pos").cast("double"), F.col("_y")
     agg = pos.agg(F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"),
@@ -120,7 +121,7 @@ def trends(df: DataFrame, tiebreak: list[str] = (), settings: Settings = DEFAULT
     parts = [linear_trend(df, t, v, tiebreak, settings)
              for t in kinds.datetime for v in kinds.numeric[:2]]
     if not parts:
-        return df.sparkSession.createDataFrame(
+        return local_frame(df.sparkSession, 
             [], "datetime_column string, value_column string, n long, slope double, r2 double, direction string")
     out = parts[0]
     for p in parts[1:]:

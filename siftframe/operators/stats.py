@@ -11,6 +11,7 @@ from siftframe.functions.exprs import as_double, sample_kurtosis, sample_skewnes
 from siftframe.plans.quantiles import quantiles
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 STATS_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -66,7 +67,7 @@ def descriptive_stats(df: DataFrame, cols: list[str] | None = None,
         missing = (s["rows"] - s["count"]) / s["rows"] * 100.0
         rows.append((i, c, s["count"], s["mean"], s["median"], s["std"], s["min"], s["max"],
                      s["skewness"], s["kurtosis"], missing))
-    out = spark.createDataFrame(rows, STATS_SCHEMA)
+    out = local_frame(spark, rows, STATS_SCHEMA)
     r4 = ["mean", "median", "std", "min", "max", "skewness", "kurtosis"]
     return out.select("position", "column_name", "count",
                       *[F.round(c, 4).alias(c) for c in r4],

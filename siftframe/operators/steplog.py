@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from siftframe.plans.local import local_frame
 
 LOG_SCHEMA = "seq int, step string, column_name string, strategy string, affected long"
 
@@ -18,6 +19,6 @@ class LogRow:
 
 
 def log_frame(spark: SparkSession, rows: list[LogRow]) -> DataFrame:
-    return spark.createDataFrame(
+    return local_frame(spark, 
         [(i, r.step, r.column, r.strategy, None if r.affected is None else int(r.affected))
          for i, r in enumerate(rows)], LOG_SCHEMA)

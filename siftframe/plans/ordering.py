@@ -148,7 +148,8 @@ def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
     # key images are their own projection, so the search reads plain columns
     types = {f.name: f.dataType for f in df.schema.fields}
     keyed = df.select("*", *[order_value(c, types[c]).alias(f"_ok{j}") for j, c in enumerate(order_cols)])
-    return (keyed.withColumn(bucket_col, _bucket(df, order_cols, bounds))
+    # non-nullable id: a later join on it cannot infer (and copy) a NOT NULL test
+    return (keyed.withColumn(bucket_col, F.coalesce(_bucket(df, order_cols, bounds), F.lit(0)))
             .drop(*[f"_ok{j}" for j in range(len(order_cols))]))
 
 

@@ -22,6 +22,7 @@ from siftframe.operators.steplog import LogRow, log_frame
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
 from siftframe.session import materialize
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 
 class CleanResult:
@@ -97,5 +98,5 @@ def clean_summary(before: DataFrame, result: CleanResult) -> DataFrame:
     b1 = stats["b"] or 0
     row = (len(result.log_rows), sum(result.outliers.values()), len(result.outliers), rows_after,
            len(after.columns), int(b0), int(b1), (b0 - b1) / (1024 * 1024))
-    out = before.sparkSession.createDataFrame([row], SUMMARY_SCHEMA)
+    out = local_frame(before.sparkSession, [row], SUMMARY_SCHEMA)
     return out.withColumn("bytes_saved_mb", F.round("bytes_saved_mb", 2))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from siftframe.functions.exprs import as_double
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 
 @dataclass
@@ -205,7 +206,7 @@ def _select(base: DataFrame, ready: list[_Range]) -> dict[tuple[int, int], float
         v = F.col(f"_v{r.col}")
         parts.append(F.when(_in_range(v, r), F.struct(F.lit(j).alias("r"), v.alias("v"))))
     spark = base.sparkSession
-    targets = spark.createDataFrame(
+    targets = local_frame(spark, 
         [(j, p - r.offset, r.col, p) for j, r in enumerate(ready) for p in r.positions],
         "r int, local long, col int, pos long")
     w = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ from siftframe.operators.series import bar_series, line_series, scatter_sample
 from siftframe.operators.stats import descriptive_stats
 from siftframe.session import materialize
 from siftframe.settings import DEFAULT, Settings
+from siftframe.plans.local import local_frame
 
 
 def full_report(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
@@ -30,7 +31,7 @@ def full_report(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str]
              .select(F.lit(t).alias("datetime_column"), F.lit(v).alias("value_column"), "*")
              for t in kinds.datetime for v in kinds.numeric[:3]]
     report = {
-        "column_types": base.sparkSession.createDataFrame(
+        "column_types": local_frame(base.sparkSession, 
             [(k, c) for k in ("numeric", "categorical", "datetime") for c in getattr(kinds, k)],
             "kind string, column_name string"),
         "descriptive_stats": descriptive_stats(base, kinds.numeric, settings),

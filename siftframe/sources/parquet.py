@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -11,11 +12,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A single large row group cannot be split by the file source, so every
     downstream stage would run as one task. On a cluster reading many files
     the scan already has enough splits and this is a no-op. Column pruning
-    and filters still reach the scan below the exchange.
+    and filters still reach the scan below the exchange. Rows are spread by
+    a hash of their scan position, which needs no column and (unlike
+    round-robin) no sort to be repeatable on retry.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        return df.repartition(want, F.monotonically_increasing_id())
     return df
 
 

@@ -10,6 +10,7 @@ from siftframe.operators.impute import impute
 from siftframe.operators.narrow import float_errors, footprint, integer_plan
 from siftframe.operators.outliers import flag_outliers, iqr_bounds, outlier_count_frame
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
+from siftframe.plans.local import local_frame
 from siftframe.plans.pipeline import clean, clean_summary
 from siftframe.suite.common import (DIRTY_ORDERS, LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
                                     sql_from, table, union_all)
@@ -95,13 +96,13 @@ def q_outlier_counts_labels(spark, sf):
 
 def q_narrow_integers(spark, sf):
     plan = integer_plan(table(spark, sf, "lineitem"))
-    return spark.createDataFrame([(c, lo, hi, t) for c, (lo, hi, t) in plan.items()],
+    return local_frame(spark, [(c, lo, hi, t) for c, (lo, hi, t) in plan.items()],
                                  "column_name string, min long, max long, narrowed_type string")
 
 
 def q_narrow_floats(spark, sf):
     errs = float_errors(table(spark, sf, "lineitem"))
-    df = spark.createDataFrame([(c, e) for c, e in errs.items()], "column_name string, max_error double")
+    df = local_frame(spark, [(c, e) for c, e in errs.items()], "column_name string, max_error double")
     return df.select("column_name", F.round("max_error", 8).alias("max_error"),
                      (F.col("max_error") <= 5e-4).alias("narrowed"))
 
