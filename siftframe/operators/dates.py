@@ -23,9 +23,25 @@ DATE_FORMATS = (
 )
 
 
-def parse_expr(c, fmt: str):
+# A loose shape for each format (a superset of what it parses);
+# a failing parse costs far more than a failing regex.
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
+    "MM/dd/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "dd/MM/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "dd-MM-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "dd MMM yyyy": r"^\d{1,2} \p{L}{3,} \d{4}$",
+}
+
+
+def parse_expr(c, fmt: str, guard: bool = True):
     """Text -> TIMESTAMP_NTZ with ``fmt``; NULL when it does not parse."""
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    shape = DATE_SHAPES.get(fmt) if guard else None
+    return F.when(c.rlike(shape), parsed) if shape else parsed
 
 
 def sniff_date_columns(df: DataFrame, settings: Settings = DEFAULT, formats=DATE_FORMATS,
