@@ -87,3 +87,13 @@ def test_flags_match_counts(spark, sf_small):
     out, log, counts = flag_outliers(table(spark, sf_small, "events"))
     for c, n in counts.items():
         assert out.agg(F.sum(f"is_outlier_{c}")).first()[0] == n
+
+
+def test_gram_correlation_matches_sql_path(spark, sf_small):
+    from siftframe.operators.correlation import correlations
+    df = table(spark, sf_small, "lineitem")
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+    _, a, n1 = correlations(df, cols)
+    _, b, n2 = correlations(df, cols, Settings(max_sql_pairs=1))
+    assert n1 == n2 and a.keys() == b.keys()
+    assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
