@@ -26,8 +26,14 @@ from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
 
 
+def _numeric_stats(x: Column) -> list[tuple[str, Column]]:
+    n, lo, hi = F.count(x), F.min(x), F.max(x)
+    return [("n", n), ("mean", F.avg(x)), ("skew", sample_skewness(x, n, lo, hi)), ("lo", lo), ("hi", hi)]
+
+
 def numeric_fill_values(df: DataFrame, cols: list[str], settings: Settings = DEFAULT,
-                        masks: dict[str, Column] | None = None) -> dict[str, tuple[str, float | None]]:
+                        masks: dict[str, Column] | None = None,
+                        stats: dict[str, dict] | None = None) -> dict[str, tuple[str, float | None]]:
     """Per numeric column: ('median'|'mean', fill) from one aggregate (+ median plan).
 
     ``|sample skewness| > skew_threshold`` picks the median, otherwise the mean
@@ -43,13 +49,8 @@ def numeric_fill_values(df: DataFrame, cols: list[str], settings: Settings = DEF
         x = as_double(c, types[c])
         return F.when(masks[c], x) if c in masks else x
 
-    per = {}
-    for c in cols:
-        x = val(c)
-        n, lo, hi = F.count(x), F.min(x), F.max(x)
-        per[c] = [("n", n), ("mean", F.avg(x)), ("skew", sample_skewness(x, n, lo, hi)),
-                  ("lo", lo), ("hi", hi)]
-    stats = wide_agg(df, per, settings)
+    if stats is None:
+        stats = wide_agg(df, {c: _numeric_stats(val(c)) for c in cols}, settings)
     need_median = [c for c in cols if stats[c]["skew"] is not None
                    and not math.isnan(stats[c]["skew"]) and abs(stats[c]["skew"]) > settings.skew_threshold]
     med = {}
@@ -95,10 +96,17 @@ def impute(df: DataFrame, settings: Settings = DEFAULT, order_by: list[str] | No
     """Fill or drop gaps column by column."""
     fields = df.schema.fields
     types = {f.name: f.dataType for f in fields}
+    # one scan: gaps per column, plus the fill statistics of every numeric
+    # column (used as they are unless a datetime drop changes the rows)
+    measured = [f.name for f in fields if kind_of_type(f.dataType) == "numeric" and not is_boolean(f.dataType)]
+    extra = [e.alias(f"s{i}_{k}") for i, c in enumerate(measured)
+             for k, e in _numeric_stats(as_double(c, types[c]))]
     first = df.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.count_if(missing_expr(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
+        F.count_if(missing_expr(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)], *extra).first()
     rows = first["_rows"]
     missing = {f.name: first[f"m{i}"] for i, f in enumerate(fields)}
+    pre_stats = {c: {k: first[f"s{i}_{k}"] for k in ("n", "mean", "skew", "lo", "hi")}
+                 for i, c in enumerate(measured)}
 
     # 1. datetime columns, left to right (drops change what later columns see)
     keep = F.lit(True)
@@ -139,7 +147,8 @@ def impute(df: DataFrame, settings: Settings = DEFAULT, order_by: list[str] | No
                and not is_boolean(f.dataType) and missing_now[f.name]]
     other = [f.name for f in fields if missing_now[f.name] and not is_datetime(f.dataType)
              and f.name not in numeric and kind_of_type(f.dataType) != "other"]
-    fills = numeric_fill_values(df, numeric, settings, {c: masks[c] for c in numeric if c in masks})
+    fills = numeric_fill_values(df, numeric, settings, {c: masks[c] for c in numeric if c in masks},
+                                None if dropped_any else {c: pre_stats[c] for c in numeric})
     modes = mode_values(df, other, {c: masks[c] for c in other if c in masks})
 
     log: list[LogRow] = []

@@ -46,11 +46,21 @@ def trim_strings(df: DataFrame, null_tokens: tuple[str, ...] = NULL_TOKENS) -> t
     return out, [LogRow("trim_strings", None, "trimmed", len(strings))]
 
 
-def drop_duplicates(df: DataFrame) -> tuple[DataFrame, list[LogRow]]:
+def drop_duplicates(df: DataFrame, checkpoint: bool = False) -> tuple[DataFrame, list[LogRow]]:
     """Full-row dedupe (NULLs equal); logs the removed count when positive.
 
-    The count needs one grouped job; the returned frame stays lazy.
+    Without ``checkpoint`` the count needs one grouped job and the returned
+    frame stays lazy. With it, rows are grouped once (partial aggregation
+    collapses repeats map-side), the grouped rows are checkpointed, and the
+    removed count is read from that copy: one shuffle in total.
     """
+    if checkpoint:
+        from siftframe.session import materialize
+        grouped = materialize(df.groupBy(*[q(c) for c in df.columns])
+                              .agg(F.count(F.lit(1)).alias("_dup_n")))
+        removed = grouped.agg(F.coalesce(F.sum(F.col("_dup_n") - 1), F.lit(0))).first()[0]
+        out = grouped.drop("_dup_n")
+        return out, ([LogRow("drop_duplicates", None, "removed_rows", removed)] if removed else [])
     from siftframe.operators.profile import duplicate_count
     removed = duplicate_count(df).first()["duplicate_rows"]
     if not removed:

@@ -51,10 +51,8 @@ def clean(df: DataFrame, settings: Settings = DEFAULT, order_by: list[str] | Non
         partition_keys = [mapping.get(c, c) for c in partition_keys]
     cur, rows = trim_strings(cur)
     log += rows
-    cur, rows = drop_duplicates(cur)
+    cur, rows = drop_duplicates(cur, checkpoint=checkpoint)
     log += rows
-    if checkpoint:
-        cur = materialize(cur)
     cur, rows = impute(cur, settings, order_by, partition_keys)
     log += rows
     fmts = sniff_date_columns(cur, settings, sample=date_sample)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a frame whose scan yields fewer splits than task slots.
+SPREAD_MIN_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, min_partitions: int | None = None,
+           min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Spread a large frame whose scan yields fewer splits than task slots.
 
     A single large row group cannot be split by the file source, so every
     downstream stage would run as one task. On a cluster reading many files
@@ -17,12 +23,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     round-robin) no sort to be repeatable on retry.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    # small inputs finish faster in one task than through an extra shuffle
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= min_bytes:
         return df.repartition(want, F.monotonically_increasing_id())
     return df
 
 
 def read_parquet_table(spark: SparkSession, path: str, min_partitions: int | None = None,
-                       spread_input: bool = True) -> DataFrame:
+                       spread_input: bool | None = None) -> DataFrame:
+    if spread_input is None:
+        spread_input = os.environ.get("SIFT_SPREAD_INPUT", "1") != "0"
     df = spark.read.parquet(path)
     return spread(df, min_partitions) if spread_input else df
