@@ -105,6 +105,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     counts = (refine_distinct(df, counts, limit) if counts
               else column_counts(df, cols, limit))
     base = df.select(*[as_double(c, types[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
+    base = _spread_narrow(base, sum(counts[c][0] or 0 for c in cols))
 
     wanted: dict[int, list[tuple[int, int, float]]] = {}
     ranges: list[_Range] = []
@@ -148,6 +149,17 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
+def _spread_narrow(base: DataFrame, values: int, min_values: int = 2_000_000) -> DataFrame:
+    """Unpivoting multiplies rows by columns; when the narrow numeric
+    projection arrives in fewer splits than task slots, spread it first (a
+    cheap shuffle of a few double columns) so the per-value work runs in
+    parallel. A scan that is already split (any cluster input) is left as is."""
+    want = base.sparkSession.sparkContext.defaultParallelism
+    if values >= min_values and base.rdd.getNumPartitions() < want:
+        return base.repartition(want, F.monotonically_increasing_id())
+    return base
+
+
 def _span(r: _Range, bounds) -> tuple[float, float]:
     if r.cuts:
         lo, hi, cells, k = r.cuts[-1]
@@ -210,6 +222,7 @@ def _select(base: DataFrame, ready: list[_Range]) -> dict[tuple[int, int], float
         [(j, p - r.offset, r.col, p) for j, r in enumerate(ready) for p in r.positions],
         "r int, local long, col int, pos long")
     w = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # each window partition holds one range: at most the distinct limit
     ranked = (base.select(F.explode(F.array(*parts)).alias("c"))
               .where(F.col("c").isNotNull()).select("c.*")
               .groupBy("r", "v").agg(F.count(F.lit(1)).alias("n"))

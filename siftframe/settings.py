@@ -37,7 +37,7 @@ class Settings:
     order_bucket_rows: int = 1_000_000   # rows one ordered window task may hold
     order_sample_rows: int = 20_000      # sample size used to pick order buckets
     wide_agg_chunk: int = 100            # columns per aggregate job
-    max_sql_pairs: int = 300             # above this many pairs, correlate via one Gram pass
+    max_sql_pairs: int = 21              # above this many pairs, correlate via one Gram pass
 
 
 DEFAULT = Settings()
