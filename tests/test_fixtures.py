@@ -141,3 +141,15 @@ def test_constant_trend(spark):
         .withColumn("ts", F.timestamp_seconds("k"))
     r = linear_trend(df, "ts", "y", ["k"]).first()
     assert r["r2"] == 0.0 and r["n"] == 12
+
+
+def test_check_not_empty_and_single_column(spark):
+    from siftframe.operators.quality import check_not_empty, quality_report
+    empty = spark.createDataFrame([], "a long, b string")
+    with pytest.raises(ValueError):
+        check_not_empty(empty)
+    one = spark.createDataFrame([(1,), (1,), (None,)], "a long")
+    rows = {r["check"]: r for r in quality_report(one).collect()}
+    assert rows["single_column"]["column_name"] == "a"
+    assert rows["duplicates"]["value"] == 1
+    assert "all_missing" not in rows
