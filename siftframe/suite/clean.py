@@ -238,7 +238,38 @@ SELECT CAST(a.o AS BIGINT) AS outliers_total, CAST(CASE WHEN a.o > 0 THEN 1 ELSE
 FROM b0, a"""
 
 
+def _sql_log() -> str:
+    """The pipeline's step log restated over the same dirty orders."""
+    return f"""WITH raw AS (SELECT DISTINCT o_orderkey, o_custkey,
+    CASE WHEN trim(o_orderstatus, ' ' || chr(9)) IN ('nan', 'None', '') THEN NULL
+         ELSE trim(o_orderstatus, ' ' || chr(9)) END AS o_orderstatus,
+    o_totalprice, o_orderdate, o_orderpriority, extra_empty FROM {SQL_DIRTY_ORDERS}),
+dup AS (SELECT (SELECT count(*) FROM {SQL_DIRTY_ORDERS}) - count(*) AS removed FROM raw),
+st AS (SELECT skewness(o_totalprice) AS sk, count(*) - count(o_totalprice) AS miss_p,
+    count(*) - count(o_orderpriority) AS miss_m, min(o_orderkey) AS k0, max(o_orderkey) AS k1,
+    min(o_custkey) AS c0, max(o_custkey) AS c1 FROM raw),
+p AS ({_sql_pipeline()}),
+fl AS (SELECT sum(is_outlier_o_totalprice) AS n FROM p),
+steps AS (
+  SELECT 0 AS g, 'standardize_columns' AS step, NULL AS column_name, 'renamed' AS strategy, CAST(7 AS BIGINT) AS affected
+  UNION ALL SELECT 1, 'trim_strings', NULL, 'trimmed', 3
+  UNION ALL SELECT 2, 'drop_duplicates', NULL, 'removed_rows', removed FROM dup WHERE removed > 0
+  UNION ALL SELECT 3, 'impute', 'o_totalprice', CASE WHEN abs(sk) > 1 THEN 'median' ELSE 'mean' END, miss_p
+    FROM st WHERE miss_p > 0
+  UNION ALL SELECT 4, 'impute', 'o_orderpriority', 'mode', miss_m FROM st WHERE miss_m > 0
+  UNION ALL SELECT 5, 'convert_dates', 'o_orderdate', 'yyyy-MM-dd', NULL
+  UNION ALL SELECT 6, 'flag_outliers', 'o_totalprice', 'iqr', n FROM fl WHERE n > 0
+  UNION ALL SELECT 7, 'narrow_integers', 'o_orderkey', 'bigint->' || {_sql_int_type('k0', 'k1')}, NULL FROM st
+  UNION ALL SELECT 8, 'narrow_integers', 'o_custkey', 'bigint->' || {_sql_int_type('c0', 'c1')}, NULL FROM st
+  UNION ALL SELECT 9, 'optimize_types', NULL, 'done', NULL
+  UNION ALL SELECT 10, 'date_parts', 'o_orderdate', 'year_month_day', NULL
+  UNION ALL SELECT 11, 'drop_all_null_columns', 'extra_empty', 'dropped', NULL)
+SELECT CAST(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS seq, step, column_name, strategy, affected
+FROM steps"""
+
+
 ORACLES = {
+    "clean_log": _sql_log(),
     "standardize_columns": "SELECT r_regionkey, r_name FROM region",
     "trim_strings": f"""SELECT p_partkey, {_sql_trim('p_name')} AS p_name, {_sql_trim('p_brand')} AS p_brand, p_size
 FROM {sql_from('part', PADDED_PART)}""",
