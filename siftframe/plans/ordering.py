@@ -10,6 +10,8 @@ partitioned by range numbers the rows inside it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,23 +58,40 @@ def bucket_count(n: int, settings: Settings) -> int:
 
 
 def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings) -> list[tuple]:
-    """Up to ``bucket_count - 1`` composite split keys from a bounded sample."""
+    """Up to ``bucket_count - 1`` composite split keys, chosen on the cluster.
+
+    About ``order_sample_per_bucket`` keys per wanted bucket are sampled;
+    one window over that bounded sample (at most ``order_buckets`` x
+    ``order_sample_per_bucket`` x 1.5 rows, whatever the table size) cuts it
+    into equal tiles, and only the tile maxima -- one row per bucket -- reach
+    the driver. The sample only places split points; every row is still
+    processed.
+    """
     want = bucket_count(n, settings)
     if n <= 0 or want <= 1:
         return []
-    target = settings.order_sample_rows
-    frac = min(1.0, 2.0 * target / n)
-    # The sample only chooses split points; every row is still processed.
-    sample = (df.select(_key(df, order_cols).alias("k")).sample(False, frac, seed=20240101)
-              .limit(4 * target).collect())
-    keys = sorted(tuple(r["k"]) for r in sample if all(v is not None for v in r["k"]))
-    buckets = min(want, max(1, len(keys) // 16))
-    picks = []
-    for j in range(1, buckets):
-        kv = keys[(j * len(keys)) // buckets]
-        if not picks or kv != picks[-1]:
-            picks.append(kv)
-    return picks
+    per = settings.order_sample_per_bucket
+    frac = min(1.0, 1.5 * want * per / n)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    names = [f"k{j}" for j in range(len(order_cols))]
+    sample = (df.select(*[order_value(c, types[c]).alias(k) for k, c in zip(names, order_cols)])
+              .sample(False, frac, seed=20240101)
+              .where(" AND ".join(f"{k} IS NOT NULL" for k in names)))
+    ordered = Window.orderBy(*names)
+    everything = Window.partitionBy()
+    tiles = F.least(F.lit(want), F.greatest(F.lit(1), F.floor(F.col("_m") / F.lit(per)))).cast("long")
+    picks = (sample
+             .select("*", F.row_number().over(ordered).alias("_r"), F.count(F.lit(1)).over(everything).alias("_m"))
+             .select("*", F.floor((F.col("_r") - 1) * tiles / F.col("_m")).alias("_t"), tiles.alias("_tiles"))
+             .where(F.col("_t") < F.col("_tiles") - 1)
+             .groupBy("_t").agg(F.max(F.struct(*names)).alias("m"))
+             .orderBy("_t").collect())   # at most ``order_buckets`` rows
+    out: list[tuple] = []
+    for r in picks:
+        kv = tuple(r["m"])
+        if not out or kv != out[-1]:
+            out.append(kv)
+    return out
 
 
 def _le(keys: list[Column], lits: list[Column]) -> Column:
@@ -108,21 +127,29 @@ def _bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple]) -> Column
 _TREE_MAX = 63  # larger CASE trees outgrow generated-method limits
 
 
-def _sql_literal(v, t: T.DataType) -> str:
-    """Exact SQL text for a key literal (one parse instead of many API calls)."""
-    if isinstance(t, T.StringType):
-        return f"CAST(X'{str(v).encode('utf-8').hex()}' AS STRING)"
-    if isinstance(t, T.DoubleType):
-        return f"CAST('{float(v)!r}' AS DOUBLE)"
-    return f"CAST({int(v)} AS {t.simpleString().upper()})"
+def _bounds_literal(bounds: list[tuple], key_types: list[T.DataType]) -> Column:
+    """The boundary list as ONE string literal decoded by ``from_json``.
+
+    A literal ``array(named_struct(...), ...)`` is one expression node per
+    field, and analysing tens of thousands of them takes minutes; a single
+    string is one node, and the decode is constant-folded before any task
+    runs. JSON keeps doubles exact (shortest round-trip text) and NaN/inf
+    as tokens Spark's JSON reader accepts.
+    """
+    names = [f"k{j}" for j in range(len(key_types))]
+    rows = []
+    for b in bounds:
+        rows.append({k: (float(v) if isinstance(t, T.DoubleType) else
+                         str(v) if isinstance(t, T.StringType) else int(v))
+                     for k, v, t in zip(names, b, key_types)})
+    schema = T.ArrayType(T.StructType([T.StructField(k, t) for k, t in zip(names, key_types)]))
+    return F.from_json(F.lit(json.dumps(rows, allow_nan=True)), schema)
 
 
 def _bucket_search(keys: list[Column], bounds: list[tuple], key_types: list[T.DataType]) -> Column:
     """Binary search over a constant boundary array: expression size does not
     grow with the number of buckets; log2(buckets) steps per row."""
-    arr = F.expr("array(" + ", ".join(
-        "named_struct(" + ", ".join(f"'k{j}', {_sql_literal(v, t)}" for j, (v, t) in enumerate(zip(b, key_types)))
-        + ")" for b in bounds) + ")")
+    arr = _bounds_literal(bounds, key_types)
     n = len(bounds)
     steps = max(1, n.bit_length())
 

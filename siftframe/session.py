@@ -23,6 +23,9 @@ def local_session(cpus: int | str = "*", app: str = "siftframe",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # one wide statistics aggregate keeps ~18 buffer fields per column;
+        # the default of 100 would split eight columns into two scans
+        .config("spark.sql.codegen.maxFields", "256")
         .config("spark.driver.memory", os.environ.get("SIFT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -33,9 +33,9 @@ class Settings:
     approx_accuracy: int = 10000         # approx_percentile accuracy
     quantile_buckets: int = 256          # range buckets per refinement round
     direct_distinct_limit: int = 2_000_000  # distinct values one task may sort
-    order_buckets: int = 1024            # max range buckets for global row order
-    order_bucket_rows: int = 1_000_000   # rows one ordered window task may hold
-    order_sample_rows: int = 20_000      # sample size used to pick order buckets
+    order_buckets: int = 65_536          # max range buckets for global row order
+    order_bucket_rows: int = 1_000_000   # rows one ordered window task should hold
+    order_sample_per_bucket: int = 16    # sampled keys per bucket to place split points
     wide_agg_chunk: int = 100            # columns per aggregate job
     max_sql_pairs: int = 21              # above this many pairs, correlate via one Gram pass
 

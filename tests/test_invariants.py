@@ -53,6 +53,17 @@ def test_positions_match_single_window(spark, sf_small):
     assert sorted(p for _, p in one) == list(range(len(one)))
 
 
+@pytest.mark.parametrize("keys", [["p_name", "p_partkey"], ["p_retailprice", "p_partkey"]])
+def test_positions_text_and_double_keys(spark, sf_small, keys):
+    # string and double split points travel through the JSON boundary literal
+    from pyspark.sql import Window
+    part = table(spark, sf_small, "part").select(*keys)
+    want = part.withColumn("_ref", F.row_number().over(Window.orderBy(*keys)) - 1)
+    got = with_position(part, keys, settings=Settings(order_bucket_rows=3))
+    assert got.join(want, keys).where("_pos != _ref").count() == 0
+    assert got.count() == part.count()
+
+
 def test_forward_fill_across_buckets(spark, sf_small):
     ev = table(spark, sf_small, "events").select(
         "event_id", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("ts")).alias("ts"))
