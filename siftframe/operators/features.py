@@ -52,11 +52,10 @@ def unit_price(df: DataFrame) -> tuple[DataFrame, list[LogRow]]:
     return df.select(*cols, ppu), [LogRow("unit_price", "price_per_unit", f"{p}/{qty}", None)]
 
 
-def final_counts(df: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """(infinite values per float column, finite values per column) in one aggregate."""
-    fields = df.schema.fields
+def final_count_exprs(df: DataFrame) -> list:
+    """Per column: infinite values (``i<i>``) and finite values (``v<i>``)."""
     exprs = []
-    for i, f in enumerate(fields):
+    for i, f in enumerate(df.schema.fields):
         c = q(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             inf = F.abs(c) == F.lit(float("inf"))
@@ -64,13 +63,23 @@ def final_counts(df: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
                       F.count_if(c.isNotNull() & ~F.isnan(c) & ~inf).alias(f"v{i}")]
         else:
             exprs += [F.lit(0).cast("long").alias(f"i{i}"), F.count(c).alias(f"v{i}")]
-    if not exprs:
-        return {}, {}
-    row = df.agg(*exprs).first()
+    return exprs
+
+
+def read_final_counts(df: DataFrame, row) -> tuple[dict[str, int], dict[str, int]]:
+    fields = df.schema.fields
     return ({f.name: row[f"i{i}"] for i, f in enumerate(fields)},
             {f.name: row[f"v{i}"] for i, f in enumerate(fields)})
 
 
+def final_counts(df: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """(infinite values per float column, finite values per column) in one aggregate."""
+    exprs = final_count_exprs(df)
+    if not exprs:
+        return {}, {}
+    return read_final_counts(df, df.agg(*exprs).first())
+
+
 def infinities_to_null(df: DataFrame, infs: dict[str, int] | None = None) -> tuple[DataFrame, list[LogRow]]:
     """Count +-inf in float columns and set them missing."""
     infs = infs if infs is not None else final_counts(df)[0]

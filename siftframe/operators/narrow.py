@@ -34,23 +34,34 @@ def smallest_int_type(lo: int | None, hi: int | None) -> str:
     return "bigint"
 
 
-def integer_plan(df: DataFrame) -> dict[str, tuple[int | None, int | None, str]]:
-    """``{column: (min, max, narrowest type)}`` for integral columns, one aggregate."""
+def integer_bound_exprs(df: DataFrame) -> list:
+    """min/max of each integral column, aliased ``lo<i>``/``hi<i>``."""
+    ints = [f.name for f in df.schema.fields if is_integral(f.dataType)]
+    return [e for i, c in enumerate(ints)
+            for e in (F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))]
+
+
+def read_integer_plan(df: DataFrame, row) -> dict[str, tuple[int | None, int | None, str]]:
     ints = [f.name for f in df.schema.fields if is_integral(f.dataType)]
-    if not ints:
-        return {}
-    row = df.agg(*[e for i, c in enumerate(ints)
-                   for e in (F.min(q(c)).alias(f"lo{i}"), F.max(q(c)).alias(f"hi{i}"))]).first()
     return {c: (row[f"lo{i}"], row[f"hi{i}"], smallest_int_type(row[f"lo{i}"], row[f"hi{i}"]))
             for i, c in enumerate(ints)}
 
 
-def narrow_integers(df: DataFrame) -> tuple[DataFrame, list[LogRow]]:
+def integer_plan(df: DataFrame) -> dict[str, tuple[int | None, int | None, str]]:
+    """``{column: (min, max, narrowest type)}`` for integral columns, one aggregate."""
+    exprs = integer_bound_exprs(df)
+    if not exprs:
+        return {}
+    return read_integer_plan(df, df.agg(*exprs).first())
+
+
+def narrow_integers(df: DataFrame, plan: dict | None = None) -> tuple[DataFrame, list[LogRow]]:
     """Cast each integral column to the narrowest type holding its min..max.
 
-    Bounds are proven by the aggregate first, so the ANSI cast cannot overflow.
+    Bounds are proven by the aggregate first (or passed in ``plan`` from an
+    aggregate the caller already ran), so the ANSI cast cannot overflow.
     """
-    plan = integer_plan(df)
+    plan = integer_plan(df) if plan is None else plan
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = df.select(*[q(c).cast(plan[c][2]).alias(c) if c in plan else q(c) for c in df.columns])
     log = [LogRow("narrow_integers", c, f"{types[c]}->{t}", None)

@@ -52,8 +52,7 @@ def outlier_counts(df: DataFrame, fences: dict[str, tuple[float, float, float, f
     """Rows strictly outside the fences, per column, from one aggregate."""
     if not fences:
         return {}
-    row = df.agg(*[F.count_if(_outside(df, c, lo, hi)).alias(f"o{i}")
-                   for i, (c, (_, _, lo, hi)) in enumerate(fences.items())]).first()
+    row = df.agg(*outlier_count_exprs(df, fences)).first()
     return {c: row[f"o{i}"] for i, c in enumerate(fences)}
 
 
@@ -65,15 +64,15 @@ def outlier_count_frame(df: DataFrame, cols: list[str] | None = None,
     return local_frame(df.sparkSession, list(counts.items()), "column_name string, outliers long")
 
 
-def flag_outliers(df: DataFrame, cols: list[str] | None = None,
-                  settings: Settings = DEFAULT) -> tuple[DataFrame, list[LogRow], dict[str, int]]:
-    """Add ``is_outlier_<col>`` (0/1 tinyint) for columns with at least one outlier.
+def outlier_count_exprs(df: DataFrame, fences: dict) -> list:
+    """``count_if`` outside the fences per column, aliased ``o<i>``."""
+    return [F.count_if(_outside(df, c, lo, hi)).alias(f"o{i}")
+            for i, (c, (_, _, lo, hi)) in enumerate(fences.items())]
 
-    Fences are literals after one quantile plan; counting is one aggregate;
-    the flags are a projection.
-    """
-    fences = iqr_fences(df, cols, settings)
-    counts = {c: n for c, n in outlier_counts(df, fences).items() if n > 0}
+
+def add_flags(df: DataFrame, fences: dict, counts: dict[str, int]) -> tuple[DataFrame, list[LogRow], dict[str, int]]:
+    """Project ``is_outlier_<col>`` for the columns whose count is positive."""
+    counts = {c: n for c, n in counts.items() if n > 0}
     if not counts:
         return df, [], {}
     flags = [F.when(_outside(df, c, fences[c][2], fences[c][3]), 1).otherwise(0)
@@ -81,3 +80,14 @@ def flag_outliers(df: DataFrame, cols: list[str] | None = None,
     out = df.select(*[q(c) for c in df.columns], *flags)
     log = [LogRow("flag_outliers", c, "iqr", n) for c, n in counts.items()]
     return out, log, counts
+
+
+def flag_outliers(df: DataFrame, cols: list[str] | None = None,
+                  settings: Settings = DEFAULT) -> tuple[DataFrame, list[LogRow], dict[str, int]]:
+    """Add ``is_outlier_<col>`` (0/1 tinyint) for columns with at least one outlier.
+
+    Fences are literals after one quantile plan; counting is one aggregate;
+    the flags are a projection.
+    """
+    fences = iqr_fences(df, cols, settings)
+    return add_flags(df, fences, outlier_counts(df, fences))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.operators.dates import convert_dates, sniff_date_columns
-from siftframe.operators.features import (date_parts, drop_all_null_columns, final_counts,
-                                          infinities_to_null, unit_price)
+from siftframe.operators.features import (date_parts, drop_all_null_columns, final_count_exprs, final_counts,
+                                          infinities_to_null, read_final_counts, unit_price)
 from siftframe.operators.impute import impute
-from siftframe.operators.narrow import footprint, narrow_floats, narrow_integers
-from siftframe.operators.outliers import flag_outliers
+from siftframe.operators.narrow import (footprint, integer_bound_exprs, narrow_floats, narrow_integers,
+                                        read_integer_plan)
+from siftframe.operators.outliers import add_flags, flag_outliers, iqr_fences, outlier_count_exprs
 from siftframe.operators.steplog import LogRow, log_frame
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
 from siftframe.session import materialize
@@ -60,28 +61,75 @@ def clean(df: DataFrame, settings: Settings = DEFAULT, order_by: list[str] | Non
     log += rows
     if checkpoint:
         cur = materialize(cur)
-    cur, rows, outliers = flag_outliers(cur, None, settings)
-    log += rows
-    cur, rows = narrow_integers(cur)
-    log += rows
     if settings.narrow_floats:
+        cur, rows, outliers = flag_outliers(cur, None, settings)
+        log += rows
+        cur, rows = narrow_integers(cur)
+        log += rows
         cur, rows = narrow_floats(cur, settings)
         log += rows
-    log.append(LogRow("optimize_types", None, "done", None))
-    cur, rows = date_parts(cur)
-    log += rows
-    cur, rows = unit_price(cur)
-    log += rows
-    infs, values = final_counts(cur)
+        log.append(LogRow("optimize_types", None, "done", None))
+        cur, rows = date_parts(cur)
+        log += rows
+        cur, rows = unit_price(cur)
+        log += rows
+        infs, values = final_counts(cur)
+    else:
+        cur, outliers, infs, values = _finish_in_one_pass(cur, settings, log)
     cur, rows = infinities_to_null(cur, infs)
     log += rows
     # a column of only infinities is empty once they are nulled
-    values = {c: v for c, v in values.items()}
     cur, rows = drop_all_null_columns(cur, values)
     log += rows
     return CleanResult(cur, log, outliers)
 
 
+def _finish_in_one_pass(cur: DataFrame, settings: Settings, log: list[LogRow]):
+    """Outlier flags, integer narrowing, date parts and unit price, with every
+    number they and the final checks need read by ONE aggregate.
+
+    None of these steps changes a value the others count: flags are new
+    columns, narrowing casts within proven bounds, date parts and the unit
+    price are new columns. So outlier counts, integer bounds and the
+    infinite/finite counts of the finished columns are evaluated together
+    over ``cur`` plus the derived columns -- one scan of the checkpointed
+    frame instead of three. Only the IQR fences (quantiles) come first.
+    """
+    fences = iqr_fences(cur, None, settings)
+    pre, _ = date_parts(cur)
+    pre, _ = unit_price(pre)
+    if pre.columns[:len(cur.columns)] != cur.columns or len(set(pre.columns)) != len(pre.columns):
+        # a derived name collides with an existing column: step by step
+        cur, rows, outliers = flag_outliers(cur, None, settings)
+        log += rows
+        cur, rows = narrow_integers(cur)
+        log += rows + [LogRow("optimize_types", None, "done", None)]
+        cur, rows = date_parts(cur)
+        log += rows
+        cur, rows = unit_price(cur)
+        log += rows
+        infs, values = final_counts(cur)
+        return cur, outliers, infs, values
+    exprs = (outlier_count_exprs(cur, fences) + integer_bound_exprs(cur) + final_count_exprs(pre)
+             + [F.count(F.lit(1)).alias("_rows")])
+    row = pre.agg(*exprs).first()
+    counts = {c: row[f"o{i}"] for i, c in enumerate(fences)}
+    plan = read_integer_plan(cur, row)
+    cur, rows, outliers = add_flags(cur, fences, counts)
+    log += rows
+    # the new 0/1 flags are tinyint already and stay out of the plan
+    cur, rows = narrow_integers(cur, plan)
+    log += rows + [LogRow("optimize_types", None, "done", None)]
+    cur, rows = date_parts(cur)
+    log += rows
+    cur, rows = unit_price(cur)
+    log += rows
+    infs, values = read_final_counts(pre, row)
+    for c in outliers:  # 0/1 flags: never infinite, never missing
+        infs[f"is_outlier_{c}"], values[f"is_outlier_{c}"] = 0, row["_rows"]
+    return cur, outliers, infs, values
+
+
 SUMMARY_SCHEMA = ("steps_applied int, outliers_total long, outlier_columns int, rows_after long, "
                   "columns_after int, bytes_before long, bytes_after long, bytes_saved_mb double")
 
