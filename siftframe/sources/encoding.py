@@ -5,28 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_BYTES = 65536  # fixed value: bytes inspected per file
+# Byte-order marks and the encodings they name.
+BOMS = (("EFBBBF", "utf-8-sig"), ("FFFE", "utf-16-le"), ("FEFF", "utf-16-be"))
+COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".xz")
 
 
-def encoding_audit(spark: SparkSession, path: str, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, bom, valid_utf8, suggested)`` per file.
 
-    One row per file from the binaryFile source; only the first
-    ``sample_bytes`` are inspected. A byte-order mark decides first, then
-    whether the sample is valid UTF-8; anything else is suggested as
-    ISO-8859-1 (which decodes every byte). A multi-byte character cut at the
-    sample edge is not counted as invalid.
+    Files are read through the (splittable) text source split on ``\\n``,
+    which keeps each line's raw bytes, so a large file is checked by many
+    tasks in parallel and no task ever holds a whole file. Every line is
+    tested for valid UTF-8 (the whole file, not only its head). Per file,
+    one grouped aggregate (partial aggregation: one row per file and task
+    reaches the shuffle) gathers: the marker code of the first line of the
+    split at offset 0, UTF-8 validity, and the bytes seen. The line reader
+    drops a UTF-8 byte-order mark, so that mark is recognised exactly from
+    the byte balance: file length - line bytes - separators is 3 (or 2 when
+    the last line has no separator). The result is joined to the file
+    listing.
+
+    A byte-order mark decides first, then UTF-8 validity; anything else is
+    suggested as ISO-8859-1 (which decodes every byte).
     """
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, sample_bytes)
-    text = head.cast("string")
-    # drop up to 3 trailing bytes of a possibly cut UTF-8 sequence
-    trimmed = F.when(F.length(F.col("content")) > sample_bytes,
-                     F.regexp_replace(text, "�{0,3}$", "")).otherwise(text)
-    bom = (F.when(F.substring("content", 1, 3) == F.unhex(F.lit("EFBBBF")), "utf-8-sig")
-           .when(F.substring("content", 1, 2) == F.unhex(F.lit("FFFE")), "utf-16-le")
-           .when(F.substring("content", 1, 2) == F.unhex(F.lit("FEFF")), "utf-16-be"))
-    valid = F.is_valid_utf8(F.when(F.length("content") > sample_bytes, trimmed).otherwise(text))
-    return files.select(
+    listing = spark.read.format("binaryFile").load(path).select("path", "length")  # no content read
+    first = F.col("_metadata.file_block_start") == 0
+    raw = F.col("value").cast("binary")
+    code = F.lit(0)
+    for i, (hexbom, _) in reversed(list(enumerate(BOMS))):
+        n = len(hexbom) // 2
+        code = F.when(F.substring(raw, 1, n) == F.unhex(F.lit(hexbom)), F.lit(i + 1)).otherwise(code)
+    lines = spark.read.format("text").option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        # rows of one split arrive in file order: this id orders them
+        F.when(first, F.monotonically_increasing_id()).alias("seq"),
+        F.when(first, code).alias("code"),
+        F.is_valid_utf8("value").alias("ok"),
+        F.octet_length("value").alias("nbytes"))
+    per_file = lines.groupBy("path").agg(
+        F.min_by("code", "seq").alias("code"),
+        F.bool_and("ok").alias("valid_utf8"),
+        F.sum("nbytes").alias("nbytes"),
+        F.count(F.lit(1)).alias("nlines"))
+    plain = ~F.lower(F.col("path")).rlike("(" + "|".join(e.replace(".", r"\.") for e in COMPRESSED) + ")$")
+    rest = F.col("length") - F.col("nbytes") - F.col("nlines")
+    code = (F.when(F.col("code") > 0, F.col("code"))
+            .when(plain & rest.isin(2, 3), F.lit(1))
+            .otherwise(F.lit(0)))
+    bom = F.lit(None).cast("string")
+    for i, (_, name) in reversed(list(enumerate(BOMS))):
+        bom = F.when(code == i + 1, F.lit(name)).otherwise(bom)
+    valid = F.coalesce(F.col("valid_utf8"), F.lit(True))
+    return listing.join(per_file, "path", "left").select(
         "path", "length", bom.alias("bom"), valid.alias("valid_utf8"),
         F.coalesce(bom, F.when(valid, F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))).alias("suggested"))

@@ -51,6 +51,23 @@ def test_encoding_audit(spark):
     assert got == {"a.csv": "UTF-8", "b.csv": "ISO-8859-1", "c.csv": "utf-8-sig"}
 
 
+def test_encoding_audit_large_and_marked_files(spark):
+    d = tempfile.mkdtemp(prefix="sift-enc2-")
+    _write(d, "u16.csv", "x,y\n1,é\n".encode("utf-16"))
+    _write(d, "sig_crlf.csv", b"\xef\xbb\xbfx,y\r\n1,2")      # mark, CRLF, no final newline
+    _write(d, "crlf.csv", "x,y\r\n1,é\r\n".encode("utf-8"))
+    # a file of many splits whose only non-UTF-8 byte is far past its head
+    _write(d, "big.csv", ("x,y\n" + "1,é\n" * 400_000).encode("utf-8") + "2,é\n".encode("latin-1"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        got = {os.path.basename(r["path"]): (r["bom"], r["suggested"]) for r in encoding_audit(spark, d).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {"u16.csv": ("utf-16-le", "utf-16-le"), "sig_crlf.csv": ("utf-8-sig", "utf-8-sig"),
+                   "crlf.csv": (None, "UTF-8"), "big.csv": (None, "ISO-8859-1")}
+
+
 def test_write_round_trip(spark, sf_small):
     d = tempfile.mkdtemp(prefix="sift-out-")
     df = table(spark, sf_small, "orders")
