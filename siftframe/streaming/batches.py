@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,13 +24,19 @@ def clean_stream(stream: DataFrame, output_path: str, checkpoint_path: str,
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        if type_text:
-            batch = typed_from_text(batch)
-        res = clean(batch, settings, order_by=order_by, checkpoint=False)
-        write_table(res.df, f"{output_path}/batch_id={batch_id}")
-        write_table(res.log, f"{output_path}/_log/batch_id={batch_id}")
+        # the pipeline runs several small jobs over the batch; keep it once
+        # instead of re-reading the source for each (a lost block is simply
+        # recomputed from the replayable source)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():
+                return
+            typed = typed_from_text(batch) if type_text else batch
+            res = clean(typed, settings, order_by=order_by, checkpoint=False)
+            write_table(res.df, f"{output_path}/batch_id={batch_id}")
+            write_table(res.log, f"{output_path}/_log/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_path)
     if query_name:
