@@ -135,7 +135,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     else:
         ready += ranges
 
-    values = _select(base, ready)
+    values = _select(base, ready, bounds, settings)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         if i not in wanted:
@@ -209,24 +209,50 @@ def _refine(base: DataFrame, big: list[_Range], bounds, settings: Settings) -> l
     return out
 
 
-def _select(base: DataFrame, ready: list[_Range]) -> dict[tuple[int, int], float]:
-    """Values at the wanted ranks of every ready range, one job."""
+def _select(base: DataFrame, ready: list[_Range], bounds, settings: Settings = DEFAULT
+            ) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks of every ready range, one job.
+
+    Values are counted per ``(range, value)`` (a hot value collapses
+    map-side). A range with many distinct values is further cut into up to
+    ``rank_cells`` equal-width cells; the small per-cell count table (at
+    most ranges x cells rows) gives each cell its starting rank, so the
+    running count is windowed per (range, cell) -- many balanced window
+    partitions instead of one per range.
+    """
     if not ready:
         return {}
+    spark = base.sparkSession
+    spans, cells = [], []
+    for r in ready:
+        lo, hi = _span(r, bounds)
+        k = min(settings.rank_cells, max(1, r.distinct // settings.rank_cell_values))
+        ok = _splittable(r, bounds)
+        spans.append((float(lo) if ok else 0.0, float(hi) if ok else 1.0))
+        cells.append(k if ok else 1)
     parts = []
     for j, r in enumerate(ready):
         v = F.col(f"_v{r.col}")
         parts.append(F.when(_in_range(v, r), F.struct(F.lit(j).alias("r"), v.alias("v"))))
-    spark = base.sparkSession
-    targets = local_frame(spark, 
+    targets = local_frame(spark,
         [(j, p - r.offset, r.col, p) for j, r in enumerate(ready) for p in r.positions],
         "r int, local long, col int, pos long")
-    w = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # each window partition holds one range: at most the distinct limit
-    ranked = (base.select(F.explode(F.array(*parts)).alias("c"))
-              .where(F.col("c").isNotNull()).select("c.*")
-              .groupBy("r", "v").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("upto", F.sum("n").over(w)))
+    counted = (base.select(F.explode(F.array(*parts)).alias("c"))
+               .where(F.col("c").isNotNull()).select("c.*")
+               .groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")))
+    pick = F.col("r") + 1
+    lo_of = F.element_at(F.array(*[F.lit(a) for a, _ in spans]), pick)
+    hi_of = F.element_at(F.array(*[F.lit(b) for _, b in spans]), pick)
+    k_of = F.element_at(F.array(*[F.lit(k) for k in cells]), pick)
+    raw = F.floor((F.col("v") - lo_of) / (hi_of - lo_of) * k_of.cast("double"))
+    counted = counted.withColumn("cell", F.least(F.greatest(raw, F.lit(0)), k_of - 1).cast("int"))
+    w_cells = Window.partitionBy("r").orderBy("cell")
+    # at most sum(cells) <= ranges x rank_cells rows: a proven broadcast bound
+    starts = (counted.groupBy("r", "cell").agg(F.sum("n").alias("cn"))
+              .select("r", "cell", (F.sum("cn").over(w_cells) - F.col("cn")).alias("start")))
+    w = Window.partitionBy("r", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counted.join(F.broadcast(starts), ["r", "cell"])
+              .withColumn("upto", F.col("start") + F.sum("n").over(w)))
     # ``targets`` holds at most columns x probabilities x 2 rows.
     hits = (ranked.join(F.broadcast(targets), "r")
             .where((F.col("upto") - F.col("n") <= F.col("local")) & (F.col("local") < F.col("upto")))

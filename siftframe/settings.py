@@ -32,7 +32,9 @@ class Settings:
     narrow_floats: bool = False          # lossy float narrowing is opt-in
     approx_accuracy: int = 10000         # approx_percentile accuracy
     quantile_buckets: int = 256          # range buckets per refinement round
-    direct_distinct_limit: int = 2_000_000  # distinct values one task may sort
+    direct_distinct_limit: int = 2_000_000  # distinct values one range may rank
+    rank_cells: int = 64                 # window cells a range is ranked in
+    rank_cell_values: int = 4096         # distinct values per cell below which fewer cells are used
     order_buckets: int = 65_536          # max range buckets for global row order
     order_bucket_rows: int = 1_000_000   # rows one ordered window task should hold
     order_sample_per_bucket: int = 16    # sampled keys per bucket to place split points

@@ -27,6 +27,19 @@ def test_quantiles_refinement_is_exact(spark, sf_small):
         assert direct[c] == pytest.approx([pdf[c].quantile(p) for p in PROBS], rel=1e-12)
 
 
+def test_quantiles_rank_cells_are_exact(spark, sf_small):
+    # ranking split into many value cells (and a hot value) gives the same order statistics
+    df = table(spark, sf_small, "lineitem")
+    cols = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
+    one = quantiles(df, cols, PROBS, Settings(rank_cells=1))
+    many = quantiles(df, cols, PROBS, Settings(rank_cells=64, rank_cell_values=2))
+    assert one == many
+    hot = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(-2.5)).otherwise(F.col("id") / 7).alias("x"))
+    got = quantiles(hot, ["x"], PROBS, Settings(rank_cells=16, rank_cell_values=1))
+    pdf = hot.toPandas()
+    assert got["x"] == pytest.approx([pdf["x"].quantile(p) for p in PROBS], rel=1e-12)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_quantiles_independent_of_partitioning(spark, sf_small, parts):
     df = table(spark, sf_small, "events")
