@@ -65,13 +65,16 @@ def type_histogram(df: DataFrame) -> DataFrame:
     return local_frame(df.sparkSession, rows, "kind string, n_columns int")
 
 
-def total_missing(df: DataFrame) -> DataFrame:
-    """One row ``total_missing``: all gaps in the table."""
-    fields = df.schema.fields
+def _total_missing_agg(df: DataFrame):
     total = F.lit(0).cast("long")
-    for f in fields:
+    for f in df.schema.fields:
         total = total + F.count_if(missing_expr(f.name, f.dataType))
-    return df.agg(total.alias("total_missing"))
+    return total
+
+
+def total_missing(df: DataFrame) -> DataFrame:
+    """One row ``total_missing``: all gaps in the table."""
+    return df.agg(_total_missing_agg(df).alias("total_missing"))
 
 
 def input_size(spark: SparkSession, path: str) -> DataFrame:
@@ -88,18 +91,14 @@ def profile(df: DataFrame) -> DataFrame:
 
     Rows and gaps share one scan; duplicates need their own shuffle.
     """
-    shape = table_shape(df)
-    miss = total_missing(df)
+    one = df.agg(F.count(F.lit(1)).alias("rows"), _total_missing_agg(df).alias("missing"))
+    out = one.select(F.inline(F.array(
+        F.struct(F.lit("rows").alias("metric"), F.col("rows").alias("value")),
+        F.struct(F.lit("columns").alias("metric"), F.lit(len(df.columns)).cast("long").alias("value")),
+        F.struct(F.lit("missing").alias("metric"), F.col("missing").alias("value")))))
     dups = duplicate_count(df)
+    out = out.unionByName(dups.select(F.lit("duplicate_rows").alias("metric"),
+                                      F.col("duplicate_rows").alias("value")))
     kinds = classify(df)
-    parts = [
-        shape.select(F.lit("rows").alias("metric"), F.col("n_rows").alias("value")),
-        shape.select(F.lit("columns").alias("metric"), F.col("n_columns").cast("long").alias("value")),
-        miss.select(F.lit("missing").alias("metric"), F.col("total_missing").alias("value")),
-        dups.select(F.lit("duplicate_rows").alias("metric"), F.col("duplicate_rows").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     extra = [(f"{k}_columns", len(getattr(kinds, k))) for k in ("numeric", "categorical", "datetime")]
     return out.unionByName(local_frame(df.sparkSession, extra, "metric string, value long"))

@@ -27,13 +27,16 @@ def quality_report(df: DataFrame) -> DataFrame:
     * ``single_column`` - the table has one column (delimiter problem?);
     * ``duplicates`` - full-row duplicates beyond the first, with share.
 
-    Two jobs: one aggregate for row and per-column counts, one grouped count
-    for duplicates. Output is bounded by the number of columns.
+    Two jobs: one aggregate for row and per-column counts (which also
+    raises on an empty input), one grouped count for duplicates. Output is bounded by the number of columns.
     """
-    check_not_empty(df)
+    if not df.columns:
+        raise ValueError("input has no columns")
     fields = df.schema.fields
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[
         F.count_if(~missing_expr(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+    if counts["rows"] == 0:  # B7, from the same aggregate
+        raise ValueError("input has no rows")
     rows = []
     for i, f in enumerate(fields):
         if counts[f"c{i}"] == 0:

@@ -153,3 +153,9 @@ def test_check_not_empty_and_single_column(spark):
     assert rows["single_column"]["column_name"] == "a"
     assert rows["duplicates"]["value"] == 1
     assert "all_missing" not in rows
+
+
+def test_quality_report_rejects_empty_input(spark):
+    from siftframe.operators.quality import quality_report
+    with pytest.raises(ValueError):
+        quality_report(spark.createDataFrame([], "a long, b string"))
