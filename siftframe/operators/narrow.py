@@ -95,12 +95,10 @@ def narrow_floats(df: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFram
     return out, [LogRow("narrow_floats", c, "double->float", None) for c in errs if c in ok]
 
 
-def footprint(df: DataFrame) -> DataFrame:
-    """(position, column_name, bytes): rows x width for fixed types, UTF-8
-    bytes for text, from one aggregate."""
-    fields = df.schema.fields
+def footprint_exprs(df: DataFrame) -> list:
+    """Per column ``b<i>``: rows x width for fixed types, UTF-8 bytes for text."""
     exprs = []
-    for i, f in enumerate(fields):
+    for i, f in enumerate(df.schema.fields):
         width = _WIDTH.get(type(f.dataType))
         if width is not None:
             e = F.count(F.lit(1)) * F.lit(width)
@@ -111,6 +109,14 @@ def footprint(df: DataFrame) -> DataFrame:
         else:
             e = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(q(f.name))))), F.lit(0))
         exprs.append(e.cast("long").alias(f"b{i}"))
+    return exprs
+
+
+def footprint(df: DataFrame) -> DataFrame:
+    """(position, column_name, bytes): rows x width for fixed types, UTF-8
+    bytes for text, from one aggregate."""
+    fields = df.schema.fields
+    exprs = footprint_exprs(df)
     if not exprs:
         return local_frame(df.sparkSession, [], "position int, column_name string, bytes long")
     wide = df.agg(*exprs)

@@ -16,8 +16,8 @@ from siftframe.operators.dates import convert_dates, sniff_date_columns
 from siftframe.operators.features import (date_parts, drop_all_null_columns, final_count_exprs, final_counts,
                                           infinities_to_null, read_final_counts, unit_price)
 from siftframe.operators.impute import impute
-from siftframe.operators.narrow import (footprint, integer_bound_exprs, narrow_floats, narrow_integers,
-                                        read_integer_plan)
+from siftframe.operators.narrow import (footprint, footprint_exprs, integer_bound_exprs, narrow_floats,
+                                        narrow_integers, read_integer_plan)
 from siftframe.operators.outliers import add_flags, flag_outliers, iqr_fences, outlier_count_exprs
 from siftframe.operators.steplog import LogRow, log_frame
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
@@ -138,9 +138,13 @@ def clean_summary(before: DataFrame, result: CleanResult) -> DataFrame:
     """One row: steps applied, outliers found, shape after, data bytes saved."""
     b0 = footprint(before).agg(F.sum("bytes")).first()[0] or 0
     after = result.df
-    fp = footprint(after)
-    stats = fp.agg(F.sum("bytes").alias("b")).first()
-    rows_after = after.count()
+    # bytes and rows of the cleaned frame from one aggregate
+    exprs = footprint_exprs(after)
+    total = F.lit(0).cast("long")
+    for e in exprs:
+        total = total + e
+    stats = after.agg(total.alias("b"), F.count(F.lit(1)).alias("n")).first()
+    rows_after = stats["n"]
     b1 = stats["b"] or 0
     row = (len(result.log_rows), sum(result.outliers.values()), len(result.outliers), rows_after,
            len(after.columns), int(b0), int(b1), (b0 - b1) / (1024 * 1024))
