@@ -6,7 +6,8 @@ values. This plan finds the order statistics it needs by distributed
 selection instead:
 
 1. one aggregate gives ``n``, ``min`` and ``max`` per column (the count bounds
-   the distinct values; a sketch estimate is taken only when it is large);
+   the distinct values; no separate distinct-count scan is spent: every
+   refinement round below estimates the distinct values of each cell);
 2. a column whose distinct values fit ``direct_distinct_limit`` is resolved
    directly; otherwise its value range is cut into ``quantile_buckets``
    equal-width cells, rows are counted per cell (partial aggregation, output
@@ -44,8 +45,10 @@ class _Range:
 
 
 def _cell(v: Column, lo: float, hi: float, cells: int) -> Column:
-    """Equal-width cell of ``v`` in [lo, hi]; monotone in ``v``."""
-    raw = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(cells)))
+    """Equal-width cell of ``v`` in [lo, hi]; monotone in ``v``. Values
+    outside (e.g. infinities beyond finite bounds) fall in the edge cells."""
+    x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
+    raw = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(cells)))
     return F.least(F.greatest(raw, F.lit(0)), F.lit(cells - 1))
 
 
@@ -56,20 +59,21 @@ def _in_range(v: Column, r: _Range) -> Column:
     return cond
 
 
-def column_counts(df: DataFrame, cols: list[str], limit: int) -> dict[str, tuple]:
-    """(non-null count, distinct bound, min, max) per column in one job."""
+def column_counts(df: DataFrame, cols: list[str], limit: int | None = None) -> dict[str, tuple]:
+    """(non-null count, distinct bound, min, max) per column in one job; the
+    count is the distinct bound."""
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(cols):
         v = as_double(c, types[c])
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     row = df.agg(*aggs).first()
-    counts = {c: (row[f"n{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
-    return refine_distinct(df, counts, limit)
+    return {c: (row[f"n{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
 def refine_distinct(df: DataFrame, counts: dict[str, tuple], limit: int) -> dict[str, tuple]:
-    """Replace the distinct bound by a sketch estimate where the bound is large."""
+    """Replace the distinct bound by a sketch estimate where the bound is large
+    (one extra scan; ``quantiles`` does not need it)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     big = [c for c, t in counts.items() if t[1] > limit]
     if not big:
@@ -102,8 +106,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 for i, c in enumerate(cols)}
 
     limit = settings.direct_distinct_limit
-    counts = (refine_distinct(df, counts, limit) if counts
-              else column_counts(df, cols, limit))
+    counts = counts or column_counts(df, cols)
     base = df.select(*[as_double(c, types[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
     base = _spread_narrow(base, sum(counts[c][0] or 0 for c in cols))
 
@@ -125,6 +128,18 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         pos = sorted({x for a, b, _ in plan for x in (a, b)})
         ranges.append(_Range(i, (), 0, d or 0, pos))
 
+    # a large column with infinite values is cut on its finite range (the
+    # infinities fall in the edge cells), so it never has to be ranked whole
+    infinite = [i for i, (lo, hi) in bounds.items()
+                if counts[cols[i]][0] > limit and not (math.isfinite(lo) and math.isfinite(hi))]
+    if infinite:
+        fin = lambda i: F.when(F.abs(F.col(f"_v{i}")) != F.lit(float("inf")), F.col(f"_v{i}"))
+        row = base.agg(*[e for i in infinite for e in (F.min(fin(i)).alias(f"lo{i}"),
+                                                       F.max(fin(i)).alias(f"hi{i}"))]).first()
+        for i in infinite:
+            if row[f"lo{i}"] is not None:
+                bounds[i] = (row[f"lo{i}"], row[f"hi{i}"])
+
     ready: list[_Range] = []
     for _round in range(12):
         big = [r for r in ranges if r.distinct > limit and _splittable(r, bounds)]
@@ -244,7 +259,8 @@ def _select(base: DataFrame, ready: list[_Range], bounds, settings: Settings = D
     lo_of = F.element_at(F.array(*[F.lit(a) for a, _ in spans]), pick)
     hi_of = F.element_at(F.array(*[F.lit(b) for _, b in spans]), pick)
     k_of = F.element_at(F.array(*[F.lit(k) for k in cells]), pick)
-    raw = F.floor((F.col("v") - lo_of) / (hi_of - lo_of) * k_of.cast("double"))
+    x = F.least(F.greatest(F.col("v"), lo_of), hi_of)
+    raw = F.floor((x - lo_of) / (hi_of - lo_of) * k_of.cast("double"))
     counted = counted.withColumn("cell", F.least(F.greatest(raw, F.lit(0)), k_of - 1).cast("int"))
     w_cells = Window.partitionBy("r").orderBy("cell")
     # at most sum(cells) <= ranges x rank_cells rows: a proven broadcast bound

@@ -40,6 +40,20 @@ def test_quantiles_rank_cells_are_exact(spark, sf_small):
     assert got["x"] == pytest.approx([pdf["x"].quantile(p) for p in PROBS], rel=1e-12)
 
 
+def test_quantiles_with_infinities_refine_on_finite_range(spark):
+    # a large column holding +-inf is cut on its finite range; infinities sit in the edge cells
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 97 == 0, F.lit(float("inf"))).when(F.col("id") % 89 == 0, F.lit(float("-inf")))
+        .otherwise(F.col("id") * 1.5).alias("x"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    direct = quantiles(df, ["x"], probs)
+    forced = quantiles(df, ["x"], probs, Settings(direct_distinct_limit=50, quantile_buckets=4, rank_cell_values=2))
+    assert direct == forced
+    assert direct["x"][0] == float("-inf") and direct["x"][-1] == float("inf")
+    pdf = df.toPandas()
+    assert direct["x"][1:4] == pytest.approx([pdf["x"].quantile(p) for p in probs[1:4]], rel=1e-12)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_quantiles_independent_of_partitioning(spark, sf_small, parts):
     df = table(spark, sf_small, "events")
