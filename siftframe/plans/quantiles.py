@@ -190,7 +190,13 @@ def _splittable(r: _Range, bounds) -> bool:
 
 
 def _refine(base: DataFrame, big: list[_Range], bounds, settings: Settings) -> list[_Range]:
-    """Count rows per equal-width cell of each large range; keep cells with ranks."""
+    """Count rows per equal-width cell of each large range; keep cells with ranks.
+
+    The tally (at most ranges x cells rows) never reaches the driver: a
+    running count per range (a window over that range's cells only) gives
+    each cell its first rank, and a join with the wanted ranks keeps the
+    cells that hold one -- the driver receives one row per wanted rank.
+    """
     cells = settings.quantile_buckets
     spans = [_span(r, bounds) for r in big]
     parts = []
@@ -200,27 +206,31 @@ def _refine(base: DataFrame, big: list[_Range], bounds, settings: Settings) -> l
         parts.append(F.when(_in_range(v, r),
                             F.struct(F.lit(j).alias("r"), _cell(v, lo, hi, cells).alias("b"),
                                      v.alias("v"))))
+    targets = local_frame(base.sparkSession,
+                          [(j, p - r.offset) for j, r in enumerate(big) for p in r.positions],
+                          "r int, local long")
+    w = Window.partitionBy("r").orderBy("b")
     tally = (base.select(F.explode(F.array(*parts)).alias("c"))
              .where(F.col("c").isNotNull()).select("c.*")
              .groupBy("r", "b").agg(F.count(F.lit(1)).alias("n"),
-                                     F.approx_count_distinct("v").alias("d"))
-             .collect())  # at most len(big) x cells rows
-    per: dict[int, dict[int, tuple[int, int]]] = {}
-    for row in tally:
-        per.setdefault(row["r"], {})[row["b"]] = (row["n"], row["d"])
-
+                                     F.approx_count_distinct("v").alias("d")))
+    hits = (tally.withColumn("before", F.sum("n").over(w) - F.col("n"))
+            .join(F.broadcast(targets), "r")   # at most columns x probabilities x 2 rows
+            .where((F.col("before") <= F.col("local")) & (F.col("local") < F.col("before") + F.col("n")))
+            .select("r", "b", "n", "d", "before", "local")
+            .collect())  # one row per wanted rank
+    found: dict[tuple[int, int], dict] = {}
+    for h in hits:
+        cell = found.setdefault((h["r"], h["b"]), {"n": h["n"], "d": h["d"], "before": h["before"], "pos": []})
+        cell["pos"].append(h["local"])
     out: list[_Range] = []
-    for j, r in enumerate(big):
+    for (j, b), cell in sorted(found.items()):
+        r = big[j]
         lo, hi = spans[j]
-        start = r.offset
-        for b in range(cells):
-            n_b, d_b = per.get(j, {}).get(b, (0, 0))
-            hit = [p for p in r.positions if start <= p < start + n_b]
-            if hit:
-                # a cell's distinct values never exceed its rows
-                out.append(_Range(r.col, r.cuts + ((lo, hi, cells, b),), start,
-                                  min(d_b, n_b), hit))
-            start += n_b
+        start = r.offset + cell["before"]
+        # a cell's distinct values never exceed its rows
+        out.append(_Range(r.col, r.cuts + ((lo, hi, cells, b),), start, min(cell["d"], cell["n"]),
+                          sorted(r.offset + x for x in cell["pos"])))
     return out
 
 

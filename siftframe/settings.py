@@ -31,7 +31,7 @@ class Settings:
     exact: bool = True                   # exact quantiles/mode; False -> sketches
     narrow_floats: bool = False          # lossy float narrowing is opt-in
     approx_accuracy: int = 10000         # approx_percentile accuracy
-    quantile_buckets: int = 256          # range buckets per refinement round
+    quantile_buckets: int = 4096         # range cells per refinement round
     direct_distinct_limit: int = 2_000_000  # distinct values one range may rank
     rank_cells: int = 64                 # window cells a range is ranked in
     rank_cell_values: int = 4096         # distinct values per cell below which fewer cells are used
