@@ -30,3 +30,39 @@ def test_scan_prunes_columns(spark, sf_small):
     df = missing_counts(table(spark, sf_small, "lineitem").select("l_quantity", "l_tax"))
     txt = plan_text(df)
     assert "ReadSchema: struct<l_quantity:double,l_tax:double>" in txt
+
+
+def test_bar_means_are_limited_before_exchange(spark, sf_small):
+    from siftframe.operators.series import bar_series
+    txt = plan_text(bar_series(table(spark, sf_small, "orders")))
+    # each partition forwards only its top rows per (categorical, numeric)
+    assert txt.count("WindowGroupLimit") >= 2
+
+
+def test_quantile_select_reuses_grouped_counts(spark, sf_small):
+    # the (range, value) count feeds both the cell starts and the ranking:
+    # one scan, its exchange reused
+    from siftframe.plans import quantiles as Q
+    seen = []
+    real = Q._select
+
+    def spy(base, ready, bounds, settings=Q.DEFAULT):
+        from pyspark.sql.classic.dataframe import DataFrame
+        collect = DataFrame.collect
+
+        def keep(self):
+            rows = collect(self)
+            seen.append(self._jdf.queryExecution().executedPlan().toString())
+            return rows
+        DataFrame.collect = keep
+        try:
+            return real(base, ready, bounds, settings)
+        finally:
+            DataFrame.collect = collect
+    Q._select = spy
+    try:
+        Q.quantiles(table(spark, sf_small, "lineitem"), ["l_quantity", "l_extendedprice"], [0.5])
+    finally:
+        Q._select = real
+    final = seen[0].split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
