@@ -18,22 +18,37 @@ def _pairs_frame(df: DataFrame, t: str, v: str, tiebreak: list[str]) -> DataFram
     return df.select(*keep).where(q(t).isNotNull() & F.col("_y").isNotNull())
 
 
+def _copies(pairs: DataFrame, t: str, v: str, tiebreak: list[str]) -> tuple[DataFrame, list[str]]:
+    """Identical (time, tiebreak, value) rows collapsed to one row with a
+    count ``_c`` (partial aggregation folds them map-side), so a value
+    repeated on a third of all rows is one row in the ordering plan. The
+    value closes the order key, which only orders rows the caller left tied
+    (the reference leaves their order unspecified)."""
+    keys = [t] + [c for c in tiebreak if c not in (t, v)] + ["_y"]
+    return pairs.groupBy(*[q(c) for c in keys]).agg(F.count(F.lit(1)).alias("_c")), keys
+
+
 def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
                 settings: Settings = DEFAULT) -> DataFrame:
     """``(position, label, value)``: ``v`` ordered by time; above ``line_max_points``
     rows every (n // line_max_points)-th row from the first is kept.
 
-    Positions come from range buckets, not a single-partition window.
+    Positions come from range buckets, not a single-partition window; copies
+    of one (time, value) row are numbered as one group, which emits the kept
+    positions that fall inside it (at most n / step + 1 rows in total).
     """
-    order = [t] + [c for c in tiebreak if c not in (t, v)]
     pairs = _pairs_frame(df, t, v, list(tiebreak))
     n = pairs.count()
     if n < 2:
         return local_frame(df.sparkSession, [], "position long, label string, value double")
     step = n // settings.line_max_points if n > settings.line_max_points else 1
-    pos = with_position(pairs, order, settings=settings, n=n)
-    return (pos.where(F.col("_pos") % step == 0)
-            .select(F.col("_pos").alias("position"),
+    groups, order = _copies(pairs, t, v, list(tiebreak))
+    pos = with_position(groups, order, settings=settings, n=n, weight="_c")
+    # first kept position at or after the group's start (integer arithmetic)
+    first = F.col("_pos") + (F.lit(step) - F.col("_pos") % F.lit(step)) % F.lit(step)
+    last = F.col("_pos") + F.col("_c") - 1
+    return (pos.where(first <= last)
+            .select(F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("position"),
                     F.date_format(q(t), "yyyy-MM-dd").alias("label"),
                     F.col("_y").alias("value")))
 
@@ -100,19 +115,24 @@ def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     """
     spark = df.sparkSession
     schema = "datetime_column string, value_column string, n long, slope double, r2 double, direction string"
-    order = [t] + [c for c in tiebreak if c not in (t, v)]
     pairs = _pairs_frame(df, t, v, list(tiebreak))
-    n = pairs.count()
+    st = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("ybar"), F.var_pop("_y").alias("vy")).first()
+    n = st["n"]
     if n < settings.trend_min_rows:
         return local_frame(spark, [], schema)
-    pos = with_position(pairs, order, settings=settings, n=n)
-    x, y = F.col("_pos").cast("double"), F.col("_y")
-    agg = pos.agg(F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"),
-                  F.var_pop(y).alias("vy"))
-    return agg.select(F.lit(t).alias("datetime_column"), F.lit(v).alias("value_column"),
-                      F.lit(n).cast("long").alias("n"), "slope",
-                      F.when(F.col("vy") > 0, F.col("r2")).otherwise(F.lit(0.0)).alias("r2"),
-                      F.when(F.col("slope") > 0, "upward").otherwise("downward").alias("direction"))
+    groups, order = _copies(pairs, t, v, list(tiebreak))
+    pos = with_position(groups, order, settings=settings, n=n, weight="_c")
+    # x = row position, centred on its known mean (n - 1) / 2: a group of c
+    # copies starting at p adds c * (p - xbar) + c (c - 1) / 2 to sum(x - xbar),
+    # and sum((x - xbar)^2) = n (n^2 - 1) / 12 exactly
+    c, p = F.col("_c").cast("double"), F.col("_pos").cast("double")
+    dx = c * (p - F.lit((n - 1) / 2.0)) + c * (c - 1) / 2
+    sxy = pos.agg(F.sum(dx * (F.col("_y") - F.lit(st["ybar"]))).alias("sxy")).first()["sxy"] or 0.0
+    sxx = n * (n * n - 1) / 12.0
+    slope = sxy / sxx
+    vy = st["vy"] or 0.0
+    r2 = (sxy * sxy) / (sxx * n * vy) if vy > 0 else 0.0
+    return local_frame(spark, [(t, v, n, slope, r2, "upward" if slope > 0 else "downward")], schema)
 
 
 def trends(df: DataFrame, tiebreak: list[str] = (), settings: Settings = DEFAULT) -> DataFrame:

@@ -182,15 +182,18 @@ def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
 
 def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                   settings: Settings = DEFAULT, pos_col: str = "_pos",
-                  n: int | None = None) -> DataFrame:
+                  n: int | None = None, weight: str | None = None) -> DataFrame:
     """Add the 0-based position of each row in (partition, order_cols) order.
 
     ``order_cols`` must be non-null and together unique for a deterministic
-    numbering (pass a tiebreak column last).
+    numbering (pass a tiebreak column last). With ``weight``, each row stands
+    for that many identical rows (e.g. copies collapsed by a grouped count)
+    and gets the position of the first of them.
     """
     parts = [q(c) for c in partition_cols]
     b = bucketed(df, order_cols, settings, n)
-    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    size = F.col(weight) if weight else F.lit(1)
+    counts = b.groupBy(*parts, "_bkt").agg(F.sum(size).cast("long").alias("_cnt"))
     w_off = Window.partitionBy(*parts).orderBy("_bkt")
     offsets = counts.withColumn("_off", F.sum("_cnt").over(w_off) - F.col("_cnt")).drop("_cnt")
     if not partition_cols:
@@ -198,9 +201,12 @@ def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str
         offsets = F.broadcast(offsets)
     keys = list(partition_cols) + ["_bkt"]
     w = Window.partitionBy(*parts, "_bkt").orderBy(*[q(c) for c in order_cols])
-    return (b.join(offsets, keys)
-            .withColumn(pos_col, F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_bkt", "_off"))
+    if weight:
+        upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        pos = F.col("_off") + upto - size
+    else:
+        pos = F.col("_off") + F.row_number().over(w) - 1
+    return b.join(offsets, keys).withColumn(pos_col, pos.cast("long")).drop("_bkt", "_off")
 
 
 def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],

@@ -135,3 +135,28 @@ def test_gram_correlation_matches_sql_path(spark, sf_small):
     _, b, n2 = correlations(df, cols, Settings(max_sql_pairs=1))
     assert n1 == n2 and a.keys() == b.keys()
     assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
+
+
+def test_line_and_trend_with_hot_copies(spark):
+    # a third of all rows are copies of one (time, value) pair; no tiebreak
+    import datetime as dt
+    import numpy as np
+    from siftframe.operators.series import line_series, linear_trend
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        if i % 3 == 0:
+            rows.append((base + dt.timedelta(days=500), 7.5))
+        else:
+            rows.append((base + dt.timedelta(days=i % 997), float((i * 37) % 101)))
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    st = Settings(order_bucket_rows=40)
+    pdf = pd.DataFrame(rows, columns=["ts", "v"]).sort_values(["ts", "v"], kind="stable").reset_index(drop=True)
+    n, step = len(pdf), len(pdf) // 200
+    want = [(i, pdf["ts"][i].strftime("%Y-%m-%d"), pdf["v"][i]) for i in range(0, n, step)]
+    got = sorted(tuple(r) for r in line_series(df, "ts", "v", settings=st).collect())
+    assert got == want
+    slope, icept = np.polyfit(np.arange(n, dtype=float), pdf["v"].to_numpy(), 1)
+    r2 = np.corrcoef(np.arange(n), pdf["v"].to_numpy())[0, 1] ** 2
+    tr = linear_trend(df, "ts", "v", settings=st).first()
+    assert tr["n"] == n and tr["slope"] == pytest.approx(slope, rel=1e-9) and tr["r2"] == pytest.approx(r2, rel=1e-9)
