@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from siftframe.functions.exprs import as_double
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
+from siftframe.sources.parquet import scan_partitions
 
 
 @dataclass
@@ -170,7 +171,7 @@ def _spread_narrow(base: DataFrame, values: int, min_values: int = 2_000_000) ->
     cheap shuffle of a few double columns) so the per-value work runs in
     parallel. A scan that is already split (any cluster input) is left as is."""
     want = base.sparkSession.sparkContext.defaultParallelism
-    if values >= min_values and base.rdd.getNumPartitions() < want:
+    if values >= min_values and scan_partitions(base) < want:
         return base.repartition(want, F.monotonically_increasing_id())
     return base
 

@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 SPREAD_MIN_BYTES = 128 * 1024 * 1024
 
 
+def scan_partitions(df: DataFrame) -> int:
+    """Partitions of a frame that reads without shuffling; a large number
+    (no spreading needed) when its plan already has an exchange.
+
+    Asking a shuffling frame for ``rdd.getNumPartitions()`` would make
+    adaptive execution run its shuffle stages right away, work the later
+    query does not reuse; such a frame has shuffle partitions anyway.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return 1 << 30
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None,
            min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Spread a large frame whose scan yields fewer splits than task slots.
@@ -23,7 +36,7 @@ def spread(df: DataFrame, min_partitions: int | None = None,
     round-robin) no sort to be repeatable on retry.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if scan_partitions(df) >= want:
         return df
     # small inputs finish faster in one task than through an extra shuffle
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
