@@ -134,7 +134,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     infinite = [i for i, (lo, hi) in bounds.items()
                 if counts[cols[i]][0] > limit and not (math.isfinite(lo) and math.isfinite(hi))]
     if infinite:
-        fin = lambda i: F.when(F.abs(F.col(f"_v{i}")) != F.lit(float("inf")), F.col(f"_v{i}"))
+        def fin(i: int) -> Column:
+            return F.when(F.abs(F.col(f"_v{i}")) != F.lit(float("inf")), F.col(f"_v{i}"))
+
         row = base.agg(*[e for i in infinite for e in (F.min(fin(i)).alias(f"lo{i}"),
                                                        F.max(fin(i)).alias(f"hi{i}"))]).first()
         for i in infinite:
