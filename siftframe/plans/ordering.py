@@ -216,12 +216,20 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
     Inside each range bucket a running ``last(ignorenulls)`` fills gaps; a
     gap at the start of a bucket takes the last value of the nearest earlier
     bucket that has one, found on the small per-bucket table.
+
+    Rows tied on ``order_cols`` are ordered by a hash of the whole row, so a
+    hot order value (say a third of all rows on one timestamp) is split over
+    many buckets and the fill among ties is deterministic. Exact copies share
+    the hash; they also receive the same fill, whatever their order.
     """
     if not cols:
         return df
     parts = [q(c) for c in partition_cols]
-    b = bucketed(df, order_cols, settings)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    hashable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    src = df.withColumn("_ff_tb", F.xxhash64(*hashable))
+    order_cols = list(order_cols) + ["_ff_tb"]
+    b = bucketed(src, order_cols, settings)
+    types = {f.name: f.dataType for f in src.schema.fields}
     okey = F.struct(*[order_value(c, types[c]).alias(f"k{j}") for j, c in enumerate(order_cols)])
     lasts = b.groupBy(*parts, "_bkt").agg(*[
         F.max_by(q(c), F.when(q(c).isNotNull(), okey)).alias(f"_last{i}") for i, c in enumerate(cols)])

@@ -160,3 +160,21 @@ def test_line_and_trend_with_hot_copies(spark):
     r2 = np.corrcoef(np.arange(n), pdf["v"].to_numpy())[0, 1] ** 2
     tr = linear_trend(df, "ts", "v", settings=st).first()
     assert tr["n"] == n and tr["slope"] == pytest.approx(slope, rel=1e-9) and tr["r2"] == pytest.approx(r2, rel=1e-9)
+
+
+def test_forward_fill_hot_order_value_is_split(spark):
+    # a third of the rows share one order value; ties are ordered by a row hash
+    from pyspark.sql import Window
+    from siftframe.plans.ordering import bucketed
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id")).alias("k"),
+        F.col("id").alias("payload"),
+        F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") * 10).alias("x"))
+    st = Settings(order_bucket_rows=50)
+    got = {r["payload"]: r["x"] for r in forward_fill(df, ["x"], ["k"], settings=st).collect()}
+    h = F.xxhash64("k", "payload", "x")
+    w = Window.orderBy("k", h).rowsBetween(Window.unboundedPreceding, 0)
+    want = {r["payload"]: r["x"] for r in df.select("payload", F.last("x", ignorenulls=True).over(w).alias("x")).collect()}
+    assert got == want
+    sized = bucketed(df.withColumn("_h", h), ["k", "_h"], st).groupBy("_bkt").count()
+    assert sized.agg(F.max("count")).first()[0] < 1000 / 4  # the hot value spans several buckets
