@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftframe.functions.classify import classify
 from siftframe.functions.exprs import as_double, q
@@ -100,7 +101,9 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: list[str] | None = None,
     if key:
         k = F.md5(F.concat_ws("|", *[q(c).cast("string") for c in key]))
     else:
-        k = F.md5(F.to_json(F.struct(*[q(c) for c in df.columns])))
+        # no key: a 64-bit hash of the row (no per-row text building); maps
+        # cannot be hashed and are left out
+        k = F.xxhash64(*[q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
     sub = df.select(xs.alias("x"), ys.alias("y"), k.alias("_k")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
     return sub.orderBy("_k").limit(n).select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
