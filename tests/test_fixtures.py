@@ -159,3 +159,12 @@ def test_quality_report_rejects_empty_input(spark):
     from siftframe.operators.quality import quality_report
     with pytest.raises(ValueError):
         quality_report(spark.createDataFrame([], "a long, b string"))
+
+
+def test_trim_matches_python_strip(spark):
+    from siftframe.operators.tidy import trim_strings
+    vals = ["\t abc \n", "　abc ", "\x1cabc\x1f", "a b", " nan ", " None", "   ", None]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r[0] for r in trim_strings(df)[0].collect()]
+    want = [None if v is None or v.strip() in ("nan", "None", "") else v.strip() for v in vals]
+    assert got == want
