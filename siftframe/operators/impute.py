@@ -14,9 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siftframe.functions.classify import is_boolean, is_datetime, is_string, kind_of_type
+from siftframe.functions.classify import is_boolean, is_datetime, kind_of_type
 from siftframe.functions.exprs import as_double, q, sample_skewness
 from siftframe.operators.profile import missing_expr
 from siftframe.operators.steplog import LogRow

@@ -12,7 +12,7 @@ from siftframe.operators.outliers import flag_outliers, iqr_bounds, outlier_coun
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
 from siftframe.plans.local import local_frame
 from siftframe.plans.pipeline import clean, clean_summary
-from siftframe.suite.common import (DIRTY_ORDERS, LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
+from siftframe.suite.common import (LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
                                     sql_from, table, union_all)
 
 PADDED_PART = [
