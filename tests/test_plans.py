@@ -66,3 +66,29 @@ def test_quantile_select_reuses_grouped_counts(spark, sf_small):
         Q._select = real
     final = seen[0].split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
+def test_encoding_audit_is_hash_aggregated(spark):
+    import os
+    import tempfile
+    from siftframe.sources import encoding_audit
+    d = tempfile.mkdtemp(prefix="sift-encplan-")
+    with open(os.path.join(d, "a.csv"), "wb") as fh:
+        fh.write(b"x,y\n1,2\n")
+    txt = plan_text(encoding_audit(spark, d))
+    # per-file folding never sorts the lines of a file
+    assert "HashAggregate" in txt and "SortAggregate" not in txt
+    assert "FileScan text" in txt and "content" not in txt.split("FileScan binaryFile")[1].split("\n")[0]
+
+
+def test_partition_probe_starts_no_job_on_shuffling_frame(spark, sf_small):
+    from siftframe.sources.parquet import scan_partitions
+    sc = spark.sparkContext
+    # (reading a Parquet schema runs a footer job of its own: build the frame first)
+    grouped = table(spark, sf_small, "lineitem").groupBy("l_orderkey").count()
+    sc.setJobGroup("probe-test", "probe")
+    try:
+        assert scan_partitions(grouped) > 1000
+        assert list(sc.statusTracker().getJobIdsForGroup("probe-test")) == []
+    finally:
+        sc.setJobGroup(None, None)
