@@ -73,3 +73,10 @@ def fixed(x: Column, decimals: int) -> Column:
     """``x`` as text with ``decimals`` places, correctly rounded from the binary
     value (like Python's ``f"{x:.2f}"``); no grouping commas."""
     return F.regexp_replace(F.format_number(x, decimals), ",", "")
+
+
+def round_keep_sign(x: Column, decimals: int) -> Column:
+    """``round`` that keeps the sign of a negative value rounded to zero
+    (-0.0), as Python/numpy rounding does; Spark's ``round`` gives 0.0."""
+    r = F.round(x, decimals)
+    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)

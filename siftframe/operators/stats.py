@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftframe.functions.classify import classify
-from siftframe.functions.exprs import as_double, sample_kurtosis, sample_skewness
+from siftframe.functions.exprs import as_double, round_keep_sign, sample_kurtosis, sample_skewness
 from siftframe.plans.quantiles import quantiles
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
@@ -70,5 +70,5 @@ def descriptive_stats(df: DataFrame, cols: list[str] | None = None,
     out = local_frame(spark, rows, STATS_SCHEMA)
     r4 = ["mean", "median", "std", "min", "max", "skewness", "kurtosis"]
     return out.select("position", "column_name", "count",
-                      *[F.round(c, 4).alias(c) for c in r4],
+                      *[round_keep_sign(F.col(c), 4).alias(c) for c in r4],
                       F.round("missing_pct", 2).alias("missing_pct"))
