@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.functions.classify import classify
-from siftframe.functions.exprs import as_double, safe_corr
+from siftframe.functions.exprs import as_double, round_keep_sign, safe_corr
 from siftframe.plans.wide import wide_agg
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
@@ -88,7 +88,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
             r = rs.get((min(i, j), max(i, j)))
             rows.append((i, j, cols[i], cols[j], r))
     out = local_frame(df.sparkSession, rows, MATRIX_SCHEMA)
-    return out.withColumn("r", F.round("r", 4))
+    return out.withColumn("r", round_keep_sign(F.col("r"), 4))
 
 
 def pair_rows(cols, rs, n, settings: Settings = DEFAULT) -> list[tuple]:
@@ -116,7 +116,8 @@ def significant_pairs(df: DataFrame, cols: list[str] | None = None,
     """
     cols, rs, n = correlations(df, cols, settings)
     out = local_frame(df.sparkSession, pair_rows(cols, rs, n, settings), PAIRS_SCHEMA)
-    return out.withColumn("correlation", F.round("correlation", 4)).withColumn("t_stat", F.round("t_stat", 4))
+    return (out.withColumn("correlation", round_keep_sign(F.col("correlation"), 4))
+            .withColumn("t_stat", round_keep_sign(F.col("t_stat"), 4)))
 
 
 def heatmap_cells(df: DataFrame, cols: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftframe.functions.classify import classify
-from siftframe.functions.exprs import as_double, q
+from siftframe.functions.exprs import as_double, q, round_keep_sign
 from siftframe.plans.ordering import with_position
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
@@ -87,7 +87,7 @@ def bar_series(df: DataFrame, cats: list[str] | None = None, nums: list[str] | N
             .select(F.element_at(cat_names, F.col("ci") + 1).alias("cat_column"),
                     F.element_at(num_names, F.col("ni") + 1).alias("num_column"),
                     F.col("rank").cast("int").alias("rank"), "category",
-                    F.round("mean", 2).alias("mean")))
+                    round_keep_sign(F.col("mean"), 2).alias("mean")))
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, key: list[str] | None = None,
@@ -106,7 +106,8 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: list[str] | None = None,
         k = F.xxhash64(*[q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
     sub = df.select(xs.alias("x"), ys.alias("y"), k.alias("_k")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    return sub.orderBy("_k").limit(n).select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return sub.orderBy("_k").limit(n).select(round_keep_sign(F.col("x"), 4).alias("x"),
+                                             round_keep_sign(F.col("y"), 4).alias("y"))
 
 
 def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftframe.functions.exprs import round_keep_sign
 from siftframe.operators.dates import convert_dates, sniff_date_columns
 from siftframe.operators.features import (date_parts, drop_all_null_columns, final_count_exprs, final_counts,
                                           infinities_to_null, read_final_counts, unit_price)
@@ -149,4 +150,4 @@ def clean_summary(before: DataFrame, result: CleanResult) -> DataFrame:
     row = (len(result.log_rows), sum(result.outliers.values()), len(result.outliers), rows_after,
            len(after.columns), int(b0), int(b1), (b0 - b1) / (1024 * 1024))
     out = local_frame(before.sparkSession, [row], SUMMARY_SCHEMA)
-    return out.withColumn("bytes_saved_mb", F.round("bytes_saved_mb", 2))
+    return out.withColumn("bytes_saved_mb", round_keep_sign(F.col("bytes_saved_mb"), 2))
