@@ -14,7 +14,7 @@
    class first; linked classes become components.
 5. Buckets that still hold several components are compared exhaustively
    between different components, in blocks of bounded size (a signature block
-   against another inside one task), and the survivors verified exactly. No
+   against another inside one task) and verified in the same blocks. No
    bucket is capped: links are lost only with the banding's and the posterior's
    probabilities.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from siftframe.llm import bloom
 from siftframe.llm.common import small_batches, stage
 from siftframe.llm.components import components
-from siftframe.llm.tokens import LOWER, U, buffers, grams, mix, shingle_sets, words  # noqa: F401
+from siftframe.llm.tokens import LOWER, U, buffers, mix, shingle_sets, words
 
 FEATURES = "doc_id long, n long, f1 long, f2 long, sig binary"
 
@@ -114,7 +114,7 @@ def _signatures(column: pa.Array, hashes: int) -> np.ndarray:
 
 
 def _bands(classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(key, rep, n) for every band of every class; the key names band and content."""
+    """(key, band, rep, n) for every band of every class; the key names band and content."""
     bands, rows = cfg.bands, cfg.rows
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +125,12 @@ def _bands(classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
                 key = mix(key ^ (sig[:, :, r] + U(r << 40)))
             rep = np.repeat(np.asarray(batch.column("rep")), bands)
             n = np.repeat(np.asarray(batch.column("n")), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep), pa.array(n)],
-                                             names=["key", "rep", "n"])
+            band = np.tile(np.arange(bands, dtype=np.int16), batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(rep), pa.array(n)],
+                names=["key", "band", "rep", "n"])
 
-    return classes.select("rep", "n", "sig").mapInArrow(make, "key long, rep long, n long")
+    return classes.select("rep", "n", "sig").mapInArrow(make, "key long, band short, rep long, n long")
 
 
 def _judge_pairs(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
@@ -148,92 +150,62 @@ def _judge_pairs(pairs: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> Da
     return both.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long, matches long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """The pairs (a, b) that are links on their full shingle sets. ``pairs`` is staged and distinct."""
-    shingle, percent = cfg.shingle, cfg.percent
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted shingle sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(doc_id, set) of the documents ``ids`` (doc_id, distinct), staged."""
+    shingle = cfg.shingle
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, ranges = _sets(batch, shingle)
             packed = [values[ranges[d]: ranges[d + 1]].tobytes() for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary())],
-                                             names=["id", "set"])
+                                             names=["doc_id", "set"])
+
+    ids = stage(ids, "ids")
+    wanted = bloom.prefilter(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", ids)
+    made = wanted.mapInArrow(sets, "doc_id long, set binary").join(ids, "doc_id", "left_semi")
+    return stage(made.groupBy("doc_id").agg(F.first("set").alias("set")), "sets")  # one row for a repeated id
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """The pairs (a, b) that are links on their full shingle sets. ``pairs`` is staged and distinct."""
+    percent = cfg.percent
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            kept = np.flatnonzero(linked)
+            kept = [i for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True))
+                    if _linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent)]
+            kept = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)],
                                              names=["a", "b"])
 
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = bloom.prefilter(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", ids.withColumnRenamed("id", "doc_id"))
-    made = wanted.mapInArrow(sets, "id long, set binary").join(ids, "id", "left_semi")
-    made = stage(made.groupBy("id").agg(F.first("set").alias("set")), "sets")  # one row for a repeated id
-    both = pairs.select("a", "b").join(made.withColumnsRenamed({"id": "a", "set": "x"}), "a")
-    both = both.join(made.withColumnsRenamed({"id": "b", "set": "y"}), "b")
+    made = _full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, cfg)
+    both = pairs.select("a", "b").join(made.withColumnsRenamed({"doc_id": "a", "set": "x"}), "a")
+    both = both.join(made.withColumnsRenamed({"doc_id": "b", "set": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _cross(bands: DataFrame, labels: DataFrame, classes: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(a, b) of surviving pairs that share a bucket but not a component, compared block by block.
-
-    In a bucket, the rows outside its main component (that of its smallest
-    row) are dealt into chunks of about ``cfg.block`` and meet every chunk of
-    the bucket; rows of the main component never meet each other. A pair is
-    looked at in one chunk pair of a bucket only.
-    """
-    hashes, block = cfg.bands * cfg.rows, cfg.block
-    rows = bands.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    heads = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("main"), F.max("comp").alias("other"))
-    heads = heads.where("main <> other and k > 2").select("key", "k", "main")
-    rows = stage(rows.join(heads, "key").select("key", "rep", "n", "comp", "k", "main"), "cross")
-    out = rows.where("comp <> main").groupBy("key").agg(F.count("*").alias("u"))
-    rows = rows.join(out, "key")
-    chunks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    deal = lambda n: F.pmod(F.xxhash64("rep"), chunks(n)).cast("int")
-    as_all = rows.select("key", "rep", "n", "comp", "main", deal("k").alias("cm"),
-                         F.explode(F.sequence(F.lit(0), chunks("u") - 1)).alias("cu"), F.lit(False).alias("out"))
-    as_out = rows.where("comp <> main").select(
-        "key", "rep", "n", "comp", "main", F.explode(F.sequence(F.lit(0), chunks("k") - 1)).alias("cm"),
-        deal("u").alias("cu"), F.lit(True).alias("out"))
-    dealt = as_all.union(as_out).join(classes.select("rep", "sig"), "rep")
-    dealt = dealt.select(F.xxhash64("key", "cm", "cu").alias("cell"), "rep", "n", "comp", "out",
-                         (F.col("comp") == F.col("main")).alias("in_main"), "sig")
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell")
-    names = ["rep", "n", "comp", "out", "in_main", "sig"]
-
-    def pairs_of(rep, n, comp, out, in_main, sig):
-        left, right = np.flatnonzero(out), np.flatnonzero(~out)
-        found = []
-        for i in left:
-            fits = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= cfg.percent * np.maximum(n[right], n[i]))
-                         & (in_main[right] | (rep[right] < rep[i]))]
-            if len(fits):
-                kept, _ = _keep(np.broadcast_to(sig[i], (len(fits), sig.shape[1])), sig[fits], cfg)
-                found += [(rep[i], r) for r in rep[fits[kept]]]
-        return found
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_cell(work, names: list[str]):
+    """A mapInArrow function that calls ``work`` with all rows of one cell; rows come sorted by cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def flush(part: pa.Table) -> Iterator[pa.RecordBatch]:
             cell = np.asarray(part.column("cell"))
             cuts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
-            columns = [np.asarray(part.column(c)) for c in names[:-1]]
-            sig = _signatures(part.column("sig").combine_chunks(), hashes)
-            found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    found += pairs_of(*[c[lo:hi] for c in columns], sig[lo:hi])
+            found = [row for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1
+                     for row in work(part.slice(lo, hi - lo))]
             if found:
-                a, b = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))],
-                                                 names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -248,7 +220,78 @@ def _cross(bands: DataFrame, labels: DataFrame, classes: DataFrame, cfg: NearDup
         if held is not None:
             yield from flush(held)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return run
+
+
+def _cross(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """Links (a, b) between rows that share a bucket but not a component, compared block by block.
+
+    In a bucket, the rows outside its main component (that of its smallest
+    row) are dealt into chunks of about ``cfg.block`` and meet every chunk of
+    the bucket; rows of the main component never meet each other. A pair is
+    judged in the first band it shares only. The survivors of a cell stay
+    packed with their row until its sets have arrived; of the links between a
+    row and another component one is returned.
+    """
+    hashes, block = cfg.bands * cfg.rows, cfg.block
+    rows = bands.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    heads = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("main"), F.max("comp").alias("other"))
+    heads = heads.where("main <> other and k > 2").select("key", "k", "main")
+    rows = stage(rows.join(heads, "key").select("key", "band", "rep", "n", "comp", "k", "main"), "cross")
+    out = rows.where("comp <> main").groupBy("key").agg(F.count("*").alias("u"))
+    rows = rows.join(out, "key")
+    chunks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), chunks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    keep = ["key", "band", "rep", "n", "comp", "main"]
+    as_all = rows.select(*keep, deal("k").alias("cm"), every("u").alias("cu"), F.lit(False).alias("out"))
+    as_out = rows.where("comp <> main").select(*keep, every("k").alias("cm"), deal("u").alias("cu"), F.lit(True).alias("out"))
+    dealt = as_all.union(as_out).join(classes.select("rep", "sig"), "rep")
+    dealt = dealt.select(F.xxhash64("key", "cm", "cu").alias("cell"), "band", "rep", "n", "comp", "out",
+                         (F.col("comp") == F.col("main")).alias("in_main"), "sig")
+
+    def judge(cell: pa.Table) -> Iterator[tuple]:
+        band, rep, n, comp, out, in_main = (np.asarray(cell.column(c)) for c in ("band", "rep", "n", "comp", "out", "in_main"))
+        sig = _signatures(cell.column("sig").combine_chunks(), hashes)
+        by_band = sig.reshape(len(sig), cfg.bands, cfg.rows)
+        right = np.flatnonzero(~out)
+        partners: dict[int, bytes] = {}
+        for i in np.flatnonzero(out):
+            fits = right[(comp[right] != comp[i]) & (in_main[right] | (rep[right] < rep[i]))
+                         & (100 * np.minimum(n[right], n[i]) >= cfg.percent * np.maximum(n[right], n[i]))]
+            if len(fits):
+                kept, matches = _keep(np.broadcast_to(sig[i], (len(fits), hashes)), sig[fits], cfg)
+                fits = fits[kept][np.argsort(-matches, kind="stable")]
+                first = (by_band[fits] == by_band[i]).all(2).argmax(1) == band[i]
+                fits = fits[first]
+                if len(fits):
+                    partners[int(rep[i])] = rep[fits].tobytes()
+                    for r in rep[fits].tolist():
+                        partners.setdefault(r, b"")
+        if partners:
+            of = dict(zip(rep.tolist(), comp.tolist(), strict=True))
+            name = cell.column("cell")[0].as_py()
+            for r, packed in partners.items():
+                yield name, r, of[r], packed
+
+    def verify(cell: pa.Table) -> Iterator[tuple]:
+        rep, comp = cell.column("rep").to_pylist(), cell.column("comp").to_pylist()
+        sets = {r: np.frombuffer(v.as_buffer(), U) for r, v in zip(rep, cell.column("set"), strict=True)}
+        of = dict(zip(rep, comp, strict=True))
+        for r, packed in zip(rep, cell.column("partners"), strict=True):
+            done = set()
+            for other in np.frombuffer(packed.as_buffer(), np.int64).tolist():
+                if of[other] not in done and _linked(sets[r], sets[other], cfg.percent):
+                    done.add(of[other])
+                    yield max(r, other), min(r, other)
+
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell")
+    left = dealt.mapInArrow(_by_cell(judge, ["cell", "rep", "comp", "partners"]),
+                            "cell long, rep long, comp long, partners binary")
+    left = stage(left, "survivors")
+    sets = _full_sets(left.select(F.col("rep").alias("doc_id")).distinct(), docs, cfg)
+    left = left.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
+    return left.mapInArrow(_by_cell(verify, ["a", "b"]), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -282,9 +325,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     rest = judged.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    cross = _cross(bands, labels.select(F.col("node").alias("rep"), "component"), classes, cfg)
-    more = _confirm(stage(rest.union(cross).distinct(), "rest"), docs, cfg)
-    labels = stage(components(links.union(more)), "labels")
+    more = _confirm(stage(rest, "rest"), docs, cfg)
+    cross = _cross(bands, labels.select(F.col("node").alias("rep"), "component"), classes, docs, cfg)
+    labels = stage(components(links.union(more).union(cross)), "labels")
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"),
         F.coalesce("component", "rep").alias("component"))
