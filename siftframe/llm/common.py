@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,40 @@ def lower_ascii(text: Column) -> Column:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, ...) of a documents-like frame; whatever else it holds stays outside."""
     return docs.select("doc_id", "text", *more)
+
+
+def by_run(key: str, work: Callable[[pa.Table], Iterator[tuple]], schema: pa.Schema, least: int = 1):
+    """A mapInArrow function that calls ``work`` with all rows of one value of ``key`` (a long).
+
+    Rows must come sorted by the key and each value in one partition; of the
+    values' rows, one value's at a time is held over a batch's end. Values
+    with fewer than ``least`` rows are passed over.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            of = np.asarray(table.column(key))
+            cuts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)])).tolist()
+            found = [row for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo >= least
+                     for row in work(table.slice(lo, hi - lo))]
+            if found:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = np.asarray(batch.column(key))
+            last = int(np.searchsorted(of, of[-1]))
+            if held and (last or np.asarray(held[-1].column(key))[-1] != of[0]):
+                yield from flush([*held, batch.slice(0, last)] if last else held)
+                held = []
+            elif last:
+                yield from flush([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield from flush(held)
+
+    return run

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.llm import bloom
-from siftframe.llm.common import small_batches, stage
+from siftframe.llm.common import by_run, small_batches, stage
 from siftframe.llm.components import components
 from siftframe.llm.tokens import LOWER, U, buffers, mix, shingle_sets, words
 
@@ -194,35 +194,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _by_cell(work, names: list[str]):
-    """A mapInArrow function that calls ``work`` with all rows of one cell; rows come sorted by cell."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def flush(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell = np.asarray(part.column("cell"))
-            cuts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
-            found = [row for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1
-                     for row in work(part.slice(lo, hi - lo))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch])
-            part = pa.concat_tables([held, part]) if held is not None else part
-            cell = np.asarray(part.column("cell"))
-            last = int(np.searchsorted(cell, cell[-1]))
-            if last:
-                yield from flush(part.slice(0, last))
-            held = part.slice(last)
-        if held is not None:
-            yield from flush(held)
-
-    return run
-
-
 def _cross(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
     """Links (a, b) between rows that share a bucket but not a component, compared block by block.
 
@@ -286,12 +257,13 @@ def _cross(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFr
                     yield max(r, other), min(r, other)
 
     dealt = dealt.repartition("cell").sortWithinPartitions("cell")
-    left = dealt.mapInArrow(_by_cell(judge, ["cell", "rep", "comp", "partners"]),
-                            "cell long, rep long, comp long, partners binary")
+    long = pa.int64()
+    kept = pa.schema([("cell", long), ("rep", long), ("comp", long), ("partners", pa.binary())])
+    left = dealt.mapInArrow(by_run("cell", judge, kept, 2), "cell long, rep long, comp long, partners binary")
     left = stage(left, "survivors")
     sets = _full_sets(left.select(F.col("rep").alias("doc_id")).distinct(), docs, cfg)
     left = left.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
-    return left.mapInArrow(_by_cell(verify, ["a", "b"]), "a long, b long").distinct()
+    return left.mapInArrow(by_run("cell", verify, pa.schema([("a", long), ("b", long)]), 2), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from siftframe.llm import bpe, pii
+from siftframe.llm.chat_format import repair_roles
 from siftframe.llm.common import table
+from siftframe.llm.decontaminate import contaminated
 from siftframe.llm.exact_dedup import exact_duplicates
+from siftframe.llm.license_scan import scan_licenses
 from siftframe.llm.near_dedup import NearDupConfig, near_duplicates
 from siftframe.llm.substring_dedup import substring_dedup
+from siftframe.llm.toxicity import fit, score_documents
+from siftframe.llm.url_filter import RULES, SPAM, default_list, judge_urls
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -19,11 +27,44 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op4_bpe(spark, sf_dir):
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_chat_format(spark, sf_dir):
+    made = repair_roles(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "turn", "role", "new_role", "action", "cost",
+                       F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
 def op7_exact_duplicates(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_substring_dedup, op7_exact_duplicates)}
+def op8_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_url_filter(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), default_list(spark))
+
+
+def op10_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_near_duplicates, op2_substring_dedup, op3_pii, op4_bpe, op5_toxicity, op6_chat_format, op7_exact_duplicates,
+    op8_license_scan, op9_url_filter, op10_decontamination)}
 
 ORACLES = {
     "op1_near_duplicates": f"""
@@ -51,4 +92,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op9_url_filter": f"""
+WITH r(h, p, v, is_rule) AS (VALUES {", ".join([f"('{h}', '{p}', '{v}', true)" for h, p, v in RULES]
+                                                + [f"('{h}', '', 'block', false)" for h in SPAM])}),
+u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+x AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), {_AZ}) AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+m AS (SELECT page_id, host, path, v, is_rule, h || p AS rule, row_number() OVER (
+        PARTITION BY page_id ORDER BY is_rule DESC NULLS LAST, length(h || p) DESC) AS k
+      FROM x LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, CASE WHEN is_rule THEN rule END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
 }

@@ -88,9 +88,15 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefix(self, which: int = 0) -> np.ndarray:
+        return _prefix(_BYTE_VALUES[which][self.data], _BASES[which])
+
+    def range_hashes(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hashes of byte ranges; ``prefix`` is what ``prefix(which)`` gave."""
+        return _ranges(prefix, starts, ends, _BASES[which])
+
     def hashes(self, which: int = 0) -> np.ndarray:
-        base = _BASES[which]
-        return _ranges(_prefix(_BYTE_VALUES[which][self.data], base), self.starts, self.ends, base)
+        return self.range_hashes(self.prefix(which), self.starts, self.ends, which)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None) -> Words:
