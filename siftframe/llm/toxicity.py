@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Lexicon: weights of insult and threat words are learned from labelled
-documents, counted over all of them in Spark: the log odds of whole words and
+documents (a documented, bounded number), counted in Spark: the log odds of whole words and
 of word beginnings (stems, for inflected words) between toxic and clean
 documents. A word counts with its strongest entry. Target, negation and
 reporting words are fixed values.
@@ -51,7 +51,8 @@ class ToxicityConfig:
     min_of_top: float = 0.1     # toxic documents with the entry, against the commonest entry: what is
                                 # much rarer is mostly a word of one family of copies
     lexicon_size: int = 5_000   # heaviest words kept
-    fit_rows: int = 50_000      # labelled rows the logistic is fitted on, smallest id hashes first
+    fit_rows: int = 100_000     # labelled rows that are learned from, smallest id hashes first; their ids
+                                # and labels (some MB) are broadcast, so that no text is shuffled
 
 
 @dataclass(frozen=True)
@@ -249,8 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     """
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = stage(rows.join(known, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows)
+    rows = docs.select("doc_id", "text").where("text is not null")
+    rows = stage(rows.join(F.broadcast(stage(known, "labels")), "doc_id").select("doc_id", "text", "toxic"), "labelled")
     model = ToxicityModel(learn_lexicon(rows, cfg))
     table = model.word_hashes()
 
@@ -261,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
                                              names=["doc_id", "x0", "x1", "x2", "x3", "toxic"])
 
     made = rows.mapInArrow(measure, "doc_id long, x0 double, x1 double, x2 double, x3 double, toxic int")
-    made = made.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows).toPandas()
+    made = made.toPandas().sort_values("doc_id")
     return ToxicityModel(model.lexicon, _fit_logistic(made[["x0", "x1", "x2", "x3"]].to_numpy(float), made["toxic"].to_numpy(float)))
 
 
