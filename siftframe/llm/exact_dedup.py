@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siftframe.llm import bloom
 from siftframe.llm.common import lower_ascii, stage
 
-MAX_DEPTH = 16     # directory of at most 2**16 buckets: the most that is ever broadcast
+MAX_DEPTH = 12     # directory of at most 2**12 buckets: the most that is ever broadcast
 CAPACITY = 1 << 16  # entries a bucket holds before it is split; beyond MAX_DEPTH it grows
 
 
