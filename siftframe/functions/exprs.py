@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,3 +80,9 @@ def round_keep_sign(x: Column, decimals: int) -> Column:
     (-0.0), as Python/numpy rounding does; Spark's ``round`` gives 0.0."""
     r = F.round(x, decimals)
     return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+
+
+def put(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``made``: in place where the name exists, else appended."""
+    kept = [made[c].alias(c) if c in made else q(c) for c in df.columns]
+    return df.select(*kept, *[e.alias(c) for c, e in made.items() if c not in df.columns])

@@ -20,8 +20,8 @@ PAIRS_SCHEMA = ("rank int, col1 string, col2 string, correlation double, p_band
 
 def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
-    vals = df.select(*[as_double(c, types[c]).alias(c) for c in cols])
-    return vals.dropna(subset=cols)
+    vals = df.select(*[as_double(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    return vals.dropna(subset=vals.columns)
 
 
 def correlations(df: DataFrame, cols: list[str] | None = None,
@@ -35,14 +35,12 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     if len(cols) < 2:
         return cols, {}, 0
     sub = _complete(df, cols)
-    if len(cols) * (len(cols) - 1) // 2 > settings.max_sql_pairs:
-        return _gram_correlations(sub, cols)
     per = {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
-            x, y = F.col(cols[i]), F.col(cols[j])
+            x, y = F.col(f"c{i}"), F.col(f"c{j}")
             per[(i, j)] = [("r", safe_corr(x, y))]
-    per["_"] = [("n", F.count(F.lit(1)))] + [(f"sd{i}", F.stddev_samp(F.col(c))) for i, c in enumerate(cols)]
+    per["_"] = [("n", F.count(F.lit(1)))] + [(f"sd{i}", F.stddev_samp(F.col(f"c{i}"))) for i in range(len(cols))]
     res = wide_agg(sub, per, settings)
     n = res["_"]["n"]
     rs = {}
@@ -57,25 +55,6 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
     return cols, rs, n
 
 
-def _gram_correlations(sub: DataFrame, cols: list[str]):
-    """Many columns: one pass building the k x k Gram matrix (Spark ML)
-    instead of k(k-1)/2 SQL aggregates spread over several scans."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(sub).select("_v")
-    n = sub.count()
-    if n < 2:
-        return cols, {(i, j): None for i in range(len(cols)) for j in range(i, len(cols))}, n
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rs = {}
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            v = float(m[i][j])
-            rs[(i, j)] = None if math.isnan(v) else (1.0 if i == j else v)
-    return cols, rs, n
-
-
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
                        settings: Settings = DEFAULT) -> DataFrame:
     """Long form ``(i, j, col1, col2, r)`` of the full symmetric matrix, 4 decimals."""

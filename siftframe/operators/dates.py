@@ -20,6 +20,16 @@ DATE_FORMATS = (
     "yyyy/MM/dd",
     "dd-MM-yyyy",
     "dd MMM yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "MM/dd/yyyy HH:mm:ss",
+    "yyyyMMdd",
+    "MMM d, yyyy",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
 )
 
 
@@ -33,7 +43,17 @@ DATE_SHAPES = {
     "dd/MM/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "yyyy/MM/dd": r"^\d{4}/\d{1,2}/\d{1,2}$",
     "dd-MM-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
-    "dd MMM yyyy": r"^\d{1,2} \p{L}{3,} \d{4}$",
+    "dd MMM yyyy": r"^\d{2} \p{L}{3,} \d{4}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$",
+    "yyyy-MM-dd'T'HH:mm:ssXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}(Z|[+-]\d{2}:\d{2})$",
+    "yyyy-MM-dd HH:mm": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$",
+    "yyyy-MM-dd HH:mm:ss.SSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$",
+    "yyyyMMdd": r"^(19|20)\d{6}$",
+    "MMM d, yyyy": r"^\p{L}{3} \d{1,2}, \d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-\p{L}{3}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} \p{L}{3} \d{4}$",
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftframe.functions.classify import is_datetime, kind_of_type
-from siftframe.functions.exprs import q
+from siftframe.functions.exprs import q, put
 from siftframe.operators.steplog import LogRow
 
 # Names recognised for the unit-price feature, in priority order.
@@ -16,16 +16,13 @@ QTY_NAMES = ("quantity", "qty")
 
 
 def date_parts(df: DataFrame) -> tuple[DataFrame, list[LogRow]]:
-    """Add ``<col>_year``, ``<col>_month``, ``<col>_day`` for every datetime column."""
+    """Add ``<col>_year``, ``<col>_month``, ``<col>_day`` for every datetime column (existing ones are replaced)."""
     dts = [f.name for f in df.schema.fields if is_datetime(f.dataType)]
     if not dts:
         return df, []
-    extra = []
-    for c in dts:
-        extra += [F.year(q(c)).alias(f"{c}_year"), F.month(q(c)).alias(f"{c}_month"),
-                  F.dayofmonth(q(c)).alias(f"{c}_day")]
-    return (df.select(*[q(c) for c in df.columns], *extra),
-            [LogRow("date_parts", c, "year_month_day", None) for c in dts])
+    made = {f"{c}_{part}": get(q(c)) for c in dts
+            for part, get in (("year", F.year), ("month", F.month), ("day", F.dayofmonth))}
+    return put(df, made), [LogRow("date_parts", c, "year_month_day", None) for c in dts]
 
 
 def _find(df: DataFrame, names) -> str | None:
@@ -47,9 +44,8 @@ def unit_price(df: DataFrame) -> tuple[DataFrame, list[LogRow]]:
     if kind_of_type(types[p]) != "numeric" or kind_of_type(types[qty]) != "numeric":
         return df, []
     num, den = q(p).cast("double"), q(qty).cast("double")
-    ppu = F.when(den != 0, F.try_divide(num, den)).alias("price_per_unit")
-    cols = [q(c) for c in df.columns if c != "price_per_unit"]
-    return df.select(*cols, ppu), [LogRow("unit_price", "price_per_unit", f"{p}/{qty}", None)]
+    ppu = F.when(den != 0, F.try_divide(num, den))
+    return put(df, {"price_per_unit": ppu}), [LogRow("unit_price", "price_per_unit", f"{p}/{qty}", None)]
 
 
 def final_count_exprs(df: DataFrame) -> list:

@@ -31,7 +31,8 @@ def fd_bins(df: DataFrame, cols: list[str] | None = None,
     """``{column: (n, iqr, min, max, bins)}`` by the Freedman-Diaconis rule.
 
     width = 2 IQR n^(-1/3), bins = ceil(range / width) (at least 1), IQR 0 ->
-    floor(sqrt(n)), capped at ``max_dist_bins``; columns need 2+ values.
+    floor(sqrt(n)), capped at ``max_dist_bins``; columns need 2+ values, and
+    a column whose range or IQR is not finite is left out.
     """
     cols = measure_columns(df, classify(df).numeric if cols is None else cols)
     rng = _ranges(df, cols, settings)
@@ -42,6 +43,8 @@ def fd_bins(df: DataFrame, cols: list[str] | None = None,
     for c in cols:
         n, lo, hi = rng[c]["n"], rng[c]["lo"], rng[c]["hi"]
         iqr = float(qs[c][1] - qs[c][0])
+        if not (math.isfinite(iqr) and math.isfinite(hi - lo)):
+            continue  # no bin width: the column has no distribution
         if iqr > 0:
             width = 2 * iqr * (n ** (-1 / 3))
             k = max(1, int(math.ceil((hi - lo) / width)))

@@ -165,12 +165,22 @@ def impute(df: DataFrame, settings: Settings = DEFAULT, order_by: list[str] | No
             if c in log_dt:
                 log.append(log_dt[c])
             exprs.append(q(c))
-    out = df.where(keep) if dropped_any else df
-    out = out.select(*exprs)
-    if ffill_cols:
-        if not order_by:
-            raise ValueError("forward fill needs order_by (row order is not defined in Spark)")
-        out = forward_fill(out, ffill_cols, order_by, list(partition_keys), settings)
+    if ffill_cols and not order_by:
+        raise ValueError("forward fill needs order_by (row order is not defined in Spark)")
+    out = df.select(*exprs)
+    # left to right: a fill sees the rows that the columns to its left kept,
+    # and rows a later column drops still lend their values to it
+    together: list[str] = []
+    for f in fields:
+        if f.name in ffill_cols:
+            together.append(f.name)
+        elif f.name in log_dt:
+            if together:
+                out = forward_fill(out, together, order_by, list(partition_keys), settings)
+                together = []
+            out = out.where(q(f.name).isNotNull())
+    if together:
+        out = forward_fill(out, together, order_by, list(partition_keys), settings)
     # keep log in column order
     order = {f.name: i for i, f in enumerate(fields)}
     log.sort(key=lambda r: order.get(r.column, -1))

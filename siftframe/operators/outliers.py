@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.functions.classify import measure_columns
-from siftframe.functions.exprs import as_double, q
+from siftframe.functions.exprs import as_double, q, put
 from siftframe.operators.steplog import LogRow
 from siftframe.plans.quantiles import quantiles
 from siftframe.settings import DEFAULT, Settings
@@ -75,9 +75,8 @@ def add_flags(df: DataFrame, fences: dict, counts: dict[str, int]) -> tuple[Data
     counts = {c: n for c, n in counts.items() if n > 0}
     if not counts:
         return df, [], {}
-    flags = [F.when(_outside(df, c, fences[c][2], fences[c][3]), 1).otherwise(0)
-             .cast("tinyint").alias(f"is_outlier_{c}") for c in counts]
-    out = df.select(*[q(c) for c in df.columns], *flags)
+    out = put(df, {f"is_outlier_{c}": F.when(_outside(df, c, fences[c][2], fences[c][3]), 1).otherwise(0).cast("tinyint")
+                   for c in counts})
     log = [LogRow("flag_outliers", c, "iqr", n) for c, n in counts.items()]
     return out, log, counts
 

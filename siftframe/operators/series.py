@@ -106,7 +106,7 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: list[str] | None = None,
         k = F.xxhash64(*[q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
     sub = df.select(xs.alias("x"), ys.alias("y"), k.alias("_k")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    return sub.orderBy("_k").limit(n).select(round_keep_sign(F.col("x"), 4).alias("x"),
+    return sub.orderBy("_k", "x", "y").limit(n).select(round_keep_sign(F.col("x"), 4).alias("x"),
                                              round_keep_sign(F.col("y"), 4).alias("y"))
 
 

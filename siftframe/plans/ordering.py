@@ -95,10 +95,11 @@ def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings
 
 
 def _le(keys: list[Column], lits: list[Column]) -> Column:
-    """Lexicographic ``keys <= lits`` on plain columns (no struct per row)."""
-    if len(keys) == 1:
-        return keys[0] <= lits[0]
-    return (keys[0] < lits[0]) | ((keys[0] == lits[0]) & _le(keys[1:], lits[1:]))
+    """Lexicographic ``keys <= lits`` on plain columns (no struct per row); NULL is the smallest value."""
+    key, lit = keys[0], lits[0]
+    less = lit.isNotNull() & F.coalesce(key < lit, F.lit(True))
+    same = key.eqNullSafe(lit)
+    return less | (same if len(keys) == 1 else same & _le(keys[1:], lits[1:]))
 
 
 def _bucket(df: DataFrame, order_cols: list[str], bounds: list[tuple]) -> Column:
@@ -139,7 +140,7 @@ def _bounds_literal(bounds: list[tuple], key_types: list[T.DataType]) -> Column:
     names = [f"k{j}" for j in range(len(key_types))]
     rows = []
     for b in bounds:
-        rows.append({k: (float(v) if isinstance(t, T.DoubleType) else
+        rows.append({k: (None if v is None else float(v) if isinstance(t, T.DoubleType) else
                          str(v) if isinstance(t, T.StringType) else int(v))
                      for k, v, t in zip(names, b, key_types)})
     schema = T.ArrayType(T.StructType([T.StructField(k, t) for k, t in zip(names, key_types)]))

@@ -16,6 +16,7 @@ from siftframe.functions.exprs import round_keep_sign
 from siftframe.operators.dates import convert_dates, sniff_date_columns
 from siftframe.operators.features import (date_parts, drop_all_null_columns, final_count_exprs, final_counts,
                                           infinities_to_null, read_final_counts, unit_price)
+from siftframe.functions.classify import is_datetime
 from siftframe.operators.impute import impute
 from siftframe.operators.narrow import (footprint, footprint_exprs, integer_bound_exprs, narrow_floats,
                                         narrow_integers, read_integer_plan)
@@ -98,9 +99,11 @@ def _finish_in_one_pass(cur: DataFrame, settings: Settings, log: list[LogRow]):
     """
     fences = iqr_fences(cur, None, settings)
     pre, _ = date_parts(cur)
-    pre, _ = unit_price(pre)
-    if pre.columns[:len(cur.columns)] != cur.columns or len(set(pre.columns)) != len(pre.columns):
-        # a derived name collides with an existing column: step by step
+    pre, priced = unit_price(pre)
+    derived = {f"{f.name}_{part}" for f in cur.schema.fields if is_datetime(f.dataType) for part in ("year", "month", "day")}
+    derived |= {f"is_outlier_{c}" for c in fences} | {r.column for r in priced}
+    if derived & set(cur.columns):
+        # a derived column replaces an existing one, which the other counts read: step by step
         cur, rows, outliers = flag_outliers(cur, None, settings)
         log += rows
         cur, rows = narrow_integers(cur)

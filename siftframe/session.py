@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "siftframe",
         # one wide statistics aggregate keeps ~18 buffer fields per column;
         # the default of 100 would split eight columns into two scans
         .config("spark.sql.codegen.maxFields", "256")
-        .config("spark.driver.memory", os.environ.get("SIFT_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("SIFT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -55,13 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before a data-dependent step.
+    """Cut lineage before a data-dependent step: write Parquet, read it back.
 
-    Uses a reliable checkpoint in the session's shared checkpoint folder so
-    a lost executor does not force recomputing the whole upstream plan. If no
-    shared folder exists (cluster without ``spark.checkpoint.dir``) the frame
-    is persisted instead; lineage then still allows recomputation.
+    The file lies in the session's shared checkpoint folder, so a lost
+    executor does not force recomputing the upstream plan, and later scans
+    read only the columns they need. A cluster session must name the folder
+    in ``spark.checkpoint.dir``.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    folder = checkpoint_dir(df.sparkSession)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,6 @@ class Settings:
     corr_band_strong: float = 0.8        # |r| above -> p band 0.001, else 0.049
     strong_r: float = 0.7                # sentence calls |r| above this "strong"
     date_share: float = 0.6              # parsed share needed to convert a column
-    date_sample: int = 50                # values sniffed per column
     max_dist_bins: int = 50              # Freedman-Diaconis cap
     hist_min_bins: int = 5               # chart histogram bin floor
     hist_max_bins: int = 30              # chart histogram bin cap
@@ -39,7 +38,6 @@ class Settings:
     order_bucket_rows: int = 1_000_000   # rows one ordered window task should hold
     order_sample_per_bucket: int = 16    # sampled keys per bucket to place split points
     wide_agg_chunk: int = 100            # columns per aggregate job
-    max_sql_pairs: int = 21              # above this many pairs, correlate via one Gram pass
 
 
 DEFAULT = Settings()

@@ -24,6 +24,10 @@ INT_RE = r"^[+-]?\d+$"
 FLOAT_RE = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 
+# Suggested encodings under the names Spark reads them by (the mark is skipped by the reader).
+CHARSETS = {"utf-8-sig": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
+
+
 def _null_tokens(c):
     return F.when(~c.isin(*[F.lit(t) for t in NA_TOKENS]), c)
 
@@ -41,8 +45,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         x = q(c)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(BOOL_RE)).alias(f"b{i}"),
-                 F.count_if(x.rlike(INT_RE) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"i{i}"),
-                 F.count_if(x.rlike(FLOAT_RE)).alias(f"f{i}")]
+                 F.count_if(F.trim(x).rlike(INT_RE) & F.trim(x).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                 F.count_if(F.trim(x).rlike(FLOAT_RE)).alias(f"f{i}")]
     row = df.agg(*aggs).first()
     rows = row["_rows"]
     out = {}
@@ -64,19 +68,24 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 def _cast(c, t: str):
     if t == "boolean":
         return F.lower(c) == F.lit("true")
-    return c.cast(t)
+    return c if t == "string" else F.trim(c).cast(t)
 
 
 def read_csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8",
-                   schema: T.StructType | str | None = None, delimiter: str = ",") -> DataFrame:
+                   schema: T.StructType | str | None = None, delimiter: str = ",",
+                   multi_line: bool = False) -> DataFrame:
     """Read header CSV file(s) at ``path`` into a typed DataFrame.
 
     With an explicit ``schema`` only the missing-token pass runs (on text
     columns); otherwise types are inferred by ``infer_types``. Duplicate
-    header names get Spark's numbered suffixes.
+    header names get Spark's numbered suffixes. Inside quotes a doubled quote
+    is one quote and a backslash is itself. ``multi_line`` reads quoted line
+    breaks (such a file is not split). ``encoding`` may be a name that
+    ``encoding_audit`` suggests.
     """
-    reader = (spark.read.option("header", True).option("encoding", encoding)
-              .option("sep", delimiter).option("mode", "PERMISSIVE"))
+    reader = (spark.read.option("header", True).option("encoding", CHARSETS.get(encoding.lower(), encoding))
+              .option("sep", delimiter).option("mode", "PERMISSIVE").option("escape", '"')
+              .option("multiLine", multi_line))
     if schema is not None:
         df = reader.schema(schema).csv(path)
         return df.select(*[_null_tokens(q(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType)

@@ -127,14 +127,15 @@ def test_flags_match_counts(spark, sf_small):
         assert out.agg(F.sum(f"is_outlier_{c}")).first()[0] == n
 
 
-def test_gram_correlation_matches_sql_path(spark, sf_small):
+def test_correlation_does_not_depend_on_the_number_of_columns(spark, sf_small):
     from siftframe.operators.correlation import correlations
-    df = table(spark, sf_small, "lineitem")
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    _, a, n1 = correlations(df, cols)
-    _, b, n2 = correlations(df, cols, Settings(max_sql_pairs=1))
-    assert n1 == n2 and a.keys() == b.keys()
-    assert all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
+    df = table(spark, sf_small, "lineitem").withColumn("k", F.lit(3.0)).withColumn("tiny", F.col("l_quantity") * 1e-8)
+    few = ["l_quantity", "l_tax", "k", "tiny"]
+    many = few + ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount"]
+    _, a, n1 = correlations(df, few)
+    _, b, n2 = correlations(df, many)
+    assert n1 == n2 and all(b[p] == r or abs(b[p] - r) < 1e-12 for p, r in a.items() if r is not None)
+    assert b[(2, 2)] is None and a[(2, 2)] is None and abs(b[(0, 3)] - 1) < 1e-9
 
 
 def test_line_and_trend_with_hot_copies(spark):
