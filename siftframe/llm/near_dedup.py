@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siftframe.llm import bloom
 from siftframe.llm.common import by_run, small_batches, stage
-from siftframe.llm.components import components
+from siftframe.llm.components import components, roots
 from siftframe.llm.tokens import LOWER, U, buffers, mix, shingle_sets, words
 
 FEATURES = "doc_id long, n long, f1 long, f2 long, sig binary"
@@ -293,16 +293,20 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> Da
     judged = stage(_judge_pairs(pairs, classes, cfg), "judged")
     best = judged.groupBy("a").agg(F.max_by("b", "matches").alias("b"))
     links = stage(_confirm(stage(best, "best"), docs, cfg), "links")
-    labels = stage(components(links), "labels")
+    labels = stage(roots(links), "labels")  # one best link for each class, to a smaller one: a forest
     of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     rest = judged.select("a", "b").join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = _confirm(stage(rest, "rest"), docs, cfg)
     cross = _cross(bands, labels.select(F.col("node").alias("rep"), "component"), classes, docs, cfg)
-    labels = stage(components(links.union(more).union(cross)), "labels")
-    of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
+    # the later links join whole trees, so only their roots go through the star joins
+    between = more.union(cross).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    merged = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    tree = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "f1", "f2", "n", F.coalesce("component", "rep").alias("root"))
+    of_class = tree.join(merged, F.col("root") == F.col("node"), "left").select(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"),
-        F.coalesce("component", "rep").alias("component"))
+        F.coalesce("component", "root").alias("component"))
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")) & F.col("doc_id").isNotNull()
     out = rows.drop("sig").join(of_class, same, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
