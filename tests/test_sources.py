@@ -95,6 +95,21 @@ def test_clean_stream(spark):
     assert dict(out.dtypes)["price"] == "double" and "is_outlier_price" in out.columns
 
 
+def test_stream_batches_share_their_types(spark):
+    d = tempfile.mkdtemp(prefix="sift-stream-")
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    os.makedirs(src)
+    for name, base, extra in (("a.csv", 0, "0.5"), ("b.csv", 100_000, "2")):
+        _write(src, name, ("id,v\n" + "".join(f"{base + k},{extra}\n" for k in range(5))).encode())
+        q = clean_stream(spark.readStream.schema("id string, v string").option("header", True).csv(src), out,
+                         os.path.join(d, "ckpt"))
+        q.awaitTermination(120)
+    rows = spark.read.parquet(out)
+    assert dict(rows.dtypes)["id"] == "bigint" and dict(rows.dtypes)["v"] == "double"
+    assert sorted(r.id for r in rows.collect()) == [*range(5), *range(100_000, 100_005)]
+    assert {r.v for r in rows.collect()} == {0.5, 2.0}
+
+
 def test_full_report(spark, sf_small):
     rep = full_report(table(spark, sf_small, "events"), tiebreak=["event_id"], checkpoint=False)
     assert {"descriptive_stats", "correlation", "distributions", "frequency_tables", "charts",
