@@ -8,6 +8,8 @@ into dates, which the reference does not do at read time).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,16 +83,41 @@ def read_csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8",
     header names get Spark's numbered suffixes. Inside quotes a doubled quote
     is one quote and a backslash is itself. ``multi_line`` reads quoted line
     breaks (such a file is not split). ``encoding`` may be a name that
-    ``encoding_audit`` suggests.
+    ``encoding_audit`` suggests. Missing trailing fields read as NULL; a row
+    with more fields than the header fails the read.
     """
     reader = (spark.read.option("header", True).option("encoding", CHARSETS.get(encoding.lower(), encoding))
               .option("sep", delimiter).option("mode", "PERMISSIVE").option("escape", '"')
               .option("multiLine", multi_line))
+    wanted = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", False).csv(path)
+    df = _without_extra_fields(reader, path, wanted.schema, delimiter)
     if schema is not None:
-        df = reader.schema(schema).csv(path)
         return df.select(*[_null_tokens(q(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType)
                            else q(f.name) for f in df.schema.fields])
-    return typed_from_text(reader.option("inferSchema", False).csv(path))
+    return typed_from_text(df)
+
+
+def _without_extra_fields(reader, path: str, schema: T.StructType, delimiter: str) -> DataFrame:
+    """The rows under ``schema``, with an error for a row that has more fields than it.
+
+    The reader only says that a row does not fit, so the separators outside
+    quotes of those rows are counted. Column pruning is off because it would
+    skip the reader's own comparison of field counts.
+    """
+    if not schema.fields:
+        return reader.schema(schema).csv(path)
+    bad = "_misfit"
+    while bad in schema.names:
+        bad += "_"
+    df = (reader.option("columnNameOfCorruptRecord", bad).option("columnPruning", False)
+          .schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).csv(path))
+    sep = re.escape(delimiter)
+    bare = F.regexp_replace(bad, f'(^|{sep})"(?:[^"]|"")*+"', "$1")
+    extra = F.size(F.split(bare, sep, -1)) > len(schema)
+    # the first column is named because a query of the misfit column alone is not allowed
+    failure = F.raise_error(F.concat_ws(" ", F.lit(f"row with more than {len(schema)} fields, first and whole:"),
+                                        q(schema.names[0]).cast("string"), F.col(bad))).cast("boolean")
+    return df.where(F.when(F.col(bad).isNotNull() & extra, failure).otherwise(F.lit(True))).drop(bad)
 
 
 def typed_from_text(text: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftframe.plans.report import full_report
@@ -42,6 +43,21 @@ def test_read_csv_types_and_tokens(spark):
     assert rows[0][" Customer Name "] == " Ann "  # trimming is a cleaning step, not a read step
 
 
+def test_read_csv_field_counts(spark):
+    """Rows with too few fields are padded; one field too many fails, also under a schema and for a bare count."""
+    d = tempfile.mkdtemp(prefix="sift-csv-")
+    fits = _write(d, "fits.csv", b'a,b,c\n1,"x,y,z",2\n2,q\n3,"he said ""a,b""",4\n')
+    rows = read_csv_table(spark, fits).orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [(1, "x,y,z", 2.0), (2, "q", None), (3, 'he said "a,b"', 4.0)]
+    for name, row in (("more.csv", b"3,4,5\n"), ("blank.csv", b"3,4,\n")):
+        p = _write(d, name, b"a,b\n1,2\n" + row)
+        for schema in (None, "a int, b int"):
+            with pytest.raises(Exception, match="more than 2 fields"):
+                read_csv_table(spark, p, schema=schema).count()
+    semi = _write(d, "semi.csv", b"a;b\n1;2,5\n")
+    assert read_csv_table(spark, semi, delimiter=";").collect()[0]["b"] == "2,5"
+
+
 def test_encoding_audit(spark):
     d = tempfile.mkdtemp(prefix="sift-enc-")
     _write(d, "a.csv", "x,y\n1,é\n".encode("utf-8"))
