@@ -56,9 +56,12 @@ def correlations(df: DataFrame, cols: list[str] | None = None,
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
-                       settings: Settings = DEFAULT) -> DataFrame:
-    """Long form ``(i, j, col1, col2, r)`` of the full symmetric matrix, 4 decimals."""
-    cols, rs, _ = correlations(df, cols, settings)
+                       settings: Settings = DEFAULT, known: tuple | None = None) -> DataFrame:
+    """Long form ``(i, j, col1, col2, r)`` of the full symmetric matrix, 4 decimals.
+
+    ``known`` is an earlier result of ``correlations`` on the same columns.
+    """
+    cols, rs, _ = known or correlations(df, cols, settings)
     rows = []
     for i in range(len(cols)):
         for j in range(len(cols)):
@@ -87,13 +90,14 @@ def pair_rows(cols, rs, n, settings: Settings = DEFAULT) -> list[tuple]:
 
 
 def significant_pairs(df: DataFrame, cols: list[str] | None = None,
-                      settings: Settings = DEFAULT) -> DataFrame:
+                      settings: Settings = DEFAULT, known: tuple | None = None) -> DataFrame:
     """``(rank, col1, col2, correlation, p_band, n, t_stat)``.
 
     ``p_band`` is the reference's fixed two-level value, not a p-value; ``n``
-    and ``t_stat`` let a caller compute a real one.
+    and ``t_stat`` let a caller compute a real one. ``known`` is an earlier
+    result of ``correlations`` on the same columns.
     """
-    cols, rs, n = correlations(df, cols, settings)
+    cols, rs, n = known or correlations(df, cols, settings)
     out = local_frame(df.sparkSession, pair_rows(cols, rs, n, settings), PAIRS_SCHEMA)
     return (out.withColumn("correlation", round_keep_sign(F.col("correlation"), 4))
             .withColumn("t_stat", round_keep_sign(F.col("t_stat"), 4)))

@@ -25,14 +25,16 @@ SENTENCE_SCHEMA = "seq int, kind string, column_name string, sentence string"
 CATALOG_SCHEMA = "seq int, chart_type string, title string, x string, y string"
 
 
-def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = ()) -> list[tuple]:
+def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
+                 stats: DataFrame | None = None, known: tuple | None = None) -> list[tuple]:
     kinds = classify(df)
     n_rows = df.count()
     out: list[tuple[str, str | None, str]] = []
     out.append(("overview", None,
                 f"{n_rows:,} rows in {len(df.columns)} columns: {len(kinds.numeric)} numeric, "
                 f"{len(kinds.categorical)} categorical, {len(kinds.datetime)} datetime."))
-    stats = sorted(descriptive_stats(df, kinds.numeric, settings).collect(), key=lambda r: r["position"])
+    stats = descriptive_stats(df, kinds.numeric, settings) if stats is None else stats
+    stats = sorted(stats.collect(), key=lambda r: r["position"])
     for s in stats:
         c = s["column_name"]
         out.append(("range", c, f"'{c}' spans {s['min']:,.2f} to {s['max']:,.2f} "
@@ -48,7 +50,7 @@ def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str
                 best = s
         out.append(("maximum", best["column_name"],
                     f"The largest value, {best['max']:,.2f}, is in '{best['column_name']}'."))
-    cols, rs, n = correlations(df, kinds.numeric, settings)
+    cols, rs, n = known or correlations(df, kinds.numeric, settings)
     pairs = pair_rows(cols, rs, n, settings)
     if pairs:
         _, c1, c2, r, band, _, _ = pairs[0]
@@ -78,14 +80,16 @@ def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str
     return [(i, k, c, s) for i, (k, c, s) in enumerate(out)]
 
 
-def insight_sentences(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = ()) -> DataFrame:
+def insight_sentences(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
+                      stats: DataFrame | None = None, known: tuple | None = None) -> DataFrame:
     """``(seq, kind, column_name, sentence)``: overview; range (+ skew) per numeric
     column; column with the largest value; strongest pair; top category per
-    categorical; trend per datetime x first 2 numerics."""
-    return local_frame(df.sparkSession, insight_rows(df, settings, tiebreak), SENTENCE_SCHEMA)
+    categorical; trend per datetime x first 2 numerics. ``stats`` and ``known`` are
+    earlier results of ``descriptive_stats`` and ``correlations`` on ``df``."""
+    return local_frame(df.sparkSession, insight_rows(df, settings, tiebreak, stats, known), SENTENCE_SCHEMA)
 
 
-def chart_catalog(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def chart_catalog(df: DataFrame, settings: Settings = DEFAULT, known: tuple | None = None) -> DataFrame:
     """``(seq, chart_type, title, x, y)`` for every chart the data supports, in
     the order line, bar, pie, histogram, scatter, heatmap. One aggregate
     supplies all the row counts the rules need."""
@@ -117,7 +121,7 @@ def chart_catalog(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     for i, v in enumerate(nums4):
         if row[f"h{i}"] >= 2:
             rows.append(("histogram", f"histogram of {v}", v, None))
-    cols, rs, n = correlations(df, kinds.numeric, settings)
+    cols, rs, n = known or correlations(df, kinds.numeric, settings)
     for p in pair_rows(cols, rs, n, settings)[:settings.scatter_pairs]:
         rows.append(("scatter", f"{p[1]} vs {p[2]} (r = {round(p[3], 4):.2f})", p[1], p[2]))
     if len(kinds.numeric) >= 2:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.functions.classify import classify
-from siftframe.operators.correlation import correlation_matrix, significant_pairs
+from siftframe.operators.correlation import correlation_matrix, correlations, significant_pairs
 from siftframe.operators.frequency import frequency_table, pie_series
 from siftframe.operators.histogram import distribution, histogram_series
 from siftframe.operators.narrative import chart_catalog, insight_sentences
@@ -19,10 +19,15 @@ from siftframe.plans.local import local_frame
 
 def full_report(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
                 scatter_key: list[str] | None = None, checkpoint: bool = True) -> dict[str, DataFrame]:
-    """All report parts as small DataFrames over one materialised input."""
+    """All report parts as small DataFrames over one materialised input.
+
+    Correlations and descriptive statistics are computed once and shared.
+    """
     base = materialize(df) if checkpoint else df
     kinds = classify(base)
-    pairs = significant_pairs(base, kinds.numeric, settings)
+    known = correlations(base, kinds.numeric, settings)
+    stats = descriptive_stats(base, kinds.numeric, settings)
+    pairs = significant_pairs(base, kinds.numeric, settings, known)
     top_pairs = pairs.orderBy("rank").limit(settings.scatter_pairs).collect()
     scatters = [scatter_sample(base, p["col1"], p["col2"], scatter_key, settings=settings)
                 .select(F.lit(p["rank"]).alias("pair_rank"), F.lit(p["col1"]).alias("col1"),
@@ -34,16 +39,16 @@ def full_report(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str]
         "column_types": local_frame(base.sparkSession, 
             [(k, c) for k in ("numeric", "categorical", "datetime") for c in getattr(kinds, k)],
             "kind string, column_name string"),
-        "descriptive_stats": descriptive_stats(base, kinds.numeric, settings),
-        "correlation": correlation_matrix(base, kinds.numeric, settings),
+        "descriptive_stats": stats,
+        "correlation": correlation_matrix(base, kinds.numeric, settings, known),
         "significant_pairs": pairs,
         "distributions": distribution(base, None, settings),
         "frequency_tables": frequency_table(base, kinds.categorical, None, settings),
         "bar_series": bar_series(base, settings=settings),
         "pie_series": pie_series(base, settings=settings),
         "histogram_series": histogram_series(base, settings=settings),
-        "charts": chart_catalog(base, settings),
-        "insights": insight_sentences(base, settings, tiebreak),
+        "charts": chart_catalog(base, settings, known),
+        "insights": insight_sentences(base, settings, tiebreak, stats, known),
         "summary": base.agg(F.count(F.lit(1)).alias("total_rows")).select(
             "total_rows", F.lit(len(base.columns)).alias("total_columns"),
             F.lit(len(kinds.numeric)).alias("numeric_columns"),
