@@ -44,7 +44,7 @@ def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
         return local_frame(df.sparkSession, [], "position long, label string, value double")
     step = n // settings.line_max_points if n > settings.line_max_points else 1
     groups, order = _copies(pairs, t, v, list(tiebreak))
-    pos = with_position(groups, order, settings=settings, n=n, weight="_c")
+    pos = with_position(groups, order, settings=settings, n=n, weight="_c", step=step)
     # first kept position at or after the group's start (integer arithmetic)
     first = F.col("_pos") + (F.lit(step) - F.col("_pos") % F.lit(step)) % F.lit(step)
     last = F.col("_pos") + F.col("_c") - 1

@@ -183,20 +183,24 @@ def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
 
 def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                   settings: Settings = DEFAULT, pos_col: str = "_pos",
-                  n: int | None = None, weight: str | None = None) -> DataFrame:
+                  n: int | None = None, weight: str | None = None, step: int = 1) -> DataFrame:
     """Add the 0-based position of each row in (partition, order_cols) order.
 
     ``order_cols`` must be non-null and together unique for a deterministic
     numbering (pass a tiebreak column last). With ``weight``, each row stands
     for that many identical rows (e.g. copies collapsed by a grouped count)
-    and gets the position of the first of them.
+    and gets the position of the first of them. With ``step``, only buckets
+    that hold a multiple of it are kept, so the others are never sorted.
     """
     parts = [q(c) for c in partition_cols]
     b = bucketed(df, order_cols, settings, n)
     size = F.col(weight) if weight else F.lit(1)
     counts = b.groupBy(*parts, "_bkt").agg(F.sum(size).cast("long").alias("_cnt"))
     w_off = Window.partitionBy(*parts).orderBy("_bkt")
-    offsets = counts.withColumn("_off", F.sum("_cnt").over(w_off) - F.col("_cnt")).drop("_cnt")
+    offsets = counts.withColumn("_off", F.sum("_cnt").over(w_off) - F.col("_cnt"))
+    if step > 1:
+        offsets = offsets.where(F.pmod(-F.col("_off"), F.lit(step)) < F.col("_cnt"))
+    offsets = offsets.drop("_cnt")
     if not partition_cols:
         # at most ``order_buckets`` rows: a proven bound for the broadcast
         offsets = F.broadcast(offsets)

@@ -91,6 +91,15 @@ def test_positions_text_and_double_keys(spark, sf_small, keys):
     assert got.count() == part.count()
 
 
+def test_positions_with_a_step_keep_only_buckets_that_hold_one(spark, sf_small):
+    ev = table(spark, sf_small, "events")
+    st = Settings(order_bucket_rows=10, order_buckets=1000)
+    full = {r["event_id"]: r["_pos"] for r in with_position(ev, ["ts", "event_id"], settings=st).collect()}
+    some = {r["event_id"]: r["_pos"] for r in with_position(ev, ["ts", "event_id"], settings=st, step=97).collect()}
+    assert some.items() <= full.items() and len(some) < len(full) / 2
+    assert {p for p in some.values() if p % 97 == 0} == set(range(0, len(full), 97))
+
+
 def test_forward_fill_across_buckets(spark, sf_small):
     ev = table(spark, sf_small, "events").select(
         "event_id", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("ts")).alias("ts"))
