@@ -23,15 +23,6 @@ def edge(i: Column, lo: Column, hi: Column, k: Column) -> Column:
     return F.when(i >= k, hi).otherwise(i.cast("double") * ((hi - lo) / k) + lo)
 
 
-def bin_index(x: Column, lo: Column, hi: Column, k: Column) -> Column:
-    """0-based bin of ``x`` for ``k`` bins on [lo, hi] (lo < hi)."""
-    raw = F.floor((x - lo) * (k / (hi - lo)))
-    first = F.when(raw >= k, k - 1).otherwise(raw)
-    down = F.when(x < edge(first, lo, hi, k), first - 1).otherwise(first)
-    return (F.when((x >= edge(down + 1, lo, hi, k)) & (down != k - 1), down + 1)
-            .otherwise(down))
-
-
 def sql_bin_index(x: str, lo: str, hi: str, k: str) -> str:
     """The same rule written as SQL text (used by the DuckDB oracles)."""
 

@@ -49,26 +49,6 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def searchsorted(x: Column, bounds: list, cast: str | None = None) -> Column:
-    """Number of ``bounds`` strictly below ``x`` as a balanced CASE tree.
-
-    Bucket ``k`` therefore holds ``bounds[k-1] < x <= bounds[k]``; evaluation
-    costs log2(len(bounds)) comparisons per row.
-    """
-
-    def lit(v):
-        c = F.lit(v)
-        return c.cast(cast) if cast else c
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x <= lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
-
-
 def fixed(x: Column, decimals: int) -> Column:
     """``x`` as text with ``decimals`` places, correctly rounded from the binary
     value (like Python's ``f"{x:.2f}"``); no grouping commas."""

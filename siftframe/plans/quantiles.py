@@ -72,22 +72,6 @@ def column_counts(df: DataFrame, cols: list[str], limit: int | None = None) -> d
     return {c: (row[f"n{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
-def refine_distinct(df: DataFrame, counts: dict[str, tuple], limit: int) -> dict[str, tuple]:
-    """Replace the distinct bound by a sketch estimate where the bound is large
-    (one extra scan; ``quantiles`` does not need it)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    big = [c for c, t in counts.items() if t[1] > limit]
-    if not big:
-        return counts
-    row = df.agg(*[F.approx_count_distinct(as_double(c, types[c])).alias(f"d{i}")
-                   for i, c in enumerate(big)]).first()
-    out = dict(counts)
-    for i, c in enumerate(big):
-        n, _, lo, hi = counts[c]
-        out[c] = (n, row[f"d{i}"], lo, hi)
-    return out
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
               settings: Settings = DEFAULT,
               counts: dict[str, tuple] | None = None) -> dict[str, list[float | None]]:
