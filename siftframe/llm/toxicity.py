@@ -3,7 +3,9 @@
 Lexicon: weights of insult and threat words are learned from labelled
 documents (a documented, bounded number), counted in Spark: the log odds of whole words and
 of word beginnings (stems, for inflected words) between toxic and clean
-documents. A word counts with its strongest entry. Target, negation and
+documents. Equal and near-equal texts form one family, which counts once; an
+entry is kept when an exact test on the families passes at a bounded share of
+false finds. A word counts with its strongest entry. Target, negation and
 reporting words are fixed values.
 
 Grammar: each clause runs through a composition of small transducers. Word
@@ -25,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.llm.common import small_batches, stage
-from siftframe.llm.tokens import LOWER, SPACE, U, Words, buffers, mix, words
+from siftframe.llm.near_dedup import _multipliers
+from siftframe.llm.tokens import LOWER, SPACE, U, Words, buffers, mix, shingle_sets, words
 
 # Closed word classes of the grammar.
 TARGETS = "you your yours u ur he she they them we him her du ihr sie tu vous te votre usted tú ustedes"
@@ -46,10 +49,9 @@ for _b in b".,;:!?\"()[]{}<>|*%&$#=+/\\~^`_@":
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    min_docs: int = 8           # toxic documents with an entry
+    min_docs: int = 8           # independent toxic documents with an entry
     min_log_odds: float = 2.0
-    min_of_top: float = 0.1     # toxic documents with the entry, against the commonest entry: what is
-                                # much rarer is mostly a word of one family of copies
+    false_share: float = 0.05   # share of kept entries that may stand in toxic documents by chance
     lexicon_size: int = 5_000   # heaviest words kept
     fit_rows: int = 100_000     # labelled rows that are learned from, smallest id hashes first; their ids
                                 # and labels (some MB) are broadcast, so that no text is shuffled
@@ -183,22 +185,124 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-ROW = [("h", U), ("bad", np.int64), ("good", np.int64), ("s", np.int64), ("e", np.int64), ("stem", np.int64)]
+SHINGLE, BANDS, HASHES = 5, 12, 48  # words a shingle; MinHash values, and bands they are looked up by
+ALIKE = 32  # of HASHES values equal: a similarity of about two thirds
 
 
-def learn_lexicon(labelled: DataFrame, cfg: ToxicityConfig) -> dict[str, float]:
-    """Entry weights from (text, toxic) rows, counted over all of them.
+def sketches(rows: DataFrame) -> DataFrame:
+    """(row, toxic, sig): the MinHash signature of each row's words, empty for a text without words."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul, add = _multipliers(HASHES)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            values, ranges = shingle_sets(words(fold(data), offsets, _TOKEN), SHINGLE)
+            full = np.flatnonzero(np.diff(ranges))
+            sig = np.zeros((batch.num_rows, HASHES), np.uint32)
+            for j in range(HASHES if len(full) else 0):
+                sig[full, j] = np.minimum.reduceat(((values * mul[j] + add[j]) >> U(32)).astype(np.uint32), ranges[:-1][full])
+            held = set(full.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("toxic"),
+                 pa.array([x.tobytes() if i in held else b"" for i, x in enumerate(sig)], pa.binary())],
+                names=["row", "toxic", "sig"])
+
+    return rows.select("row", "toxic", "text").mapInArrow(make, "row long, toxic int, sig binary")
+
+
+def families(sig: np.ndarray) -> np.ndarray:
+    """For each signature the smallest index of its family of (near-)equal ones.
+
+    Signatures that share a band are compared with the band's first and with
+    the one before; those with ALIKE equal values are linked.
+    """
+    n, rows = len(sig), HASHES // BANDS
+    label = np.arange(n)
+    links = []
+    for b in range(BANDS if n else 0):
+        key = np.zeros(n, U)
+        for r in range(rows):
+            key = mix(key ^ (sig[:, b * rows + r].astype(U) + U(r << 40)))
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+        first = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+        later = np.flatnonzero(~new)
+        for other in (first[later], order[later - 1]):
+            links.append(np.stack([order[later], other], 1))
+    pairs = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+    alike = np.concatenate([np.zeros(0, bool), *[
+        (sig[p[:, 0]] == sig[p[:, 1]]).sum(1) >= ALIKE for p in np.array_split(pairs, len(pairs) // 100_000 + 1)]])
+    a, b = pairs[alike].T
+    while True:
+        low = np.minimum(label[a], label[b])
+        made = label.copy()
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(made, end, low)
+        made = made[made]
+        if np.array_equal(made, label):
+            return label
+        label = made
+
+
+def _choose(n: int, of: np.ndarray) -> np.ndarray:
+    """Logarithms of the binomials n over each of ``of``."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    return logs[n] - logs[of] - logs[n - of]
+
+
+def chance(bad: int, good: int, size: tuple[int, int]) -> float:
+    """Probability that of bad + good documents drawn from ``size`` (toxic, clean) at least ``bad`` are toxic."""
+    n = bad + good
+    k = np.arange(max(bad, n - size[1]), min(n, size[0]) + 1)
+    return float(np.exp(_choose(size[0], k) + _choose(size[1], n - k) - _choose(sum(size), np.array([n]))).sum())
+
+
+def significance(pairs: list[tuple[int, int, int]], totals: list[tuple[int, int]], size: tuple[int, int], share: float) -> float:
+    """Largest ``chance`` at which at most ``share`` of the accepted entries are expected to be false.
+
+    ``pairs`` has (bad, good, entries) of the candidates, ``totals`` (bad +
+    good, entries) of all entries. Benjamini-Hochberg; entries that stand in
+    too few documents ever to reach a level are not tested at it (Tarone), so
+    the level is as good for few documents as for many.
+    """
+    if not pairs or not min(size):
+        return -1.0
+    n, held = np.array(sorted(totals), np.int64).T
+    k = np.minimum(n, size[0])
+    least = np.exp(_choose(size[0], k) + _choose(size[1], n - k) - _choose(sum(size), n))
+    order = np.argsort(least, kind="stable")
+    least, held = least[order], np.cumsum(held[order])
+    found, best = 0, -1.0
+    scored = sorted((chance(b, g, size), c) for b, g, c in pairs)
+    for i, (p, c) in enumerate(scored):
+        found += c
+        if i + 1 < len(scored) and scored[i + 1][0] == p:
+            continue
+        tested = held[max(np.searchsorted(least, p * (1 + 1e-9), side="right") - 1, 0)]
+        if p * tested <= share * found:
+            best = p
+    return best
+
+
+ROW = [("h", U), ("family", np.int64), ("bad", np.int64), ("good", np.int64), ("s", np.int64), ("e", np.int64), ("stem", np.int64)]
 
-    Each task counts the documents with an entry by its hash before anything
-    is shuffled; the letters of an entry travel with its count.
+
+def learn_lexicon(labelled: DataFrame, size: tuple[int, int], cfg: ToxicityConfig) -> dict[str, float]:
+    """Entry weights from (text, toxic, family) rows, counted over all of them.
+
+    A family counts once for each label it has, with the entries of all its
+    rows; a negative family stands for a row of its own. ``size`` has the
+    toxic and the clean ones. Each task counts the documents with an entry by
+    its hash before anything is shuffled; the letters of an entry travel with
+    its count.
     """
     def tally(parts: list[np.ndarray]) -> np.ndarray:
-        """Counts summed by hash: rows of ROW."""
+        """Counts summed by hash and family: rows of ROW."""
         rows = np.concatenate(parts)
-        rows = rows[np.argsort(rows["h"], kind="stable")]
-        at = np.flatnonzero(np.concatenate(([True], rows["h"][1:] != rows["h"][:-1])))
+        rows = rows[np.lexsort((rows["family"], rows["h"]))]
+        at = np.flatnonzero(np.concatenate(([True], (rows["h"][1:] != rows["h"][:-1]) | (rows["family"][1:] != rows["family"][:-1]))))
         out = rows[at]
-        out["bad"], out["good"] = np.add.reduceat(rows["bad"], at), np.add.reduceat(rows["good"], at)
+        if len(at):
+            out["bad"], out["good"] = np.add.reduceat(rows["bad"], at), np.add.reduceat(rows["good"], at)
         return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +311,7 @@ def learn_lexicon(labelled: DataFrame, cfg: ToxicityConfig) -> dict[str, float]:
             w = words(fold(data), offsets, _TOKEN)
             if not len(w.starts):
                 continue
-            toxic = np.asarray(batch.column("toxic")) == 1
+            toxic, family = np.asarray(batch.column("toxic")) == 1, np.asarray(batch.column("family"))
             of = np.repeat(np.arange(batch.num_rows), w.counts)
             kept, names = [], w.data
             for starts, ends, h, which in entries(w):
@@ -219,56 +323,78 @@ def learn_lexicon(labelled: DataFrame, cfg: ToxicityConfig) -> dict[str, float]:
                 rows = np.zeros(int(first.sum()), ROW)
                 rows["h"], rows["s"], rows["e"] = hs[first], starts[order[first]], ends[order[first]]
                 rows["stem"], rows["bad"] = len(kept) > 0, toxic[ds[first]]
-                rows["good"] = 1 - rows["bad"]
+                rows["good"], rows["family"] = 1 - rows["bad"], family[ds[first]]
                 kept.append(rows)
             done = tally(kept)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(done["h"].view(np.int64)), pa.array(done["bad"]), pa.array(done["good"]),
+                [pa.array(done["h"].view(np.int64)), pa.array(done["family"]), pa.array(done["bad"]), pa.array(done["good"]),
                  pa.array([names[s:e].tobytes() + b"*" * stem for s, e, stem in zip(
                      done["s"].tolist(), done["e"].tolist(), done["stem"].tolist(), strict=True)], pa.binary())],
-                names=["h", "bad", "good", "name"])
-
-    found = labelled.select("text", "toxic").mapInArrow(count, "h long, bad long, good long, name binary")
-    by_entry = found.groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.first("name").alias("name"))
-    size = labelled.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("bad"),
-                        F.count(F.when(F.col("toxic") == 0, 1)).alias("good")).first()
-    odds = F.log((F.col("bad") + 0.5) / (size["bad"] + 1)) - F.log((F.col("good") + 0.5) / (size["good"] + 1))
+                names=["h", "family", "bad", "good", "name"])
+
+    found = labelled.select("text", "toxic", "family").mapInArrow(count, "h long, family long, bad long, good long, name binary")
+    found = found.groupBy("h", "family").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.first("name").alias("name"))
+    once = lambda c: F.sum(F.when(F.col("family") < 0, F.col(c)).otherwise(F.least(F.col(c), F.lit(1)))).alias(c)
+    by_entry = found.groupBy("h").agg(once("bad"), once("good"), F.first("name").alias("name"))
+    by_entry = stage(by_entry.select(F.col("name").cast("string").alias("word"), "bad", "good"), "entries")
+    odds = F.log((F.col("bad") + 0.5) / (size[0] + 1)) - F.log((F.col("good") + 0.5) / (size[1] + 1))
     kept = by_entry.withColumn("weight", odds).where((F.col("bad") >= cfg.min_docs) & (F.col("weight") >= cfg.min_log_odds))
-    kept = stage(kept.select(F.col("name").cast("string").alias("word"), "bad", "weight"), "lexicon")
-    top = kept.agg(F.max("bad")).first()[0] or 0
-    kept = kept.where(F.col("bad") >= cfg.min_of_top * top)
-    kept = kept.orderBy(F.desc(F.col("weight") * F.log("bad")), "word").limit(cfg.lexicon_size)
+    pairs = [tuple(r) for r in kept.groupBy("bad", "good").count().collect()]
+    totals = [tuple(r) for r in by_entry.groupBy((F.col("bad") + F.col("good")).alias("n")).count().collect()]
+    level = significance(pairs, totals, size, cfg.false_share)
+    passed = [(b, g) for b, g, _ in pairs if chance(b, g, size) <= level]
+    if not passed:
+        return {}
+    passed = labelled.sparkSession.createDataFrame(passed, "bad long, good long")
+    kept = kept.join(F.broadcast(passed), ["bad", "good"], "left_semi")
+    kept = kept.orderBy(F.desc(F.col("weight") * F.log1p("bad")), "word").limit(cfg.lexicon_size)
     return {r["word"]: float(r["weight"]) for r in kept.select("word", "weight").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Learn from the labelled rows of ``docs`` that are not held out.
 
-    Rows without text, label or id are left aside. Repeated rows count as
-    often as they come. Without a toxic row the lexicon is empty and the model
-    gives every text the same low score.
+    Rows without text, label or id are left aside. Equal and near-equal texts
+    count as one, in the lexicon and (by weight) in the logistic model. Without
+    a toxic row the lexicon is empty and the model gives every text the same
+    low score.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows)
     rows = docs.select("doc_id", "text").where("text is not null")
-    rows = stage(rows.join(F.broadcast(stage(known, "labels")), "doc_id").select("doc_id", "text", "toxic"), "labelled")
-    model = ToxicityModel(learn_lexicon(rows, cfg))
+    rows = rows.join(F.broadcast(stage(known, "labels")), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    seen = sketches(rows).toPandas().sort_values("row")
+    seen = seen[seen["sig"].str.len() > 0]
+    sig = np.frombuffer(b"".join(seen["sig"]), np.uint32).reshape(-1, HASHES)
+    seen["family"] = families(sig)
+    toxic = seen["toxic"] == 1
+    size = seen["family"][toxic].nunique(), seen["family"][~toxic].nunique()
+    seen["share"] = 1.0 / seen.groupby(["family", toxic])["row"].transform("size")
+    alone = ~seen["family"].duplicated(keep=False)
+    of_row = spark.createDataFrame(pa.table({
+        "row": seen["row"].to_numpy(np.int64), "family": np.where(alone, -1, seen["family"]).astype(np.int64),
+        "share": seen["share"].to_numpy(float)}))
+    rows = rows.join(F.broadcast(stage(of_row, "families")), "row")
+    model = ToxicityModel(learn_lexicon(rows, size, cfg))
     table = model.word_hashes()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text"), table)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c) for c in x.T], batch.column("toxic")],
-                                             names=["doc_id", "x0", "x1", "x2", "x3", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c) for c in x.T], batch.column("share"), batch.column("toxic")],
+                                             names=["row", "x0", "x1", "x2", "x3", "share", "toxic"])
 
-    made = rows.mapInArrow(measure, "doc_id long, x0 double, x1 double, x2 double, x3 double, toxic int")
-    made = made.toPandas().sort_values("doc_id")
-    return ToxicityModel(model.lexicon, _fit_logistic(made[["x0", "x1", "x2", "x3"]].to_numpy(float), made["toxic"].to_numpy(float)))
+    made = rows.mapInArrow(measure, "row long, x0 double, x1 double, x2 double, x3 double, share double, toxic int")
+    made = made.toPandas().sort_values("row")
+    return ToxicityModel(model.lexicon, _fit_logistic(made[["x0", "x1", "x2", "x3"]].to_numpy(float),
+                                                      made["toxic"].to_numpy(float), made["share"].to_numpy(float)))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton steps with a small ridge."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, ...]:
+    """Newton steps with a small ridge; ``share`` weighs the rows."""
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}).coefficients
     d = _design(x)
@@ -276,7 +402,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     ridge = np.diag([1e-6, *[0.1] * (d.shape[1] - 1)])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(d @ beta, -30, 30)))
-        step = np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + ridge, d.T @ (y - p) - ridge @ beta)
+        step = np.linalg.solve(d.T @ (d * (share * p * (1 - p))[:, None]) + ridge, d.T @ (share * (y - p)) - ridge @ beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -206,3 +207,46 @@ def test_scores_do_not_depend_on_batches():
     whole = toxicity.features(pa.array(texts), model.word_hashes())
     single = np.concatenate([toxicity.features(pa.array([t]), model.word_hashes()) for t in texts])
     assert np.allclose(whole, single) and whole[1, 0] == 2.0 and whole[2, 0] == 0
+
+
+def toxic_rows(rng, plan, clean):
+    """(docs, labels) of training rows: for each (insult, documents) of ``plan`` texts with it, and ``clean`` texts without."""
+    word = lambda: "w" + "".join(rng.choice("abcdefghijk") for _ in range(7))
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs, labels = [], []
+    for insult, n in [*plan, (None, clean)]:
+        for _ in range(n):
+            text = [word() for _ in range(40)]
+            if insult:
+                text[rng.randrange(40)] = insult
+            docs.append((next(ids), " ".join(text)))
+            labels.append((docs[-1][0], 0, int(insult is not None)))
+    return docs, labels, ids
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_toxicity_counts_copies_once_and_learns_rare_insults(spark):
+    rng = random.Random(8)
+    docs, labels, ids = toxic_rows(rng, [("gronk", 150), ("flurp", 12)], 400)
+    copied = [f"copied{k:c}x" for k in range(97, 123)] * 2 + ["gronk"]
+    for k in range(400):  # half of them exact copies, half with one word changed
+        text = [w.upper() if k % 2 else w for w in copied]
+        if k % 4 > 1:
+            text[rng.randrange(52)] = f"q{rng.randrange(10**9)}"
+        docs.append((next(ids), " ".join(text)))
+        labels.append((docs[-1][0], 0, 1))
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame(labels, LABELS))
+    assert {"gronk", "flurp"} <= set(model.lexicon)
+    assert not [w for w in model.lexicon if w.startswith(("copied", "q", "w"))]
+
+
+def test_families_are_of_near_equal_texts_only():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**32, (3, toxicity.HASHES), dtype=np.uint32)
+    near, half = base[0].copy(), base[1].copy()
+    near[40:] += 1
+    half[24:] += 1
+    label = toxicity.families(np.stack([base[0], base[1], near, half, base[2], base[0]]))
+    assert label.tolist() == [0, 1, 0, 3, 4, 0] and toxicity.families(base[:0]).tolist() == []
