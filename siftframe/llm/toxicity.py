@@ -49,7 +49,7 @@ for _b in b".,;:!?\"()[]{}<>|*%&$#=+/\\~^`_@":
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    min_docs: int = 8           # independent toxic documents with an entry
+    min_docs: int = 1           # independent toxic documents with an entry; the test decides how many are needed
     min_log_odds: float = 2.0
     false_share: float = 0.05   # share of kept entries that may stand in toxic documents by chance
     lexicon_size: int = 5_000   # heaviest words kept

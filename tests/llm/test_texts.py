@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -250,3 +251,21 @@ def test_families_are_of_near_equal_texts_only():
     half[24:] += 1
     label = toxicity.families(np.stack([base[0], base[1], near, half, base[2], base[0]]))
     assert label.tolist() == [0, 1, 0, 3, 4, 0] and toxicity.families(base[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("scale", [1, 4])
+def test_toxicity_learns_from_few_documents(spark, scale):
+    docs, labels, _ = toxic_rows(random.Random(9), [("gronk", 5 * scale), ("flurp", 5 * scale)], 50 * scale)
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame(labels, LABELS))
+    assert {"gronk", "flurp"} <= set(model.lexicon)
+    assert all(w.startswith(("gron", "flur")) for w in model.lexicon)
+    by_chance = [(i, j, int(i % 6 == 0)) for i, j, _ in labels]  # labels without a meaning teach nothing
+    assert toxicity.fit(frame(spark, docs), spark.createDataFrame(by_chance, LABELS)).lexicon == {}
+
+
+def test_significance_against_brute_force():
+    assert abs(toxicity.chance(3, 1, (5, 7)) - sum(comb(5, k) * comb(7, 4 - k) for k in (3, 4)) / comb(12, 4)) < 1e-12
+    assert toxicity.significance([], [], (5, 7), 0.05) == toxicity.significance([(2, 0, 3)], [(2, 3)], (5, 0), 0.05) == -1
+    # 20 entries in one document cannot reach the level of the three in four, so they do not weaken it
+    level = toxicity.significance([(4, 0, 3), (1, 0, 20)], [(4, 3), (1, 20)], (9, 54), 0.05)
+    assert abs(level - toxicity.chance(4, 0, (9, 54))) < 1e-12
