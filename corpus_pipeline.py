@@ -82,7 +82,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),
           ("decontaminate", drop_contaminated), ("bpe", encode)]
 
-#: Classification, components and encoding have no SQL form; tests hold the stages against brute force.
+#: Classification, components and encoding have no SQL form; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 

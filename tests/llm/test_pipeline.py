@@ -110,3 +110,43 @@ def test_benchmark_passages(spark, world):
     assert len(rows) - 3 == len(kept)
     assert normal(after(spark, world, "decontaminate", rows)) == normal(kept)
     assert after(spark, world, "decontaminate", []) == []
+
+
+@pytest.fixture(scope="module")
+def toxic_world(spark, world, tmp_path_factory):
+    """(rows, benchmark items, folder): the rows of ``world`` and toxic and clean labelled ones."""
+    rng = random.Random(13)
+    rows, labels = list(world[0]), []
+    for i in range(100, 340):
+        bad = i % 3 == 0
+        rows.append((i, text(rng) + (". you gronk, you flurp. gronk." if bad else "")))
+        labels.append((i, 0, int(bad)))
+    rows += [(None, text(rng) + ". you gronk, you flurp."), (5, text(rng) + ". you flurp, you gronk."), rows[-1], rows[-2]]
+    path = str(tmp_path_factory.mktemp("toxic"))
+    spark.createDataFrame([(k, t) for k, t in enumerate(world[1])], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return rows, world[1], path
+
+
+def test_toxic_texts(spark, toxic_world):
+    rows = toxic_world[0]
+    assert normal(after(spark, toxic_world, "toxicity", rows)) == normal([r for r in rows if "gronk" not in key(r[1])])
+
+
+def test_all_stages(spark, toxic_world):
+    rows, items, path = toxic_world
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    left = exact([r for r in rows if "gronk" not in key(r[1])])
+    left = clean([left[k] for k in near(left)], items)
+    done = corpus_pipeline.run(spark, path)
+    plain = corpus_pipeline.encode(spark, spark.createDataFrame(left, "doc_id long, text string"), path)
+    assert done.columns == plain.columns and Counter(r.doc_id for r in done.collect()) == Counter(i for i, _ in left)
+    columns = [c for c in done.columns if c == "doc_id" or c.startswith("n_")]
+    assert Counter(map(tuple, done.select(columns).collect())) == Counter(map(tuple, plain.select(columns).collect()))
+
+
+def test_all_stages_of_nothing(spark, toxic_world):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, toxic_world[2])
+    assert docs.collect() == []
