@@ -88,13 +88,18 @@ FACTORS = {(False, False, False): 1.0, (True, False, False): 1.25, (False, True,
 
 
 def clause_scores(classes: list[int], weights: list[float]) -> float:
-    """Run one clause's classed words through the composed transducers; the sum of emitted weights.
+    """The sum of the weights that a clause's words emit."""
+    return sum(weights[at] * factor for at, factor in emitted(classes))
+
+
+def emitted(classes: list[int]) -> list[tuple[int, float]]:
+    """Run one clause's classed words through the composed transducers: (place, factor) of each hit that counts.
 
     A target counts wherever it stands in the clause, so a hit waits in the
     state until the clause ends; negation and reporting hold from where they stand.
     """
     target, negated, reported, held = False, False, False, []
-    for kind, weight in zip(classes, weights, strict=True):
+    for at, kind in enumerate(classes):
         if kind == TARGET:
             target = True
         elif kind == NEGATION:
@@ -102,13 +107,9 @@ def clause_scores(classes: list[int], weights: list[float]) -> float:
         elif kind == REPORT:
             reported = True
         else:
-            held.append((kind, weight, negated, reported))
-    total = 0.0
-    for kind, weight, n, r in held:
-        if kind == THREAT and not target:
-            continue  # a threat needs someone it is aimed at
-        total += weight * FACTORS[target, n, r]
-    return total
+            held.append((at, kind, negated, reported))
+    # a threat needs someone it is aimed at
+    return [(at, FACTORS[target, n, r]) for at, kind, n, r in held if target or kind != THREAT]
 
 
 def entries(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,7 +130,7 @@ def entries(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def features(text: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Per text: (sum of clause scores, hits, different hits, log words)."""
+    """Per text: (sum of clause scores, hits, different hits, log words); hits count with the factor the grammar emits."""
     known, kinds, weights = table
     data, offsets = buffers(text)
     w = words(fold(data), offsets, _TOKEN)
@@ -154,19 +155,19 @@ def features(text: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     doc = np.searchsorted(w.first, listed, side="right") - 1
     cuts = np.flatnonzero((clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])) + 1
     edges = [0, *cuts.tolist(), len(listed)]
-    seen: dict[int, set] = {}
+    seen: dict[int, dict[int, float]] = {}
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if kind[lo:hi].max() < THREAT:
             continue
-        score = clause_scores(kind[lo:hi].tolist(), weight[lo:hi].tolist())
-        if score:
-            d = int(doc[lo])
-            hits = kind[lo:hi] >= THREAT
-            out[d, 0] += score
-            out[d, 1] += hits.sum()
-            seen.setdefault(d, set()).update(whole[listed[lo:hi][hits]].tolist())
-    for d, different in seen.items():
-        out[d, 2] = len(different)
+        d = int(doc[lo])
+        for at, factor in emitted(kind[lo:hi].tolist()):
+            at += lo
+            out[d, 0] += weight[at] * factor
+            out[d, 1] += factor
+            word, strongest = int(whole[listed[at]]), seen.setdefault(d, {})
+            strongest[word] = max(strongest.get(word, 0.0), factor)
+    for d, strongest in seen.items():
+        out[d, 2] = sum(strongest.values())
     return out
 
 
@@ -351,10 +352,23 @@ def learn_lexicon(labelled: DataFrame, size: tuple[int, int], cfg: ToxicityConfi
     return {r["word"]: float(r["weight"]) for r in kept.select("word", "weight").collect()}
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each doc_id that a task meets, so that repeated rows are not written."""
+    met: set[int] = set()
+    for batch in batches:
+        new = []
+        for at, i in enumerate(batch.column("doc_id").to_pylist()):
+            if i not in met:
+                met.add(i)
+                new.append(at)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Learn from the labelled rows of ``docs`` that are not held out.
 
-    Rows without text, label or id are left aside. Equal and near-equal texts
+    Rows without text, label or id are left aside; of rows that repeat an id
+    one is learned from, that of the smallest text hash. Equal and near-equal texts
     count as one, in the lexicon and (by weight) in the logistic model. Without
     a toxic row the lexicon is empty and the model gives every text the same
     low score.
@@ -363,9 +377,15 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     small_batches(spark)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.fit_rows)
-    rows = docs.select("doc_id", "text").where("text is not null")
-    rows = rows.join(F.broadcast(stage(known, "labels")), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
+    docs = docs.select("doc_id", "text").where("text is not null")
+    digest = F.xxhash64("text")
+    rows = docs.join(F.broadcast(stage(known, "labels")), "doc_id")
+    chosen = rows.groupBy("doc_id").agg(F.min(digest).alias("digest"), F.first("toxic").cast("int").alias("toxic"))
+    rows = docs.join(F.broadcast(stage(chosen, "chosen")), "doc_id").where(digest == F.col("digest"))
+    rows = rows.select("doc_id", "text", "toxic").mapInArrow(_once, "doc_id long, text string, toxic int")
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    first = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+    rows = rows.join(F.broadcast(stage(first, "first")), "row")
     seen = sketches(rows).toPandas().sort_values("row")
     seen = seen[seen["sig"].str.len() > 0]
     sig = np.frombuffer(b"".join(seen["sig"]), np.uint32).reshape(-1, HASHES)

@@ -269,3 +269,20 @@ def test_significance_against_brute_force():
     # 20 entries in one document cannot reach the level of the three in four, so they do not weaken it
     level = toxicity.significance([(4, 0, 3), (1, 0, 20)], [(4, 3), (1, 20)], (9, 54), 0.05)
     assert abs(level - toxicity.chance(4, 0, (9, 54))) < 1e-12
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark, monkeypatch):
+    docs, labels, ids = toxic_rows(random.Random(10), [("gronk", 20)], 100)
+    again = [(docs[0][0], f"other text number {k} flurp") for k in range(300)] + [docs[1]] * 300
+    read = []
+    learn = toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda rows, *a: read.append(rows.count()) or learn(rows, *a))
+    model = toxicity.fit(frame(spark, docs + again), spark.createDataFrame(labels, LABELS))
+    assert read == [len(docs)] and "gronk" in model.lexicon and "flurp" not in model.lexicon
+
+
+def test_hits_count_with_the_emitted_factor():
+    model = toxicity.ToxicityModel({"gronk": 3.0})
+    x = toxicity.features(pa.array(["a gronk", "you gronk", "not gronk", "said gronk", "kill", "gronk, not gronk"]), model.word_hashes())
+    assert x[:, 1].tolist() == [1, 1.25, 0.8, 0.8, 0, 1.8] and x[:, 2].tolist() == [1, 1.25, 0.8, 0.8, 0, 1]
+    assert np.allclose(x[:, 0], 3 * x[:, 1])
