@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from siftframe.llm import bpe, pii
 from siftframe.llm.chat_format import repair_roles
+from siftframe.llm.chat_repair import repair
 from siftframe.llm.common import table
 from siftframe.llm.decontaminate import contaminated
 from siftframe.llm.exact_dedup import exact_duplicates
 from siftframe.llm.license_scan import scan_licenses
 from siftframe.llm.near_dedup import NearDupConfig, near_duplicates
+from siftframe.llm.spelling import spelling_variants
 from siftframe.llm.substring_dedup import substring_dedup
+from siftframe.llm.token_files import round_trip
 from siftframe.llm.toxicity import fit, score_documents
 from siftframe.llm.url_filter import RULES, SPAM, default_list, judge_urls
 
@@ -19,6 +22,23 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte value, by its polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32_sql(octets: str) -> str:
+    """CRC-32 of bytes given as hexadecimal text, in DuckDB, which has no such function."""
+    data = f"list_transform(range(1, length({octets}) // 2 + 1), lambda i: CAST('0x' || substr({octets}, 2 * i - 1, 2) AS UBIGINT))"
+    step = f"xor(c >> 8, (CAST({_crc_table()} AS UBIGINT[]))[CAST(xor(c, b) & 255 AS BIGINT) + 1])"
+    return f"xor(list_reduce({data}, lambda c, b: {step}, CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"
+
+
 def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), NearDupConfig(shingle=2))
 
@@ -62,9 +82,22 @@ def op10_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_substring_dedup, op3_pii, op4_bpe, op5_toxicity, op6_chat_format, op7_exact_duplicates,
-    op8_license_scan, op9_url_filter, op10_decontamination)}
+    op8_license_scan, op9_url_filter, op10_decontamination, op11_conversation_repair, op12_spelling_variants,
+    op13_token_files)}
 
 ORACLES = {
     "op1_near_duplicates": f"""
@@ -103,4 +136,22 @@ m AS (SELECT page_id, host, path, v, is_rule, h || p AS rule, row_number() OVER
         PARTITION BY page_id ORDER BY is_rule DESC NULLS LAST, length(h || p) DESC) AS k
       FROM x LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, CASE WHEN is_rule THEN rule END AS rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), {_AZ}) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k FROM r GROUP BY doc_id, run),
+t AS (SELECT run, k, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM d),
+x AS (SELECT run, k, hex(encode(name)) AS octets FROM t),
+h AS (SELECT run, k, CAST({_crc32_sql("octets")} AS BIGINT) AS h FROM x),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n, CAST(length(word) AS BIGINT) AS l FROM w GROUP BY word HAVING sum(k) >= 5 AND length(word) >= 6),
+c AS (SELECT word, n, l, unnest(range(1, l + 1)) AS i FROM v),
+e AS (SELECT word, n, l, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM c),
+p AS (SELECT x.word, y.word AS other, y.n FROM e x JOIN e y ON x.l = y.l AND x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+      UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.a || e.b = v.word
+      UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.a || e.b = v.word),
+f AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'w': other}}) AS best FROM p GROUP BY word),
+j AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -best.n >= 5 * v.n THEN best.w END AS form,
+             CASE WHEN -best.n >= 5 * v.n THEN -best.n END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+g(word, root) AS (SELECT word, word FROM j WHERE form IS NULL UNION ALL SELECT j.word, g.root FROM j JOIN g ON j.form = g.word)
+SELECT j.word, n, n_near, form, form_n, root FROM j JOIN g ON g.word = j.word""",
 }
