@@ -3,20 +3,21 @@
 Spark's built-in ``percentile`` merges one value->count map per column in a
 single final task, which does not survive a column with billions of distinct
 values. This plan finds the order statistics it needs by distributed
-selection instead:
-
-1. one aggregate gives ``n``, ``min`` and ``max`` per column (the count bounds
-   the distinct values; no separate distinct-count scan is spent: every
-   refinement round below estimates the distinct values of each cell);
-2. a column whose distinct values fit ``direct_distinct_limit`` is resolved
-   directly; otherwise its value range is cut into ``quantile_buckets``
-   equal-width cells, rows are counted per cell (partial aggregation, output
-   bounded by columns x cells) and only the cells holding a wanted rank are
-   kept -- repeated until each kept cell is small. Any cut is exact; equal
-   widths only decide how fast the ranges shrink;
-3. the surviving ranges are pre-aggregated to ``(range, value, count)`` (a hot
-   value collapses map-side), ordered inside each range by a window, and the
-   values at the wanted ranks are read off.
+selection instead, in at most three scans whatever the distribution:
+
+1. one aggregate gives ``n``, ``min`` and ``max`` per column (or the caller
+   has them). A column of at most ``direct_distinct_limit`` values is ranked
+   as it is; for any other, a mergeable rank sketch (``percentile_approx``,
+   error ``n / quantile_buckets`` ranks) gives two values around every wanted
+   rank: its bracket;
+2. one aggregate counts the values below and up to each bracket, which fixes
+   the bracket's first rank. The sketch is never trusted: a rank that its
+   bracket does not hold is looked for in all values on that side;
+3. the brackets' values are pre-aggregated to ``(bracket, value, count)`` (a
+   hot value collapses map-side), ordered by windows, and the values at the
+   wanted ranks are read off. A bracket of more than ``direct_distinct_limit``
+   values is written once and ranked over range partitions, each a window of
+   its own that starts at the sum of the partitions before it.
 
 Interpolation is ``v[lo] + (h - lo) * (v[hi] - v[lo])`` with
 ``h = (n - 1) * p`` -- the pandas/numpy default.
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,30 +36,29 @@ from pyspark.sql import functions as F
 from siftframe.functions.exprs import as_double
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
+from siftframe.session import materialize
 from siftframe.sources.parquet import scan_partitions
 
+MAX_PARTS = 65_536  # range partitions a large bracket is ranked in
+
 
 @dataclass
 class _Range:
     col: int
-    cuts: tuple                # ((lo, hi, cells, k), ...): nested equal-width cells
+    lo: float | None           # None: no lower end
+    hi: float | None
+    closed: bool               # whether the ends themselves belong to it
     offset: int                # values of the column ordered before this range
-    distinct: int              # bound/estimate of distinct values inside
+    rows: int                  # values inside
     positions: list[int] = field(default_factory=list)  # wanted global ranks
 
 
-def _cell(v: Column, lo: float, hi: float, cells: int) -> Column:
-    """Equal-width cell of ``v`` in [lo, hi]; monotone in ``v``. Values
-    outside (e.g. infinities beyond finite bounds) fall in the edge cells."""
-    x = F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
-    raw = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(cells)))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(cells - 1))
-
-
 def _in_range(v: Column, r: _Range) -> Column:
     cond = v.isNotNull()
-    for lo, hi, cells, k in r.cuts:
-        cond = cond & (_cell(v, lo, hi, cells) == F.lit(k))
+    if r.lo is not None:
+        cond = cond & (v >= F.lit(r.lo) if r.closed else v > F.lit(r.lo))
+    if r.hi is not None:
+        cond = cond & (v <= F.lit(r.hi) if r.closed else v < F.lit(r.hi))
     return cond
 
 
@@ -91,15 +93,18 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 for i, c in enumerate(cols)}
 
     limit = settings.direct_distinct_limit
-    counts = counts or column_counts(df, cols)
+    sketched: dict[str, list[float]] = {}
+    if counts is None:
+        counts, sketched = _counts_and_sketches(df, cols, types, probs, settings)
     base = df.select(*[as_double(c, types[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
     base = _spread_narrow(base, sum(counts[c][0] or 0 for c in cols))
 
     wanted: dict[int, list[tuple[int, int, float]]] = {}
-    ranges: list[_Range] = []
+    ready: list[_Range] = []
     bounds: dict[int, tuple[float, float]] = {}
+    large: list[int] = []
     for i, c in enumerate(cols):
-        n, d, lo, hi = counts[c]
+        n, _, lo, hi = counts[c]
         if not n:
             continue
         plan = []
@@ -110,34 +115,25 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
             plan.append((flo, chi, h - flo))
         wanted[i] = plan
         bounds[i] = (lo, hi)
-        pos = sorted({x for a, b, _ in plan for x in (a, b)})
-        ranges.append(_Range(i, (), 0, d or 0, pos))
-
-    # a large column with infinite values is cut on its finite range (the
-    # infinities fall in the edge cells), so it never has to be ranked whole
-    infinite = [i for i, (lo, hi) in bounds.items()
-                if counts[cols[i]][0] > limit and not (math.isfinite(lo) and math.isfinite(hi))]
-    if infinite:
-        def fin(i: int) -> Column:
-            return F.when(F.abs(F.col(f"_v{i}")) != F.lit(float("inf")), F.col(f"_v{i}"))
-
-        row = base.agg(*[e for i in infinite for e in (F.min(fin(i)).alias(f"lo{i}"),
-                                                       F.max(fin(i)).alias(f"hi{i}"))]).first()
-        for i in infinite:
-            if row[f"lo{i}"] is not None:
-                bounds[i] = (row[f"lo{i}"], row[f"hi{i}"])
-
-    ready: list[_Range] = []
-    for _round in range(12):
-        big = [r for r in ranges if r.distinct > limit and _splittable(r, bounds)]
-        ready += [r for r in ranges if r not in big]
-        if not big:
-            break
-        ranges = _refine(base, big, bounds, settings)
-    else:
-        ready += ranges
-
-    values = _select(base, ready, bounds, settings)
+        if n > limit:
+            large.append(i)
+        else:
+            ready.append(_Range(i, None, None, True, 0, n, _positions(plan)))
+
+    values: dict[tuple[int, int], float] = {}
+    if large:
+        missing = [i for i in large if cols[i] not in sketched]
+        if missing:
+            row = base.agg(*[_sketch(F.col(f"_v{i}"), probs, settings).alias(f"s{i}") for i in missing]).first()
+            sketched.update({cols[i]: row[f"s{i}"] for i in missing})
+        brackets = [(i, sketched[cols[i]][2 * k], sketched[cols[i]][2 * k + 1], {lo, hi})
+                    for i in large for k, (lo, hi, _) in enumerate(wanted[i])]
+        found, values = _brackets(base, brackets, [counts[c][0] for c in cols])
+        ready += found
+
+    small = [r for r in ready if r.rows <= limit]
+    values.update(_select(base, small, bounds, settings))
+    values.update(_select_large(base, [r for r in ready if r.rows > limit], settings))
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         if i not in wanted:
@@ -162,71 +158,122 @@ def _spread_narrow(base: DataFrame, values: int, min_values: int = 2_000_000) ->
     return base
 
 
+def _positions(plan: list[tuple[int, int, float]]) -> list[int]:
+    return sorted({x for a, b, _ in plan for x in (a, b)})
+
+
+def _sketch(v: Column, probs: list[float], settings: Settings) -> Column:
+    """Values two sketch errors below and above each probability, in one sketch of the column."""
+    margin = 2.0 / settings.quantile_buckets
+    ends = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    return F.percentile_approx(v, ends, settings.quantile_buckets)
+
+
+def _counts_and_sketches(df: DataFrame, cols: list[str], types: dict, probs: list[float],
+                         settings: Settings) -> tuple[dict[str, tuple], dict[str, list[float]]]:
+    """``column_counts`` and the sketches in the same scan."""
+    aggs = []
+    for i, c in enumerate(cols):
+        v = as_double(c, types[c])
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 _sketch(v, probs, settings).alias(f"s{i}")]
+    row = df.agg(*aggs).first()
+    counts = {c: (row[f"n{i}"], row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+    return counts, {c: row[f"s{i}"] for i, c in enumerate(cols)}
+
+
+def _brackets(base: DataFrame, brackets: list[tuple[int, float, float, set[int]]], totals: list[int]
+              ) -> tuple[list[_Range], dict[tuple[int, int], float]]:
+    """(ranges that hold the wanted ranks, values already known) from one counting pass.
+
+    ``brackets`` are (column, low, high, ranks); a bracket of one value needs no
+    further look.
+    """
+    aggs = []
+    for j, (i, lo, hi, _) in enumerate(brackets):
+        v = F.col(f"_v{i}")
+        aggs += [F.count_if(v < F.lit(lo)).alias(f"b{j}"), F.count_if(v <= F.lit(hi)).alias(f"u{j}")]
+    row = base.agg(*aggs).first()
+    ranges: dict[tuple, _Range] = {}
+    known: dict[tuple[int, int], float] = {}
+    for j, (i, lo, hi, ranks) in enumerate(brackets):
+        below, upto = row[f"b{j}"], row[f"u{j}"]
+        for k in ranks:
+            if k < below:
+                r = _Range(i, None, lo, False, 0, below)
+            elif k >= upto:
+                r = _Range(i, hi, None, False, upto, totals[i] - upto)
+            elif lo == hi:
+                known[(i, k)] = lo
+                continue
+            else:
+                r = _Range(i, lo, hi, True, below, upto - below)
+            kept = ranges.setdefault((i, r.lo, r.hi, r.closed), r)
+            kept.positions = sorted({*kept.positions, k})
+    return list(ranges.values()), known
+
+
 def _span(r: _Range, bounds) -> tuple[float, float]:
-    if r.cuts:
-        lo, hi, cells, k = r.cuts[-1]
-        w = (hi - lo) / cells
-        return lo + k * w, lo + (k + 1) * w
-    return bounds[r.col]
+    lo, hi = bounds[r.col]
+    return (lo if r.lo is None else r.lo), (hi if r.hi is None else r.hi)
 
 
 def _splittable(r: _Range, bounds) -> bool:
     lo, hi = _span(r, bounds)
     return (lo is not None and hi is not None and math.isfinite(lo) and math.isfinite(hi)
-            and hi > lo and (hi - lo) / max(abs(lo), abs(hi), 1e-300) > 1e-12)
+            and hi > lo and math.isfinite(hi - lo))
+
+
+def _counted(base: DataFrame, ranges: list[_Range]) -> DataFrame:
+    """(r, v, n): the distinct values of each range with their counts; other rows are dropped before anything is built."""
+    tests = [_in_range(F.col(f"_v{r.col}"), r) for r in ranges]
+    parts = [F.when(t, F.struct(F.lit(j).alias("r"), F.col(f"_v{r.col}").alias("v")))
+             for j, (r, t) in enumerate(zip(ranges, tests, strict=True))]
+    return (base.where(reduce(or_, tests)).select(F.explode(F.array(*parts)).alias("c"))
+            .where(F.col("c").isNotNull()).select("c.*")
+            .groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _refine(base: DataFrame, big: list[_Range], bounds, settings: Settings) -> list[_Range]:
-    """Count rows per equal-width cell of each large range; keep cells with ranks.
+def _targets(spark, ranges: list[_Range]) -> DataFrame:
+    """One row for each wanted rank, at most columns x probabilities x 2: (r, local, col, pos)."""
+    return local_frame(spark, [(j, p - r.offset, r.col, p) for j, r in enumerate(ranges) for p in r.positions],
+                       "r int, local long, col int, pos long")
 
-    The tally (at most ranges x cells rows) never reaches the driver: a
-    running count per range (a window over that range's cells only) gives
-    each cell its first rank, and a join with the wanted ranks keeps the
-    cells that hold one -- the driver receives one row per wanted rank.
+
+def _read_off(ranked: DataFrame, ranges: list[_Range]) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks of ``ranked`` (r, v, n, upto)."""
+    hits = (ranked.join(F.broadcast(_targets(ranked.sparkSession, ranges)), "r")
+            .where((F.col("upto") - F.col("n") <= F.col("local")) & (F.col("local") < F.col("upto")))
+            .select("col", "pos", "v").collect())
+    return {(h["col"], h["pos"]): h["v"] for h in hits}
+
+
+def _select_large(base: DataFrame, ranges: list[_Range], settings: Settings) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks of ranges too large for one window.
+
+    The counted values are laid out in range partitions of about
+    ``direct_distinct_limit`` values, written once; the partitions' totals (one
+    row for each partition and range) give every partition its first rank.
     """
-    cells = settings.quantile_buckets
-    spans = [_span(r, bounds) for r in big]
-    parts = []
-    for j, r in enumerate(big):
-        v = F.col(f"_v{r.col}")
-        lo, hi = spans[j]
-        parts.append(F.when(_in_range(v, r),
-                            F.struct(F.lit(j).alias("r"), _cell(v, lo, hi, cells).alias("b"),
-                                     v.alias("v"))))
-    targets = local_frame(base.sparkSession,
-                          [(j, p - r.offset) for j, r in enumerate(big) for p in r.positions],
-                          "r int, local long")
-    w = Window.partitionBy("r").orderBy("b")
-    tally = (base.select(F.explode(F.array(*parts)).alias("c"))
-             .where(F.col("c").isNotNull()).select("c.*")
-             .groupBy("r", "b").agg(F.count(F.lit(1)).alias("n"),
-                                     F.approx_count_distinct("v").alias("d")))
-    hits = (tally.withColumn("before", F.sum("n").over(w) - F.col("n"))
-            .join(F.broadcast(targets), "r")   # at most columns x probabilities x 2 rows
-            .where((F.col("before") <= F.col("local")) & (F.col("local") < F.col("before") + F.col("n")))
-            .select("r", "b", "n", "d", "before", "local")
-            .collect())  # one row per wanted rank
-    found: dict[tuple[int, int], dict] = {}
-    for h in hits:
-        cell = found.setdefault((h["r"], h["b"]), {"n": h["n"], "d": h["d"], "before": h["before"], "pos": []})
-        cell["pos"].append(h["local"])
-    out: list[_Range] = []
-    for (j, b), cell in sorted(found.items()):
-        r = big[j]
-        lo, hi = spans[j]
-        start = r.offset + cell["before"]
-        # a cell's distinct values never exceed its rows
-        out.append(_Range(r.col, r.cuts + ((lo, hi, cells, b),), start, min(cell["d"], cell["n"]),
-                          sorted(r.offset + x for x in cell["pos"])))
-    return out
+    if not ranges:
+        return {}
+    parts = min(MAX_PARTS, 1 + -(-sum(r.rows for r in ranges) // settings.direct_distinct_limit))
+    laid = materialize(_counted(base, ranges).repartitionByRange(parts, "r", "v")
+                       .withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("r").orderBy("part")
+    starts = laid.groupBy("r", "part").agg(F.sum("n").alias("total")).select(
+        "r", "part", (F.sum("total").over(before) - F.col("total")).alias("start"))
+    w = Window.partitionBy("r", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = laid.join(F.broadcast(starts), ["r", "part"]).withColumn("upto", F.col("start") + F.sum("n").over(w))
+    return _read_off(ranked, ranges)
 
 
 def _select(base: DataFrame, ready: list[_Range], bounds, settings: Settings = DEFAULT
             ) -> dict[tuple[int, int], float]:
-    """Values at the wanted ranks of every ready range, one job.
+    """Values at the wanted ranks of ranges of at most ``direct_distinct_limit`` values, one job.
 
     Values are counted per ``(range, value)`` (a hot value collapses
-    map-side). A range with many distinct values is further cut into up to
+    map-side). A range with many values is further cut into up to
     ``rank_cells`` equal-width cells; the small per-cell count table (at
     most ranges x cells rows) gives each cell its starting rank, so the
     running count is windowed per (range, cell) -- many balanced window
@@ -234,24 +281,14 @@ def _select(base: DataFrame, ready: list[_Range], bounds, settings: Settings = D
     """
     if not ready:
         return {}
-    spark = base.sparkSession
     spans, cells = [], []
     for r in ready:
         lo, hi = _span(r, bounds)
-        k = min(settings.rank_cells, max(1, r.distinct // settings.rank_cell_values))
+        k = min(settings.rank_cells, max(1, r.rows // settings.rank_cell_values))
         ok = _splittable(r, bounds)
         spans.append((float(lo) if ok else 0.0, float(hi) if ok else 1.0))
         cells.append(k if ok else 1)
-    parts = []
-    for j, r in enumerate(ready):
-        v = F.col(f"_v{r.col}")
-        parts.append(F.when(_in_range(v, r), F.struct(F.lit(j).alias("r"), v.alias("v"))))
-    targets = local_frame(spark,
-        [(j, p - r.offset, r.col, p) for j, r in enumerate(ready) for p in r.positions],
-        "r int, local long, col int, pos long")
-    counted = (base.select(F.explode(F.array(*parts)).alias("c"))
-               .where(F.col("c").isNotNull()).select("c.*")
-               .groupBy("r", "v").agg(F.count(F.lit(1)).alias("n")))
+    counted = _counted(base, ready)
     pick = F.col("r") + 1
     lo_of = F.element_at(F.array(*[F.lit(a) for a, _ in spans]), pick)
     hi_of = F.element_at(F.array(*[F.lit(b) for _, b in spans]), pick)
@@ -266,8 +303,4 @@ def _select(base: DataFrame, ready: list[_Range], bounds, settings: Settings = D
     w = Window.partitionBy("r", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (counted.join(F.broadcast(starts), ["r", "cell"])
               .withColumn("upto", F.col("start") + F.sum("n").over(w)))
-    # ``targets`` holds at most columns x probabilities x 2 rows.
-    hits = (ranked.join(F.broadcast(targets), "r")
-            .where((F.col("upto") - F.col("n") <= F.col("local")) & (F.col("local") < F.col("upto")))
-            .select("col", "pos", "v").collect())
-    return {(h["col"], h["pos"]): h["v"] for h in hits}
+    return _read_off(ranked, ready)

@@ -30,10 +30,10 @@ class Settings:
     exact: bool = True                   # exact quantiles/mode; False -> sketches
     narrow_floats: bool = False          # lossy float narrowing is opt-in
     approx_accuracy: int = 10000         # approx_percentile accuracy
-    quantile_buckets: int = 4096         # range cells per refinement round
-    direct_distinct_limit: int = 2_000_000  # distinct values one range may rank
+    quantile_buckets: int = 4096         # resolution of the rank sketch (its error is rows / this)
+    direct_distinct_limit: int = 2_000_000  # values of a column or bracket ranked without range partitions
     rank_cells: int = 64                 # window cells a range is ranked in
-    rank_cell_values: int = 4096         # distinct values per cell below which fewer cells are used
+    rank_cell_values: int = 4096         # values per cell below which fewer cells are used
     order_buckets: int = 65_536          # max range buckets for global row order
     order_bucket_rows: int = 1_000_000   # rows one ordered window task should hold
     order_sample_per_bucket: int = 16    # sampled keys per bucket to place split points

@@ -188,3 +188,43 @@ def test_forward_fill_hot_order_value_is_split(spark):
     assert got == want
     sized = bucketed(df.withColumn("_h", h), ["k", "_h"], st).groupBy("_bkt").count()
     assert sized.agg(F.max("count")).first()[0] < 1000 / 4  # the hot value spans several buckets
+
+
+@pytest.mark.parametrize("largest", [1e3, 1e30, 1.7e308, float("inf")])
+def test_quantiles_take_three_scans_for_any_distribution(spark, largest):
+    """The same jobs whatever the largest value: sketch, count, brackets; and the exact values."""
+    import numpy as np
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") == n - 1, F.lit(largest)).otherwise(
+        F.pow(F.lit(1.01), F.pmod(F.col("id") * 7919, F.lit(1500)))).alias("x"),
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("hot")).cache()
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    rows = df.toPandas()
+    sc = spark.sparkContext
+    for limit in (2000, 300):  # brackets ranked by one window, or over range partitions
+        sc.setJobGroup(f"quantiles-{limit}-{largest}", "scans")
+        try:
+            got = quantiles(df, ["x", "hot"], probs, Settings(direct_distinct_limit=limit, quantile_buckets=200))
+            jobs = len(sc.statusTracker().getJobIdsForGroup(f"quantiles-{limit}-{largest}"))
+        finally:
+            sc.setJobGroup(None, None)
+        # three scans (sketch, count, brackets) are at most 24 jobs with the stages of their windows, for every distribution
+        assert jobs <= 24, jobs
+        for c in ("x", "hot"):
+            v = np.sort(rows[c].to_numpy())
+            for p, g in zip(probs, got[c]):
+                h = (n - 1) * p
+                lo = int(h)
+                assert g == (v[lo] if h == lo else v[lo] + (h - lo) * (v[lo + 1] - v[lo])), (c, p, limit)
+
+
+def test_quantiles_do_not_trust_the_sketch(spark, monkeypatch):
+    """Brackets that miss their ranks on either side still give the exact values."""
+    from siftframe.plans import quantiles as Q
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"))
+    for at in (10.0, 4900.0):
+        monkeypatch.setattr(Q, "_sketch", lambda v, probs, settings, at=at: F.array(*[F.lit(at)] * (2 * len(probs))))
+        monkeypatch.setattr(Q, "_counts_and_sketches", lambda df, cols, types, probs, settings, at=at: (
+            {c: (5000, 5000, 0.0, 4999.0) for c in cols}, {c: [at] * (2 * len(probs)) for c in cols}))
+        for limit in (4999, 100):
+            assert quantiles(df, ["x"], [0.1, 0.5], Settings(direct_distinct_limit=limit)) == {"x": [499 + (4999 * 0.1 - 499), 2499.5]}
