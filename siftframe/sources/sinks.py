@@ -6,6 +6,8 @@ import posixpath
 
 from pyspark.sql import DataFrame
 
+TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
+TIMESTAMP_NTZ = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 CLEANED_PREFIX = "cleaned_"  # fixed value: output name prefix
 
 
@@ -24,7 +26,9 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     if partition_by:
         w = w.partitionBy(*partition_by)
     if format == "csv":
-        w.option("header", True).csv(path)
+        # the default format would cut fractions of a second to milliseconds; quotes are doubled as the reader expects
+        (w.option("header", True).option("escape", '"').option("timestampFormat", TIMESTAMP)
+         .option("timestampNTZFormat", TIMESTAMP_NTZ).csv(path))
     elif format == "parquet":
         w.parquet(path)
     else:

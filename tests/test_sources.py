@@ -133,3 +133,95 @@ def test_full_report(spark, sf_small):
     assert rep["summary"].first()["total_rows"] == 1000
     assert rep["line_series"].count() > 0
     assert rep["insights"].where(F.col("kind") == "trend").count() == 2
+
+
+def _many_splits(spark, size=300):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+def test_quoted_line_breaks_in_splits(spark):
+    """Records over several lines, some longer than a split, equal what one reader of the whole file gives."""
+    import csv
+    import io
+    import random
+    rng = random.Random(2)
+    d = tempfile.mkdtemp(prefix="sift-breaks-")
+    pieces = ["a", "é", '"', "\n", ",", "\r\n", ' "x" ', "long " * 90, "", "\n\n", '""', "5' pipe"]
+    expected = []
+    for name in ("a.csv", "b.csv"):
+        out = io.StringIO()
+        w = csv.writer(out, lineterminator="\n")
+        w.writerow(["id", "te\nxt", "more"])
+        for k in range(150):
+            row = [str(len(expected)), "t" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))), rng.choice(["u", 'v"w', "x\ny"])]
+            expected.append(tuple(row))
+            w.writerow(row)
+        _write(d, name, out.getvalue().encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        _many_splits(spark)
+        df = read_csv_table(spark, d)
+        assert df.columns == ["id", "te\nxt", "more"] and dict(df.dtypes)["id"] == "bigint"
+        rows = sorted(df.collect())
+        assert [(str(r[0]), r[1], r[2]) for r in rows] == expected
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    _write(d, "c.csv", b'id,text,more\n1,"never closed,\n2,x,y\n')
+    with pytest.raises(Exception, match="not closed"):
+        read_csv_table(spark, d).collect()
+
+
+def test_quote_states_of_lines(spark):
+    from siftframe.sources.records import state_after
+    lines = {'a,b': (0, 1), 'a,"b': (1, 0), 'a"b,c': (0, 0), '"a""b': (1, 1), 'x",y': (0, 0), '"a",b': (0, 1), '""': (0, 1),
+             '"a,""b"",c': (1, 1), '","': (0, 1), 'z","k': (1, 1)}
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    # the states by a plain automaton
+    def walk(line, state):
+        k, field = 0, state == 0
+        while k < len(line):
+            c = line[k]
+            if state == 1:
+                if line[k:k + 2] == '""':
+                    k += 1
+                elif c == '"':
+                    state, field = 0, False
+            elif c == '"' and field:
+                state = 1
+            else:
+                field = c == ","
+            k += 1
+        return state
+    for r in df.select("line", state_after(F.col("line"), ",", 0).alias("zero"), state_after(F.col("line"), ",", 1).alias("one")).collect():
+        assert (r.zero, r.one) == (walk(r.line, 0), walk(r.line, 1)), r.line
+
+
+def test_encodings_of_a_folder(spark):
+    d = tempfile.mkdtemp(prefix="sift-encodings-")
+    for k, (name, codec) in enumerate([("u8.csv", "utf-8"), ("l1.csv", "latin-1"), ("u16.csv", "utf-16"), ("sig é.csv", "utf-8-sig")]):
+        _write(d, name, f"id,word\n{k},café ü\n{k + 10},\"two\nlines é\"\n".encode(codec))
+    rows = sorted(tuple(r) for r in read_csv_table(spark, d).collect())
+    assert rows == [(k, "café ü") for k in range(4)] + [(k + 10, "two\nlines é") for k in range(4)]
+    with pytest.raises(ValueError, match="l1.csv is not valid UTF-8"):
+        read_csv_table(spark, os.path.join(d, "l1.csv"), encoding="UTF-8")
+
+
+def test_a_value_that_does_not_fit_its_type_fails(spark):
+    d = tempfile.mkdtemp(prefix="sift-misfit-")
+    p = _write(d, "n.csv", b"n,t\n1,2024-01-05 10:11:12.123456\nNA,\n 3 ,2024-01-06\n")
+    rows = read_csv_table(spark, p, schema="n long, t timestamp_ntz").collect()
+    assert [r.n for r in rows] == [1, None, 3] and rows[0].t.microsecond == 123456
+    _write(d, "n.csv", b"n,t\n1,2024-01-05\nx,2024-01-06\n")
+    with pytest.raises(Exception, match="column n: not bigint: x"):
+        read_csv_table(spark, p, schema="n long, t timestamp_ntz").collect()
+
+
+def test_csv_keeps_microseconds(spark):
+    d = tempfile.mkdtemp(prefix="sift-micro-")
+    out = os.path.join(d, "t")
+    write_table(spark.sql("select 1 as k, timestamp'2024-01-05 10:11:12.123456' as t, timestamp_ntz'2024-01-05 10:11:12.000001' as n, 'a \"b\"\nc' as s"),
+                out, format="csv")
+    row = read_csv_table(spark, out, schema="k int, t timestamp, n timestamp_ntz, s string").collect()[0]
+    assert (row.t.microsecond, row.n.microsecond, row.s) == (123456, 1, 'a "b"\nc')
