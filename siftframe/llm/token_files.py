@@ -18,6 +18,9 @@ whole or absent when executors are lost.
 
 from __future__ import annotations
 
+import json
+import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftframe.llm.bpe import _byte_letters
 from siftframe.llm.common import shared_dir, small_batches, stage
 
 END_ID = 2
@@ -38,8 +42,11 @@ LANES = 512
 FEW_LANES = 32          # for blocks under FEW_TOKENS
 FEW_TOKENS = 1 << 14
 CHECKPOINT = 128        # steps between two checkpoints
-KNOWN_WORDS = 300_000   # words a worker remembers
+KNOWN_WORDS = 500_000   # words a worker remembers before it starts anew
 KNOWN_LETTERS = 64      # longer words are not remembered
+MARKS = ".,;:!?*#&$%()"  # marks behind a word's letters that make one piece of their own
+# Fixed value: the pieces of the word vocabulary, as its file states them.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 U64 = np.uint64
 
@@ -161,33 +168,66 @@ def decode(block: Block, table: Table, slots: np.ndarray, first: int = 0, last:
     return out
 
 
-class Words:
+class Words(dict):
     """Ids of texts by the tokenizers library, which sees each distinct word of a worker's texts once.
 
-    The vocabulary's pieces hold no white space, so a text's ids are those of
-    what stands between its blanks and line breaks, one after another.
+    Where the vocabulary's pieces hold no white space (``WORD_PIECES``), a text's
+    ids are those of what stands between its blanks and line breaks, one after
+    another; a word of Latin letters and the marks behind it are two pieces, and
+    the library's model takes the letters without its text steps, which change
+    nothing but their case. Texts of other vocabularies go whole to the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        known = self.known
-        new = list({word for words in cut for word in words if word not in known})
-        if new:
-            coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {word: np.array(c.ids, "<u4").tobytes() for word, c in zip(new, coded, strict=True)}
-            out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
-            if len(known) + len(fresh) > KNOWN_WORDS:
-                known.clear()
-            known.update((w, ids) for w, ids in fresh.items() if len(w) <= KNOWN_LETTERS)
-            return out
-        return [b"".join([known[w] for w in words]) for words in cut]
+        self.letter = "H" if kind == "<u2" else "I"
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]
+        steps = (steps or {}).get("pretokenizers", [])
+        self.by_word = bool(steps) and steps[0].get("pattern", {}).get("Regex") == WORD_PIECES
+        self.model = self.library.model
+        self.stems: dict[str, bytes] = {}
+        letters = _byte_letters()
+        self.letters = {b: letters[b] for b in range(256)}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def _stem(self, letters: str) -> bytes:
+        plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        found = self._packed([t.id for t in self.model.tokenize(plain)])
+        if len(self.stems) >= KNOWN_WORDS:
+            self.stems.clear()
+        if len(letters) <= KNOWN_LETTERS:
+            self.stems[letters] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        bare = word.rstrip(MARKS)
+        if bare.isalpha() and (bare.isascii() or max(bare) <= "\u00ff"):
+            letters = bare.lower()
+            found = self.stems.get(letters) or self._stem(letters)
+            if len(bare) < len(word):
+                found += self[word[len(bare):]]
+        else:
+            found = self.whole(word)
+        if len(word) <= KNOWN_LETTERS:
+            self[word] = found
+        return found
+
+    def whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def coded(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.whole(text)
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def _path(path: str | None) -> str:
@@ -197,29 +237,35 @@ def _path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_kind(path: str | None = None, end_id: int = END_ID) -> str:
+    """The narrowest little-endian type of a vocabulary's ids: 16 bits, or 32."""
+    from tokenizers import Tokenizer
+    return "<u2" if max(Tokenizer.from_file(_path(path)).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) of ``docs``: unsigned 32-bit little-endian ids of each whole text and the end id."""
+    """(doc_id, ids) of ``docs``: the ids of each whole text and the end id, of the type that ``id_kind`` gives."""
     small_batches(docs.sparkSession)
+    kind = id_kind(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = Words(_path(path)), np.uint32(end_id).tobytes()
+        words, end = Words(_path(path), kind), np.array([end_id], kind).tobytes()
         for batch in batches:
-            coded = words([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([c + end for c in coded], pa.binary())],
+            coded = [words.coded(t or "") + end for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(coded, pa.binary())],
                                              names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(coded: DataFrame) -> Table:
-    """The shared table of all ids; what reaches the driver is one row an id of the vocabulary."""
+def frequencies(coded: DataFrame, kind: str) -> Table:
+    """The shared table of all ids (of type ``kind``); what reaches the driver is one row an id of the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column("ids"):
-                more = np.bincount(np.frombuffer(value.as_buffer(), "<u4"), minlength=len(counts))
+                more = np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=len(counts))
                 more[: len(counts)] += counts
                 counts = more
         found = np.flatnonzero(counts)
@@ -233,7 +279,7 @@ _BLOCK = ("part int, number int, n long, lanes int, words binary, states binary,
           "doc_ids array<long>, lengths array<long>")
 
 
-def _packed(ordered: DataFrame, table: Table) -> DataFrame:
+def _packed(ordered: DataFrame, table: Table, kind: str) -> DataFrame:
     """Blocks of the ordered documents (doc_id, ids, part)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -255,7 +301,7 @@ def _packed(ordered: DataFrame, table: Table) -> DataFrame:
         for batch in batches:
             for doc_id, ids, at in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("part").to_pylist(), strict=True):
                 part = at
-                held.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                held.append(np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
                 names.append(doc_id)
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
@@ -281,10 +327,11 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     coded = token_ids(docs, path, end_id).withColumn("row", F.monotonically_increasing_id())
     coded = stage(coded, "token-ids")
-    table = frequencies(coded)
+    kind = id_kind(path, end_id)
+    table = frequencies(coded, kind)
     order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     ordered = coded.repartitionByRange(*order).sortWithinPartitions(*order)
-    _packed(ordered.select("doc_id", "ids", F.spark_partition_id().alias("part")), table).write.parquet(f"{target}/blocks")
+    _packed(ordered.select("doc_id", "ids", F.spark_partition_id().alias("part")), table, kind).write.parquet(f"{target}/blocks")
     rows = pa.table({"id": pa.array(table.ids, pa.int64()), "share": pa.array(table.share, pa.int64())})
     spark.createDataFrame(rows).coalesce(1).write.parquet(f"{target}/frequencies")
 

@@ -30,6 +30,13 @@ DATE_FORMATS = (
     "MMM d, yyyy",
     "d-MMM-yyyy",
     "d MMM yyyy",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy hh:mm:ss a",
+    "MMMM d, yyyy",
+    "d MMMM yyyy",
 )
 
 
@@ -54,12 +61,26 @@ DATE_SHAPES = {
     "MMM d, yyyy": r"^\p{L}{3} \d{1,2}, \d{4}$",
     "d-MMM-yyyy": r"^\d{1,2}-\p{L}{3}-\d{4}$",
     "d MMM yyyy": r"^\d{1,2} \p{L}{3} \d{4}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}(Z|[+-]\d{2}:\d{2})$",
+    "yyyy/MM/dd HH:mm:ss": r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$",
+    "MM/dd/yyyy hh:mm:ss a": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AaPp][Mm]$",
+    "MMMM d, yyyy": r"^\p{L}{3,} \d{1,2}, \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} \p{L}{3,} \d{4}$",
 }
 
 
 def parse_expr(c, fmt: str, guard: bool = True):
-    """Text -> TIMESTAMP_NTZ with ``fmt``; NULL when it does not parse."""
-    parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    """Text -> TIMESTAMP_NTZ with ``fmt``; NULL when it does not parse.
+
+    The session's time zone plays no part: text without a zone keeps its wall
+    clock, text with one becomes the wall clock of UTC.
+    """
+    zoned = fmt.endswith("XXX")
+    at = F.try_to_timestamp(c if zoned else F.concat(c, F.lit("Z")), F.lit(fmt if zoned else fmt + "XXX"))
+    seconds = (F.unix_micros(at).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    parsed = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
     shape = DATE_SHAPES.get(fmt) if guard else None
     return F.when(c.rlike(shape), parsed) if shape else parsed
 

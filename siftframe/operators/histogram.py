@@ -121,14 +121,16 @@ def distribution(df: DataFrame, cols: list[str] | None = None, settings: Setting
 
 def histogram_series(df: DataFrame, cols: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Chart histogram for the first 4 numeric columns:
-    bins = min(30, max(5, floor(sqrt(n)))); label = left edge with 1 decimal."""
+    bins = min(30, max(5, floor(sqrt(n)))); label = left edge with 1 decimal.
+
+    A column whose range is not finite has no bins and is left out."""
     cols = measure_columns(df, (classify(df).numeric if cols is None else cols))[:4] if cols is None \
         else measure_columns(df, cols)
     rng = _ranges(df, cols, settings)
     plan = {}
     for c in cols:
         n = rng[c]["n"] or 0
-        if n < 2:
+        if n < 2 or not math.isfinite(rng[c]["hi"] - rng[c]["lo"]):
             continue
         k = min(settings.hist_max_bins, max(settings.hist_min_bins, int(math.sqrt(n))))
         plan[c] = (rng[c]["lo"], rng[c]["hi"], k)

@@ -48,12 +48,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftframe-ckpt-"))
         return sc.getCheckpointDir()
     return None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``checkpoint_dir``, or an error on a cluster without one."""
+    folder = checkpoint_dir(spark)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage before a data-dependent step: write Parquet, read it back.
 
@@ -62,9 +70,6 @@ def materialize(df: DataFrame) -> DataFrame:
     read only the columns they need. A cluster session must name the folder
     in ``spark.checkpoint.dir``.
     """
-    folder = checkpoint_dir(df.sparkSession)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftframe.functions.exprs import q
+from siftframe.session import materialize
 from siftframe.sources.encoding import encoding_audit
 from siftframe.sources.records import records
 
@@ -125,7 +126,7 @@ def _text_table(spark: SparkSession, path, encoding, schema, delimiter: str, mul
     tables = []
     for (charset, how), paths in groups:
         if how == "assembled":
-            made = records(spark, paths, charset, delimiter)
+            made = materialize(records(spark, paths, charset, delimiter))  # read for the header, the types and the rows
             if names is None:
                 names = _header_names(made, delimiter)
             tables.append(_parsed(made.where("not head"), names, delimiter))

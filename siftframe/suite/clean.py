@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftframe.operators.dates import convert_dates, sniff_date_columns
@@ -12,6 +14,9 @@ from siftframe.operators.outliers import flag_outliers, iqr_bounds, outlier_coun
 from siftframe.operators.tidy import drop_duplicates, standardize_columns, trim_strings
 from siftframe.plans.local import local_frame
 from siftframe.plans.pipeline import clean, clean_summary
+from siftframe.session import shared_folder
+from siftframe.sources import read_csv_table, write_table
+from siftframe.sources.csv import typed_from_text
 from siftframe.suite.common import (LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
                                     sql_from, table, union_all)
 
@@ -30,6 +35,16 @@ FEW_TS_GAPS = ["event_id", "CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS
 MANY_TS_GAPS = ["event_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS ts"]
 DATE_TEXT = ["o_orderkey",
              "CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS o_orderdate"]
+ISO_TEXT = ["o_orderkey", "CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T02:30:12.',"
+            " lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0'), 'Z') END AS with_zone",
+            "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 02:30:12.', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) AS no_zone"]
+LINEITEM_TEXT = ["CAST(l_orderkey AS STRING) AS l_orderkey", "CAST(l_linenumber AS STRING) AS l_linenumber",
+                 "CASE WHEN l_linenumber = 3 THEN 'n/a' ELSE CAST(l_quantity AS STRING) END AS l_quantity",
+                 "CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE l_returnflag END AS l_returnflag",
+                 "CASE WHEN l_linenumber % 2 = 0 THEN 'True' ELSE 'false' END AS even"]
+ORDERS_NOTES = ["o_orderkey", "o_orderstatus", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice",
+                "CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderpriority, chr(10), 'says \"', o_orderstatus, '\", ', chr(10), CAST(o_orderkey AS STRING))"
+                " ELSE o_orderpriority END AS note"]
 PRICE_QTY = ["l_orderkey", "l_linenumber", "l_extendedprice AS price",
              "CASE WHEN l_orderkey % 11 = 0 THEN 0.0 ELSE l_quantity END AS quantity"]
 WITH_INF = ["event_id", "CASE WHEN event_id % 13 = 0 THEN CAST('inf' AS DOUBLE) "
@@ -77,6 +92,22 @@ def q_convert_dates(spark, sf):
     return convert_dates(df, {c: f for c, (f, _) in fmts.items()})[0]
 
 
+def q_convert_dates_iso(spark, sf):
+    df = dirty(spark, sf, "orders", ISO_TEXT)
+    return convert_dates(df, {c: f for c, (f, _) in sniff_date_columns(df).items()})[0]
+
+
+def q_typed_from_text(spark, sf):
+    return typed_from_text(dirty(spark, sf, "lineitem", LINEITEM_TEXT))
+
+
+def q_read_csv_breaks(spark, sf):
+    """orders with quoted line breaks, written as CSV in the shared folder and read from its splits."""
+    target = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    write_table(dirty(spark, sf, "orders", ORDERS_NOTES), target, format="csv")
+    return read_csv_table(spark, target)
+
+
 def q_iqr_bounds(spark, sf):
     b = iqr_bounds(table(spark, sf, "events"))
     return b.select("column_name", *[F.round(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")])
@@ -151,6 +182,9 @@ QUERIES = {
     "drop_missing_datetime": q_drop_missing_datetime,
     "forward_fill": q_forward_fill,
     "convert_dates": q_convert_dates,
+    "convert_dates_iso": q_convert_dates_iso,
+    "typed_from_text": q_typed_from_text,
+    "read_csv_breaks": q_read_csv_breaks,
     "iqr_bounds": q_iqr_bounds,
     "flag_outliers": q_flag_outliers,
     "outlier_counts": q_outlier_counts,
@@ -287,6 +321,12 @@ SELECT o_orderkey, coalesce(o_orderpriority, m.v) AS o_orderpriority FROM t, m""
     "forward_fill": f"""SELECT event_id, last_value(ts IGNORE NULLS) OVER (ORDER BY event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts FROM {sql_from('events', MANY_TS_GAPS)}""",
     "convert_dates": f"SELECT o_orderkey, try_strptime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM {sql_from('orders', DATE_TEXT)}",
+    "convert_dates_iso": f"""SELECT o_orderkey, try_strptime(with_zone, '%Y-%m-%dT%H:%M:%S.%fZ') AS with_zone,
+  try_strptime(no_zone, '%Y-%m-%d %H:%M:%S.%f') AS no_zone FROM {sql_from('orders', ISO_TEXT)}""",
+    "typed_from_text": """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS DOUBLE) END AS l_quantity,
+  CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END AS l_returnflag, l_linenumber % 2 = 0 AS even FROM lineitem""",
+    "read_csv_breaks": f"SELECT * FROM {sql_from('orders', ORDERS_NOTES)}",
     "iqr_bounds": f"""SELECT column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
   round(lower, 6) AS lower, round(upper, 6) AS upper FROM ({_sql_fences('events', ['event_id', 'user_id', 'value'])})""",
     "flag_outliers": f"""SELECT e.*, CAST(CASE WHEN value < f.lower OR value > f.upper THEN 1 ELSE 0 END AS TINYINT)

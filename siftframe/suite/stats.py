@@ -7,7 +7,7 @@ from siftframe.operators.correlation import correlation_matrix, significant_pair
 from siftframe.operators.frequency import frequency_table, pie_series
 from siftframe.operators.histogram import distribution, fd_bin_count, histogram_series
 from siftframe.operators.stats import descriptive_stats
-from siftframe.suite.common import table, union_all
+from siftframe.suite.common import dirty, sql_from, table, union_all
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -144,6 +144,20 @@ def q_pie_series(spark, sf):
     return pie_series(table(spark, sf, "part"))
 
 
+#: events with one measure spoilt by a single infinity.
+ONE_INF = ["value", "CASE WHEN event_id = 7 THEN CAST('inf' AS DOUBLE) ELSE value * 2 END AS spoilt", "CAST(event_id AS DOUBLE) / 4 AS scaled"]
+
+FINITE = sql_from("events", [ONE_INF[0], ONE_INF[2]])
+
+
+def q_histogram_inf(spark, sf):
+    return histogram_series(dirty(spark, sf, "events", ONE_INF))
+
+
+def q_distribution_inf(spark, sf):
+    return distribution(dirty(spark, sf, "events", ONE_INF)).drop("upper")
+
+
 QUERIES = {
     "descriptive_stats": q_descriptive_stats,
     "correlation_matrix": q_correlation_matrix,
@@ -151,6 +165,8 @@ QUERIES = {
     "fd_bin_count": q_fd_bin_count,
     "distribution": q_distribution,
     "histogram_series": q_histogram_series,
+    "histogram_inf": q_histogram_inf,
+    "distribution_inf": q_distribution_inf,
     "frequency_table": q_frequency_table,
     "frequency_table_part": q_frequency_table_part,
     "pie_series": q_pie_series,
@@ -171,6 +187,15 @@ ORACLES = {
   CAST(least(30, greatest(5, floor(sqrt(CAST(n AS DOUBLE))))) AS INTEGER) AS k
 FROM ({_sql_ranges('events', EVENTS_MEASURES, False)}) WHERE n >= 2""",
         "printf('%.1f', g.lower) AS label"),
+    "histogram_inf": _sql_binned(
+        FINITE, ["value", "scaled"],
+        f"""SELECT column_name, n, lo, hi,
+  CAST(least(30, greatest(5, floor(sqrt(CAST(n AS DOUBLE))))) AS INTEGER) AS k
+FROM ({_sql_ranges(FINITE, ['value', 'scaled'], False)}) WHERE n >= 2""",
+        "printf('%.1f', g.lower) AS label"),
+    "distribution_inf": _sql_binned(
+        FINITE, ["value", "scaled"], _sql_fd_plan(FINITE, ["value", "scaled"]),
+        "printf('%.2f', g.lower) || '-' || printf('%.2f', g.upper) AS label"),
     "frequency_table": _sql_freq("orders", ["o_orderstatus", "o_orderpriority"], 10),
     "frequency_table_part": _sql_freq("part", ["p_name", "p_brand", "p_type"], 10),
     "pie_series": _sql_freq("part", ["p_name", "p_brand", "p_type"], 7, extra=False),

@@ -108,3 +108,25 @@ def test_date_shapes(spark, text):
     df = spark.createDataFrame([(text,)] * 3, "d string")
     out, _ = convert_dates(df, {c: f for c, (f, _) in sniff_date_columns(df).items()})
     assert out.first().d == dt.datetime(2024, 1, 5)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_dates_do_not_depend_on_the_session_zone(spark, zone):
+    texts = {"2024-03-10 02:30:00": dt.datetime(2024, 3, 10, 2, 30), "2024-01-05T10:11:12Z": dt.datetime(2024, 1, 5, 10, 11, 12),
+             "2024-01-05T10:11:12+02:00": dt.datetime(2024, 1, 5, 8, 11, 12), "2024-11-03 01:30:00.123456": dt.datetime(2024, 11, 3, 1, 30, 0, 123456),
+             "1969-12-31T23:59:59.000001": dt.datetime(1969, 12, 31, 23, 59, 59, 1), "2024/01/05 10:11:12": dt.datetime(2024, 1, 5, 10, 11, 12),
+             "01/05/2024 03:04:05 PM": dt.datetime(2024, 1, 5, 15, 4, 5), "January 5, 2024": dt.datetime(2024, 1, 5), "5 January 2024": dt.datetime(2024, 1, 5)}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([tuple(texts)], ", ".join(f"c{i} string" for i in range(len(texts))))
+        out, _ = convert_dates(df, {c: f for c, (f, _) in sniff_date_columns(df).items()})
+        assert list(out.first()) == list(texts.values())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_histogram_leaves_out_a_column_with_an_infinity(spark):
+    from siftframe.operators.histogram import histogram_series
+    df = spark.range(50).selectExpr("cast(id as double) as a", "case when id = 3 then double('inf') else cast(id as double) end as b")
+    assert {r.column_name for r in histogram_series(df).collect()} == {"a"}
