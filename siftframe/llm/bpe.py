@@ -18,7 +18,6 @@ import json
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftframe.llm.common import small_batches
+from siftframe.llm.common import per_worker, small_batches
 
-CACHE_PIECES = 400_000   # distinct pieces a worker remembers
-CHUNK_BYTES = 12_000_000  # text coded at once by a task
+CACHE_PIECES = 250_000   # distinct pieces a worker remembers
+CHUNK_BYTES = 3_000_000  # text coded at once by a task
 
 
 def _byte_letters() -> list[str]:
@@ -178,10 +177,13 @@ class Codec:
         return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def load_codec(path: str) -> Codec:
-    with open(path, encoding="utf-8") as f:
-        return Codec(json.load(f))
+    """The codec of a vocabulary file, loaded once for a worker."""
+    def load() -> Codec:
+        with open(path, encoding="utf-8") as f:
+            return Codec(json.load(f))
+
+    return per_worker(("codec", path), load)
 
 
 def default_vocabulary() -> str:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
 BATCH_ROWS = 256
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +57,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``limit`` bytes of a text or binary column, one row at least."""
+    lo = size = 0
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
+    for row, length in enumerate(lengths):
+        if row > lo and size + (length or 0) > limit:
+            yield batch.slice(lo, row - lo)
+            lo, size = row, 0
+        size += length or 0
+    yield batch.slice(lo)
+
+
+def per_worker(key: Hashable, make: Callable):
+    """``make()``, once for a Python worker.
+
+    The value lives in a module that no file stands behind, so that functions
+    sent by value find it again without this package on the worker's path.
+    """
+    held = sys.modules.setdefault("_siftframe_worker", types.ModuleType("_siftframe_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

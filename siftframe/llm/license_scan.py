@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftframe.llm.common import small_batches
+from siftframe.llm.common import per_worker, small_batches
 from siftframe.llm.tokens import LOWER, buffers, grams, words
 
 WORD = np.ones(256, bool)
@@ -217,9 +216,8 @@ class Scanner:
         return best
 
 
-@lru_cache(maxsize=2)
 def _scanner(cfg: LicenseConfig) -> Scanner:
-    return Scanner(cfg, PHRASES, NOTICES)
+    return per_worker(("licences", repr(cfg)), lambda: Scanner(cfg, PHRASES, NOTICES))
 
 
 def scan_licenses(docs: DataFrame, cfg: LicenseConfig = LicenseConfig()) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftframe.llm import bloom
-from siftframe.llm.common import by_run, small_batches, stage
+from siftframe.llm.common import by_bytes, by_run, small_batches, stage
 from siftframe.llm.components import components, roots
 from siftframe.llm.tokens import LOWER, U, buffers, mix, shingle_sets, words
 
@@ -88,7 +88,7 @@ def features(docs: DataFrame, cfg: NearDupConfig) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _multipliers(hashes)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             values, ranges = _sets(batch, shingle)
             sizes = np.diff(ranges)
             full = np.flatnonzero(sizes)
@@ -164,7 +164,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, cfg: NearDupConfig) -> DataFrame
     shingle = cfg.shingle
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, "text")):
             values, ranges = _sets(batch, shingle)
             packed = [values[ranges[d]: ranges[d + 1]].tobytes() for d in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary())],

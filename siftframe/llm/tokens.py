@@ -2,13 +2,15 @@
 
 Words are maximal runs of bytes outside the ASCII white space
 ``[\\x20\\x09-\\x0D]``; as that set is ASCII, byte runs are code-point runs in
-UTF-8. A word's hash is a prefix-sum polynomial modulo 2**64 over random byte
-values, finished by a 64-bit mixer, so every word and every word n-gram of a
-batch costs a few vector operations.
+UTF-8. A word's hash takes its bytes eight at a time through a 64-bit mixer, all
+words of a batch at once; a word of more than LONG_WORD bytes is hashed by
+BLAKE2b. An n-gram's hash is a prefix-sum polynomial modulo 2**64 over its
+words' hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_BYTE_VALUES = [np.random.default_rng(20240 + i).integers(1, 2**64 - 1, 256, dtype=U) for i in range(2)]
+_SEEDS = (U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG_WORD = 512
+KEPT_POWERS = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,7 +50,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             made.append(np.multiply.accumulate(steps))
         held = (made[0], made[1])
-        if size <= 1 << 23:
+        if size <= KEPT_POWERS:
             _POWERS[base] = held
     return held
 
@@ -61,6 +66,26 @@ def _ranges(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; ``which`` names one of two independent functions."""
+    sizes = ends - starts
+    h = mix(sizes.astype(U) ^ _SEEDS[which])
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    alive = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    done = 0
+    while len(alive):
+        take = eight[starts[alive] + done] & _LOW_BYTES[np.minimum(sizes[alive] - done, 8)]
+        h[alive] = mix((h[alive] ^ mix(take + _SEEDS[which])) + U(done + 1))
+        done += 8
+        alive = alive[sizes[alive] > done]
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[k]: ends[k]].tobytes(), digest_size=8, person=bytes([which])).digest()
+        h[k] = U(int.from_bytes(digest, "little"))
+    return h
+
+
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null counts as empty."""
     if isinstance(text, pa.ChunkedArray):
@@ -88,15 +113,11 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def prefix(self, which: int = 0) -> np.ndarray:
-        return _prefix(_BYTE_VALUES[which][self.data], _BASES[which])
-
-    def range_hashes(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hashes of byte ranges; ``prefix`` is what ``prefix(which)`` gave."""
-        return _ranges(prefix, starts, ends, _BASES[which])
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, starts, ends, which)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return self.range_hashes(self.prefix(which), self.starts, self.ends, which)
+        return self.range_hashes(self.starts, self.ends, which)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = None) -> Words:

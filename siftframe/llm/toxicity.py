@@ -121,12 +121,12 @@ def entries(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     yield w.starts, w.ends, w.hashes(), np.arange(len(w.starts))
     letter = np.flatnonzero((w.data & 0xC0) != 0x80)
     first = np.searchsorted(letter, w.starts)
-    prefix, n = w.prefix(), len(letter)
+    n = len(letter)
     for size in STEM_LETTERS:
         ends = letter[np.minimum(first + size, n - 1)]
         which = np.flatnonzero((first + size < n) & (ends < w.ends))
         starts, ends = w.starts[which], ends[which]
-        yield starts, ends, mix(w.range_hashes(prefix, starts, ends) ^ STEM_MARK), which
+        yield starts, ends, mix(w.range_hashes(starts, ends) ^ STEM_MARK), which
 
 
 def features(text: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:

@@ -100,3 +100,34 @@ def test_exact_duplicates(spark, corpus, capacity):
 
 def test_exact_duplicates_of_nothing(spark):
     assert exact_duplicates(frame(spark, [])).collect() == []
+
+
+def test_words_whose_polynomial_hashes_agree_are_told_apart(spark):
+    """Two words in Thue-Morse order and its complement: every polynomial modulo a power of two gives both one hash."""
+    order = [bin(k).count("1") % 2 for k in range(2048)]
+    for size in (256, 512, 1024, 2048):
+        x, y = ("".join("ab"[bit ^ flip] for bit in order[:size]) for flip in (0, 1))
+        rows = [(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, f"{x} {x}"), (4, f"{y} {y}")]
+        docs = frame(spark, rows)
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, NearDupConfig(shingle=2)).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+        assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_byte_hashes_depend_on_every_byte_and_on_nothing_else():
+    import numpy as np
+    from siftframe.llm.tokens import LONG_WORD, byte_hashes
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 7, 8, 9, 16, 17, LONG_WORD, LONG_WORD + 1):
+        word = rng.integers(0, 256, size, dtype=np.uint8)
+        data = np.concatenate((rng.integers(0, 256, 5, dtype=np.uint8), word, rng.integers(0, 256, 3, dtype=np.uint8), word))
+        starts, ends = np.array([5, 8 + size]), np.array([5 + size, 8 + 2 * size])
+        for which in (0, 1):
+            a, b = byte_hashes(data, starts, ends, which)
+            assert a == b
+            seen = {int(a)}
+            for k in range(min(size, 64)):
+                data[5 + k] ^= 1
+                seen.add(int(byte_hashes(data, starts, ends, which)[0]))
+                data[5 + k] ^= 1
+            assert len(seen) == 1 + min(size, 64)
+    assert (byte_hashes(data, starts, ends, 0) != byte_hashes(data, starts, ends, 1)).all()
