@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftframe.llm.bpe import _byte_letters
-from siftframe.llm.common import shared_dir, small_batches, stage
+from siftframe.llm.common import per_worker, shared_dir, small_batches, stage
 
 END_ID = 2
 SCALE = 20              # the frequencies of a table sum to 2**SCALE
@@ -230,6 +230,10 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _words(path: str, kind: str) -> Words:
+    return per_worker(("words", path, kind), lambda: Words(path, kind))
+
+
 def _path(path: str | None) -> str:
     if path:
         return path
@@ -250,7 +254,7 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = Words(_path(path), kind), np.array([end_id], kind).tobytes()
+        words, end = _words(_path(path), kind), np.array([end_id], kind).tobytes()
         for batch in batches:
             coded = [words.coded(t or "") + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(coded, pa.binary())],
