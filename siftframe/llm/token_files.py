@@ -38,11 +38,11 @@ END_ID = 2
 SCALE = 20              # the frequencies of a table sum to 2**SCALE
 LOWEST = 1 << 31        # a state is at least this between two steps
 BLOCK_TOKENS = 1 << 18  # ids after which a block is closed, at a document's end
-LANES = 512
+LANES = 1024
 FEW_LANES = 32          # for blocks under FEW_TOKENS
 FEW_TOKENS = 1 << 14
 CHECKPOINT = 128        # steps between two checkpoints
-KNOWN_WORDS = 500_000   # words a worker remembers before it starts anew
+KNOWN_WORDS = 800_000   # words a worker remembers before it starts anew
 KNOWN_LETTERS = 64      # longer words are not remembered
 MARKS = ".,;:!?*#&$%()"  # marks behind a word's letters that make one piece of their own
 # Fixed value: the pieces of the word vocabulary, as its file states them.
