@@ -5,8 +5,8 @@ positions: the pieces between the matches and the matches themselves give
 every start. Base kinds (email, ip, card, phone) carry their own check and
 always stay. Further generators propose overlapping spans; gradient boosted
 trees over format and context features, taught by the base kinds' checks,
-score them, and per generator the threshold that reaches the wanted precision
-on held-out spans selects the redactions. Everything is a DataFrame expression.
+score them, and one threshold for all of them, calibrated to the wanted precision
+on held-out base spans, selects the redactions. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ entry is kept when an exact test on the families passes at a bounded share of
 false finds. A word counts with its strongest entry. Target, negation and
 reporting words are fixed values.
 
-Grammar: each clause runs through a composition of small transducers. Word
-classes are the input letters; the states carry whether a target, a negation
+Grammar: each clause runs through one hand-composed finite-state machine (not
+transducers composed by the code). Word classes are the input letters; its states carry whether a target, a negation
 or a reporting verb is in force, and a hit (insult or threat word) is emitted
 with the weight of the state it is matched in. A clause's score is the sum of
 its hits' weights, a document's score a logistic function of its clause
