@@ -26,7 +26,7 @@ def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def correlations(df: DataFrame, cols: list[str] | None = None,
                  settings: Settings = DEFAULT) -> tuple[list[str], dict[tuple[int, int], float | None], int]:
-    """Raw r for every pair i<j over rows complete in *all* ``cols``; one scan.
+    """Raw r for every pair i<j over rows complete in *all* ``cols``; one scan a chunk of pairs.
 
     Pair statistics are chunked into wide aggregates; r is NULL (never an
     ANSI error) for a constant column.
