@@ -1,8 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
 
-A window of a document can resemble an item only if they share a shingle, so
-windows are laid where a document's shingle meets an item's: as long as the
-item, and aligned so that the shared shingle stands at its place in the item.
+A window as long as an item reaches the wanted similarity only if it holds
+enough shingle places whose shingle is the item's too, and moving its start
+on to the next such place loses none of them. So windows are laid at every
+place where a document meets an item's shingle and enough further ones follow
+within the item's length; no other window can be better. An item of fewer
+words than a shingle is one shingle of its own size, and documents are read
+in runs of that size as well.
 Every window and item gets a 64-bit SimHash of its weighted shingles (weight:
 occurrences). Items are indexed by eight blocks of eight bits, each with all
 values within two bits: two fingerprints that differ in at most 23 bits differ
@@ -38,15 +42,20 @@ def _words(text: Column) -> Column:
     return F.when(bare != "", F.split(bare, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def _shingle_rows(rows: DataFrame, words: str, size: int, *keep: str) -> DataFrame:
-    """One row (keep.., at, h) for each shingle; a shorter sequence is one shingle as a whole."""
-    n = F.size(words)
-    shifted = [F.when(n >= size, F.slice(words, i + 1, F.greatest(n - size + 1, F.lit(0)))) for i in range(size)]
-    zipped = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
-    whole = F.when((n > 0) & (n < size), F.array(F.struct(
-        F.array_join(words, " ").alias("w0"), *[F.lit("").alias(f"w{i}") for i in range(1, size)])))
-    out = rows.select(*keep, F.posexplode(F.coalesce(whole, zipped)).alias("at", "s"))
-    return out.select(*keep, "at", F.xxhash64(*[f"s.w{i}" for i in range(size)]).alias("h"))
+def _shingles(words: Column, size: int) -> Column:
+    """Array of (at, h) of all runs of ``size`` words; none if there are fewer words."""
+    last = F.size(words) - size
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("h")))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+
+
+def _own_shingles(words: Column, size: int) -> Column:
+    """The shingles of an item or a window: one as a whole if it is shorter than a shingle."""
+    made = _shingles(words, size)
+    for short in range(1, size):
+        made = F.when(F.size(words) == short, _shingles(words, short)).otherwise(made)
+    return made
 
 
 def _fingerprints(shingles: DataFrame, *key: str) -> DataFrame:
@@ -71,41 +80,62 @@ def _near_values() -> list[int]:
     return [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
 
 
+def _starts(hits: DataFrame, cfg: DecontaminationConfig) -> DataFrame:
+    """(doc_id, row, start, length): places of ``hits`` from which on enough hits stand within the item's length.
+
+    With c common shingles of tw and ti, c / (tw + ti - c) >= percent asks for
+    c >= percent * (tw + ti) / (100 + percent), and c is at most the number of
+    places that the window shares with the item.
+    """
+    by_item = hits.groupBy("doc_id", "row", "item", "length", "n").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    size = F.least(F.col("length"), F.lit(cfg.shingle))
+    by_item = by_item.withColumn("full", F.col("length") - size + 1).withColumn("places", F.col("n") - size + 1)
+
+    def enough(a: Column, i: Column) -> Column:
+        held = F.least(F.col("full"), F.col("places") - a)
+        least = F.ceil((held + F.col("full")) * F.lit(cfg.percent) / F.lit(100.0 + cfg.percent) - F.lit(1e-9)).cast("int")
+        return F.coalesce(F.get("ats", i + least - 1) < a + F.col("full"), F.lit(False))
+
+    return by_item.select("doc_id", "row", F.explode(F.filter("ats", enough)).alias("start"), "length").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): documents that hold a window like a benchmark item.
 
     One row for each such document and item, with its most similar window
     (start in words). Texts are lower-cased and cut into runs of letters and
-    digits. Null or word-less texts and items match nothing; rows with a null
-    doc_id or item_id are left aside; repeated rows count once; items and
-    documents of fewer words than a shingle count as one shingle. Empty tables
-    give an empty result; further columns are not read.
+    digits. Windows are as long as the item, or reach to the document's end.
+    Null or word-less texts and items match nothing; rows with a null doc_id
+    or item_id are left aside; repeated rows count once; an item of fewer
+    words than a shingle is found where all its words stand in a row. Empty
+    tables give an empty result; further columns are not read.
     """
     size = cfg.shingle
     items = benchmark.where("item_id is not null").select("item_id", _words(F.col("text")).alias("words"))
     items = items.select("item_id", "words", F.size("words").alias("length")).where("length > 0").distinct()
-    items = items.withColumn("item", F.xxhash64("item_id", "words"))
-    item_rows = stage(_shingle_rows(items, "words", size, "item", "length"), "items")
-    item_sets = stage(item_rows.groupBy("item", "length", "h").agg(F.count("*").alias("weight")), "item-sets")
-    index = _fingerprints(item_sets, "item", "length").withColumnRenamed("fp", "item_fp")
-    index = stage(index, "item-index")
+    items = stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    shingles = items.select("item", "length", F.explode(_own_shingles(F.col("words"), size)).alias("s"))
+    item_sets = stage(shingles.groupBy("item", "length", "s.h").agg(F.count("*").alias("weight")), "item-sets")
+    index = stage(_fingerprints(item_sets, "item", "length").withColumnRenamed("fp", "item_fp"), "item-index")
+    short = sorted(r["length"] for r in items.where(F.col("length") < size).select("length").distinct().collect())
 
     texts = docs.where("doc_id is not null").select("doc_id", _words(F.col("text")).alias("words"))
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "words"))
-    met = prefilter(_shingle_rows(texts, "words", size, "row"), "h", item_rows.select("h"))
-    places = item_rows.select("h", "length", F.col("at").alias("place")).distinct()
-    met = met.join(places, "h").select("row", F.greatest(F.lit(0), F.col("at") - F.col("place")).alias("start"), "length")
-    windows = stage(met.distinct(), "windows")
-    of_row = stage(windows.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("w")), "of-row")
-    cut = prefilter(texts, "row", of_row.select("row")).join(of_row, "row").dropDuplicates(["row"])
-    cut = cut.select("doc_id", "row", "words", F.explode("w").alias("w")).select(
+    texts = texts.withColumn("row", F.xxhash64("words"))
+    runs = F.concat(_shingles(F.col("words"), size), *[_shingles(F.col("words"), k) for k in short])
+    met = texts.select("doc_id", "row", F.size("words").alias("n"), F.explode(runs).alias("s")).select("doc_id", "row", "n", "s.at", "s.h")
+    hits = prefilter(met, "h", item_sets.select("h")).join(item_sets.select("h", "item", "length"), "h")
+    windows = stage(_starts(hits, cfg), "windows")
+    of_row = stage(windows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length")).alias("w")), "of-row")
+    cut = prefilter(texts, "row", of_row.select("row")).join(of_row, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    cut = cut.select("doc_id", "words", F.explode("w").alias("w")).select(
         "doc_id", F.col("w.start").alias("start"), F.col("w.length").alias("length"),
         F.expr("slice(words, w.start + 1, w.length)").alias("words"))
-    cut = stage(cut.withColumn("window", F.xxhash64("words")), "cut")
+    cut = stage(cut.withColumn("digest", F.md5(F.array_join("words", " "))), "cut")
     # equal windows, wherever they stand, are judged once
-    distinct = cut.groupBy("window", "length").agg(F.first("words").alias("words"))
-    sets = stage(_shingle_rows(distinct, "words", size, "window", "length").groupBy("window", "length", "h").agg(
-        F.count("*").alias("weight")), "window-sets")
+    distinct = cut.groupBy("digest", "length").agg(F.first("words").alias("words"))
+    distinct = stage(distinct.withColumn("window", F.monotonically_increasing_id()), "distinct-windows")
+    sets = distinct.select("window", "length", F.explode(_own_shingles(F.col("words"), size)).alias("s"))
+    sets = stage(sets.groupBy("window", "length", "s.h").agg(F.count("*").alias("weight")), "window-sets")
     prints = _fingerprints(sets, "window", "length")
 
     near = F.array(*[F.lit(v).cast("long") for v in _near_values()])
@@ -125,7 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     judged = common.join(total_w, "window").join(total_i, "item")
     judged = judged.where(F.col("c") * 100 >= (F.col("tw") + F.col("ti") - F.col("c")) * cfg.percent)
     judged = judged.select("window", "item", (F.col("c") / (F.col("tw") + F.col("ti") - F.col("c"))).alias("similarity"))
-    found = cut.select("doc_id", "window", "start", "length").join(judged, "window").join(
+    found = cut.select("doc_id", "digest", "start", "length").join(
+        distinct.select("digest", "length", "window"), ["digest", "length"]).join(judged, "window").join(
         items.select("item", "item_id"), "item")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "length")).alias("b"))
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.col2")).alias("start"), F.col("b.length").alias("n_words"))

@@ -105,13 +105,23 @@ def test_url_verdicts(spark):
 def test_contaminated_documents(spark):
     rng = random.Random(9)
     word = lambda: f"v{rng.randint(0, 400)}"
-    items = [(k, " ".join(word() for _ in range(rng.randint(14, 50)))) for k in range(12)] + [(90, None), (91, ""), (92, "short item")]
+    items = [(k, " ".join(word() for _ in range(rng.randint(14, 50)))) for k in range(12)] + [
+        (90, None), (91, ""), (92, "short item"), (93, "three word item"), (94, "zz")]
     text = lambda: " ".join(word() for _ in range(60))
     near = items[3][1].split()
     near[-1] = "other"
     docs = [(0, text()), (1, text() + " " + items[0][1].upper() + ", " + text()), (2, None), (3, ""), (4, items[1][1]),
             (5, text() + " " + " ".join(near) + " " + text()), (6, items[5][1][: len(items[5][1]) // 2]), (7, "short item"), (None, items[1][1]),
             (8, " ".join([items[7][1], text(), items[8][1], items[7][1]]))] + [(4, items[1][1])]
+    # further documents: halves swapped, words put in, an item cut at the end, short items inside, a shared shingle repeated
+    long = max(items[:12], key=lambda x: len(x[1]))[1].split()
+    half, third = len(long) // 2, len(long) // 3
+    docs += [(20, " ".join([text(), *long[half:], *long[:half], text()])),
+             (21, " ".join([*long[:third], "put", "in", *long[third:], text()])),
+             (22, text() + " " + " ".join(long[:-2])),
+             (23, text() + " Three-word item " + text()), (24, "zz " + text()), (25, text() + " short other item"),
+             (26, " ".join([text(), *long[:5], *long[:5], *long, *long[-5:], text()])),
+             (27, " ".join([*long[3:], text()]))]
 
     def grams(w):
         return collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4)) or collections.Counter([tuple(w)] if w else [])
@@ -122,7 +132,7 @@ def test_contaminated_documents(spark):
         for j, u in items:
             v = re.findall(r"[^\W_]+", (u or "").lower())
             best = 0
-            for k in range(max(1, len(w) - len(v) + 1)):
+            for k in range(max(1, len(w))):  # every start, the last windows end with the document
                 a, b = grams(w[k:k + len(v)]), grams(v)
                 common = sum((a & b).values())
                 best = max(best, common / max(1, sum(a.values()) + sum(b.values()) - common))
