@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siftframe.functions.classify import classify
 from siftframe.functions.exprs import as_double, round_keep_sign, safe_corr
-from siftframe.plans.wide import wide_agg
+from siftframe.plans.gram import co_moments
+from siftframe.plans.wide import field_budget, wide_agg
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
 
@@ -24,17 +25,33 @@ def _complete(df: DataFrame, cols: list[str]) -> DataFrame:
     return vals.dropna(subset=vals.columns)
 
 
+def _from_products(n: int, products) -> tuple[dict[tuple[int, int], float | None], int]:
+    """r of every pair i<=j from the matrix of centred products of ``n`` rows."""
+    roots = [math.sqrt(v) if v >= 0 else math.nan for v in products.diagonal()]
+    rs: dict[tuple[int, int], float | None] = {}
+    for i, a in enumerate(roots):
+        rs[(i, i)] = 1.0 if a > 0 else None
+        for j in range(i + 1, len(roots)):
+            r = products[i, j] / (a * roots[j]) if a * roots[j] > 0 else math.nan
+            rs[(i, j)] = None if math.isnan(r) else float(r)
+    return rs, n
+
+
 def correlations(df: DataFrame, cols: list[str] | None = None,
                  settings: Settings = DEFAULT) -> tuple[list[str], dict[tuple[int, int], float | None], int]:
-    """Raw r for every pair i<j over rows complete in *all* ``cols``; one scan a chunk of pairs.
+    """Raw r for every pair i<j over rows complete in *all* ``cols``.
 
-    Pair statistics are chunked into wide aggregates; r is NULL (never an
-    ANSI error) for a constant column.
+    Few columns are one wide SQL aggregate; where its buffers would not fit
+    the codegen budget, the pairs come from blocks of the Gram matrix (one
+    scan up to 1,024 columns). r is NULL (never an ANSI error) for a constant
+    column.
     """
     cols = classify(df).numeric if cols is None else cols
     if len(cols) < 2:
         return cols, {}, 0
     sub = _complete(df, cols)
+    if 2 * len(cols) * (len(cols) - 1) + 2 * len(cols) + 1 > field_budget(df):
+        return cols, *_from_products(*co_moments(sub))
     per = {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from siftframe.functions.classify import classify, kind_of_type
 from siftframe.functions.exprs import q
 from siftframe.plans.local import local_frame
+from siftframe.plans.repeats import is_wide, repeated_rows
 
 
 def missing_expr(name: str, dt: T.DataType):
@@ -49,9 +50,20 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row ``duplicate_rows``: full-row repeats beyond the first (NULLs equal).
 
-    Grouping on every column shuffles once; partial aggregation collapses a
-    row repeated millions of times before the exchange.
+    Wide rows are told apart by fingerprint first, and only rows whose
+    fingerprint repeats are shuffled whole. Grouping on every column shuffles
+    once; partial aggregation collapses a row repeated millions of times
+    before the exchange.
     """
+    if is_wide(df):
+        parts = repeated_rows(df)
+        if parts is None:
+            return local_frame(df.sparkSession, [(0,)], "duplicate_rows long")
+        df = parts[1]
+    return repeats_beyond_first(df)
+
+
+def repeats_beyond_first(df: DataFrame) -> DataFrame:
     cols = [q(c) for c in df.columns]
     return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from siftframe.functions.exprs import q
 from siftframe.functions.names import standard_names
 from siftframe.operators.steplog import LogRow
+from siftframe.plans.repeats import is_wide, repeated_rows
 
 # Text that becomes missing after trimming.
 NULL_TOKENS = ("nan", "None", "")
@@ -54,16 +55,24 @@ def drop_duplicates(df: DataFrame, checkpoint: bool = False) -> tuple[DataFrame,
     Without ``checkpoint`` the count needs one grouped job and the returned
     frame stays lazy. With it, rows are grouped once (partial aggregation
     collapses repeats map-side), the grouped rows are checkpointed, and the
-    removed count is read from that copy: one shuffle in total.
+    removed count is read from that copy: one shuffle in total. Wide rows are
+    told apart by fingerprint first: only those whose fingerprint repeats are
+    shuffled whole and compared.
     """
+    from siftframe.operators.profile import duplicate_count, repeats_beyond_first
+    from siftframe.session import materialize
+    if is_wide(df):
+        parts = repeated_rows(df)
+        removed = parts and repeats_beyond_first(parts[1]).first()["duplicate_rows"]
+        out = parts[0].unionAll(parts[1].dropDuplicates()) if removed else df
+        return (materialize(out) if checkpoint else out), (
+            [LogRow("drop_duplicates", None, "removed_rows", removed)] if removed else [])
     if checkpoint:
-        from siftframe.session import materialize
         grouped = materialize(df.groupBy(*[q(c) for c in df.columns])
                               .agg(F.count(F.lit(1)).alias("_dup_n")))
         removed = grouped.agg(F.coalesce(F.sum(F.col("_dup_n") - 1), F.lit(0))).first()[0]
         out = grouped.drop("_dup_n")
         return out, ([LogRow("drop_duplicates", None, "removed_rows", removed)] if removed else [])
-    from siftframe.operators.profile import duplicate_count
     removed = duplicate_count(df).first()["duplicate_rows"]
     if not removed:
         return df, []

@@ -17,8 +17,8 @@ from siftframe.plans.pipeline import clean, clean_summary
 from siftframe.session import shared_folder
 from siftframe.sources import read_csv_table, write_table
 from siftframe.sources.csv import typed_from_text
-from siftframe.suite.common import (LINEITEM_NO_KEYS, SQL_DIRTY_ORDERS, dirty, dirty_orders,
-                                    sql_from, table, union_all)
+from siftframe.suite.common import (LINEITEM_NO_KEYS, SQL_COPIED_LINEITEM, SQL_DIRTY_ORDERS, copied_lineitem, dirty,
+                                    dirty_orders, sql_from, table, union_all)
 
 PADDED_PART = [
     "p_partkey",
@@ -172,10 +172,15 @@ def q_clean_log(spark, sf):
     return clean(dirty_orders(spark, sf)).log
 
 
+def q_drop_duplicates_wide(spark, sf):
+    return drop_duplicates(copied_lineitem(spark, sf))[0]
+
+
 QUERIES = {
     "standardize_columns": q_standardize_columns,
     "trim_strings": q_trim_strings,
     "drop_duplicates": q_drop_duplicates,
+    "drop_duplicates_wide": q_drop_duplicates_wide,
     "impute_mean": q_impute_mean,
     "impute_median": q_impute_median,
     "impute_mode": q_impute_mode,
@@ -307,6 +312,7 @@ ORACLES = {
     "standardize_columns": "SELECT r_regionkey, r_name FROM region",
     "trim_strings": f"""SELECT p_partkey, {_sql_trim('p_name')} AS p_name, {_sql_trim('p_brand')} AS p_brand, p_size
 FROM {sql_from('part', PADDED_PART)}""",
+    "drop_duplicates_wide": f"SELECT DISTINCT * FROM {SQL_COPIED_LINEITEM}",
     "drop_duplicates": f"SELECT DISTINCT * FROM {sql_from('lineitem', LINEITEM_NO_KEYS)}",
     "impute_mean": f"""SELECT l_orderkey, l_linenumber,
   round(coalesce(l_quantity, CASE WHEN abs(skewness(l_quantity) OVER ()) > 1 THEN median(l_quantity) OVER ()

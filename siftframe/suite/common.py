@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftframe.sources.parquet import read_parquet_table
 
@@ -33,6 +34,15 @@ DIRTY_LINEITEM = [
 # Key-free projection of lineitem: has many natural full-row duplicates.
 LINEITEM_NO_KEYS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
 
+# All lineitem columns with a second row for each: every tenth order's rows are copies, the others differ in price.
+COPIED_PRICE = "CASE WHEN l_orderkey % 10 = 0 THEN l_extendedprice ELSE l_extendedprice + 0.5 END"
+SQL_COPIED_LINEITEM = f"(SELECT * FROM lineitem UNION ALL SELECT * REPLACE ({COPIED_PRICE} AS l_extendedprice) FROM lineitem)"
+
+
+def copied_lineitem(spark, sf_dir: str):
+    d = table(spark, sf_dir, "lineitem")
+    return d.unionAll(d.withColumn("l_extendedprice", F.expr(COPIED_PRICE)))
+
 
 def dirty(spark, sf_dir: str, name: str, select: list[str]):
     return table(spark, sf_dir, name).selectExpr(*select)

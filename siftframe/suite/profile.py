@@ -5,8 +5,8 @@ from __future__ import annotations
 from siftframe.operators.profile import (column_types, duplicate_count, input_size, missing_counts,
                                          profile, table_shape, total_missing, type_histogram)
 from siftframe.operators.quality import quality_report
-from siftframe.suite.common import (DIRTY_LINEITEM, LINEITEM_NO_KEYS, SQL_KINDS, SQL_TYPE_NAMES, dirty,
-                                    sql_from, table, union_all)
+from siftframe.suite.common import (DIRTY_LINEITEM, LINEITEM_NO_KEYS, SQL_COPIED_LINEITEM, SQL_KINDS,
+                                    SQL_TYPE_NAMES, copied_lineitem, dirty, sql_from, table, union_all)
 
 QUALITY_INPUT = LINEITEM_NO_KEYS[:4] + ["CAST(NULL AS DOUBLE) AS empty_col"]
 _DIRTY_NAMES = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
@@ -36,6 +36,10 @@ def q_duplicate_count(spark, sf):
     return duplicate_count(dirty(spark, sf, "lineitem", LINEITEM_NO_KEYS))
 
 
+def q_duplicate_count_wide(spark, sf):
+    return duplicate_count(copied_lineitem(spark, sf))
+
+
 def q_quality_report(spark, sf):
     return quality_report(dirty(spark, sf, "lineitem", QUALITY_INPUT))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "missing_counts": q_missing_counts,
     "total_missing": q_total_missing,
     "duplicate_count": q_duplicate_count,
+    "duplicate_count_wide": q_duplicate_count_wide,
     "quality_report": q_quality_report,
     "profile": q_profile,
     "input_size": q_input_size,
@@ -80,6 +85,8 @@ FROM information_schema.columns WHERE table_name = 'lineitem'""",
                      + f" AS total_missing FROM {_DL}",
     "duplicate_count": f"""SELECT (SELECT count(*) FROM {_NK}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_NK}))
   AS duplicate_rows""",
+    "duplicate_count_wide": f"""SELECT (SELECT count(*) FROM {SQL_COPIED_LINEITEM})
+  - (SELECT count(*) FROM (SELECT DISTINCT * FROM {SQL_COPIED_LINEITEM})) AS duplicate_rows""",
     "quality_report": f"""WITH d AS (SELECT (SELECT count(*) FROM {_QI}) AS n,
   (SELECT count(*) FROM {_QI}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_QI})) AS dup)
 SELECT 'all_missing' AS "check", 'warning' AS level, 'empty_col' AS column_name, CAST(0 AS BIGINT) AS value,

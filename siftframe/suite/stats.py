@@ -158,9 +158,21 @@ def q_distribution_inf(spark, sf):
     return distribution(dirty(spark, sf, "events", ONE_INF)).drop("upper")
 
 
+#: lineitem measures and columns derived from them: gaps, a constant, a far offset, an exact mirror.
+WIDE = [*LINEITEM_NUMERIC, "l_extendedprice / l_quantity AS unit", "l_quantity * l_discount AS saved",
+        "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_tax * 100 END AS gappy", "CAST(7 AS DOUBLE) AS fixed",
+        "l_extendedprice + 1000000 AS far", "0 - l_extendedprice AS mirrored"]
+WIDE_NAMES = [c.split(" AS ")[-1] for c in WIDE[:11]] + ["fixed", "far", "mirrored"]
+
+
+def q_correlation_wide(spark, sf):
+    return correlation_matrix(dirty(spark, sf, "lineitem", WIDE))
+
+
 QUERIES = {
     "descriptive_stats": q_descriptive_stats,
     "correlation_matrix": q_correlation_matrix,
+    "correlation_wide": q_correlation_wide,
     "significant_pairs": q_significant_pairs,
     "fd_bin_count": q_fd_bin_count,
     "distribution": q_distribution,
@@ -175,6 +187,7 @@ QUERIES = {
 ORACLES = {
     "descriptive_stats": _sql_stats("lineitem", LINEITEM_NUMERIC),
     "correlation_matrix": _sql_corr_matrix("part", PART_NUMERIC),
+    "correlation_wide": _sql_corr_matrix(sql_from("lineitem", WIDE), WIDE_NAMES),
     "significant_pairs": _sql_pairs("part", PART_NUMERIC),
     "fd_bin_count": f"""SELECT column_name, n, round(iqr, 4) AS iqr, round(lo, 4) AS min,
   round(hi, 4) AS max, k AS n_bins FROM ({_sql_fd_plan('lineitem', LINEITEM_NUMERIC)})""",
