@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftframe.functions.classify import classify
 from siftframe.functions.exprs import as_double, q, round_keep_sign
-from siftframe.plans.ordering import with_position
+from siftframe.plans.ordering import numbered
 from siftframe.settings import DEFAULT, Settings
 from siftframe.plans.local import local_frame
 
@@ -19,14 +21,11 @@ def _pairs_frame(df: DataFrame, t: str, v: str, tiebreak: list[str]) -> DataFram
     return df.select(*keep).where(q(t).isNotNull() & F.col("_y").isNotNull())
 
 
-def _copies(pairs: DataFrame, t: str, v: str, tiebreak: list[str]) -> tuple[DataFrame, list[str]]:
-    """Identical (time, tiebreak, value) rows collapsed to one row with a
-    count ``_c`` (partial aggregation folds them map-side), so a value
-    repeated on a third of all rows is one row in the ordering plan. The
-    value closes the order key, which only orders rows the caller left tied
-    (the reference leaves their order unspecified)."""
-    keys = [t] + [c for c in tiebreak if c not in (t, v)] + ["_y"]
-    return pairs.groupBy(*[q(c) for c in keys]).agg(F.count(F.lit(1)).alias("_c")), keys
+def _order(t: str, v: str, tiebreak: list[str]) -> list[str]:
+    """Time, tiebreak, value: the value only orders rows the caller left tied
+    (the reference leaves their order unspecified), and closes the key with a
+    double, so rows equal on it are copies for the chart and the trend."""
+    return [t] + [c for c in tiebreak if c not in (t, v)] + ["_y"]
 
 
 def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
@@ -34,17 +33,21 @@ def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     """``(position, label, value)``: ``v`` ordered by time; above ``line_max_points``
     rows every (n // line_max_points)-th row from the first is kept.
 
-    Positions come from range buckets, not a single-partition window; copies
-    of one (time, value) row are numbered as one group, which emits the kept
-    positions that fall inside it (at most n / step + 1 rows in total).
+    The wanted ranks are looked up on range counts: only rows of ranges that
+    hold one are shuffled (once) and numbered. Copies that outgrow a range are
+    one group, which emits the kept positions that fall inside it (at most
+    n / step + 1 rows in total).
     """
     pairs = _pairs_frame(df, t, v, list(tiebreak))
     n = pairs.count()
     if n < 2:
         return local_frame(df.sparkSession, [], "position long, label string, value double")
     step = n // settings.line_max_points if n > settings.line_max_points else 1
-    groups, order = _copies(pairs, t, v, list(tiebreak))
-    pos = with_position(groups, order, settings=settings, n=n, weight="_c", step=step)
+    if n > settings.order_bucket_rows:
+        # narrower ranges than a sort needs: most of them hold no wanted rank
+        most = settings.order_bucket_rows
+        settings = replace(settings, order_bucket_rows=max(1, most // 16, min(most, step // 16)))
+    pos = numbered(pairs, _order(t, v, list(tiebreak)), [t, "_y"], n, settings, step)
     # first kept position at or after the group's start (integer arithmetic)
     first = F.col("_pos") + (F.lit(step) - F.col("_pos") % F.lit(step)) % F.lit(step)
     last = F.col("_pos") + F.col("_c") - 1
@@ -124,8 +127,7 @@ def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     n = st["n"]
     if n < settings.trend_min_rows:
         return local_frame(spark, [], schema)
-    groups, order = _copies(pairs, t, v, list(tiebreak))
-    pos = with_position(groups, order, settings=settings, n=n, weight="_c")
+    pos = numbered(pairs, _order(t, v, list(tiebreak)), ["_y"], n, settings)
     # x = row position, centred on its known mean (n - 1) / 2: a group of c
     # copies starting at p adds c * (p - xbar) + c (c - 1) / 2 to sum(x - xbar),
     # and sum((x - xbar)^2) = n (n^2 - 1) / 12 exactly

@@ -11,6 +11,7 @@ partitioned by range numbers the rows inside it.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from siftframe.functions.exprs import q
 from siftframe.settings import DEFAULT, Settings
 
 _DAY_MICROS = 86_400_000_000
+_LEAST_LONG = -(1 << 63)
 
 
 def order_value(name: str, dt: T.DataType) -> Column:
@@ -58,7 +60,9 @@ def bucket_count(n: int, settings: Settings) -> int:
 
 
 def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings) -> list[tuple]:
-    """Up to ``bucket_count - 1`` composite split keys, chosen on the cluster.
+    """Up to ``bucket_count - 1`` composite split keys in order, chosen on the cluster.
+
+    A key that holds a whole tile of the sample stands in the list more than once.
 
     About ``order_sample_per_bucket`` keys per wanted bucket are sampled;
     one window over that bounded sample (at most ``order_buckets`` x
@@ -75,8 +79,7 @@ def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings
     types = {f.name: f.dataType for f in df.schema.fields}
     names = [f"k{j}" for j in range(len(order_cols))]
     sample = (df.select(*[order_value(c, types[c]).alias(k) for k, c in zip(names, order_cols)])
-              .sample(False, frac, seed=20240101)
-              .where(" AND ".join(f"{k} IS NOT NULL" for k in names)))
+              .sample(False, frac, seed=20240101))
     ordered = Window.orderBy(*names)
     everything = Window.partitionBy()
     tiles = F.least(F.lit(want), F.greatest(F.lit(1), F.floor(F.col("_m") / F.lit(per)))).cast("long")
@@ -86,12 +89,19 @@ def _boundaries(df: DataFrame, order_cols: list[str], n: int, settings: Settings
              .where(F.col("_t") < F.col("_tiles") - 1)
              .groupBy("_t").agg(F.max(F.struct(*names)).alias("m"))
              .orderBy("_t").collect())   # at most ``order_buckets`` rows
-    out: list[tuple] = []
-    for r in picks:
-        kv = tuple(r["m"])
-        if not out or kv != out[-1]:
-            out.append(kv)
-    return out
+    return [tuple(r["m"]) for r in picks]
+
+
+def _distinct(bounds: list[tuple]) -> list[tuple]:
+    """Ordered keys without repeats (NaN repeats itself, too)."""
+    return list({tuple("NaN" if v != v else v for v in b): b for b in bounds}.values())
+
+
+def _before(value: float | int | None) -> float | int | None:
+    """The next smaller long or double in Spark's order, NULL (the smallest) for the least one."""
+    if isinstance(value, float):
+        return math.inf if value != value else None if value == -math.inf else math.nextafter(value, -math.inf)
+    return None if value is None or value == _LEAST_LONG else value - 1
 
 
 def _le(keys: list[Column], lits: list[Column]) -> Column:
@@ -170,7 +180,28 @@ def _bucket_search(keys: list[Column], bounds: list[tuple], key_types: list[T.Da
 def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
              n: int | None = None, bucket_col: str = "_bkt") -> DataFrame:
     n = df.count() if n is None else n
-    bounds = _boundaries(df, order_cols, n, settings)
+    return _in_buckets(df, order_cols, _distinct(_boundaries(df, order_cols, n, settings)), bucket_col)
+
+
+def bucketed_points(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
+                    n: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` with its range bucket ``_bkt``, and whether some key holds more than a bucket.
+
+    If one does, each split key is a bucket of its own: odd buckets (points)
+    hold the rows of exactly one key, even ones (ranges) what lies between
+    two. The last of ``order_cols`` must be a long or double without NULLs,
+    so that the range in front of a point ends at the next smaller key.
+    """
+    n = df.count() if n is None else n
+    found = _boundaries(df, order_cols, n, settings)
+    bounds = _distinct(found)
+    hot = len(bounds) < len(found)
+    if hot:
+        bounds = [k for b in bounds for k in ((*b[:-1], _before(b[-1])), b)]
+    return _in_buckets(df, order_cols, bounds, "_bkt"), hot
+
+
+def _in_buckets(df: DataFrame, order_cols: list[str], bounds: list[tuple], bucket_col: str) -> DataFrame:
     if not bounds:
         return df.withColumn(bucket_col, F.lit(0))
     # key images are their own projection, so the search reads plain columns
@@ -183,19 +214,16 @@ def bucketed(df: DataFrame, order_cols: list[str], settings: Settings = DEFAULT,
 
 def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
                   settings: Settings = DEFAULT, pos_col: str = "_pos",
-                  n: int | None = None, weight: str | None = None, step: int = 1) -> DataFrame:
+                  n: int | None = None, step: int = 1) -> DataFrame:
     """Add the 0-based position of each row in (partition, order_cols) order.
 
     ``order_cols`` must be non-null and together unique for a deterministic
-    numbering (pass a tiebreak column last). With ``weight``, each row stands
-    for that many identical rows (e.g. copies collapsed by a grouped count)
-    and gets the position of the first of them. With ``step``, only buckets
+    numbering (pass a tiebreak column last). With ``step``, only buckets
     that hold a multiple of it are kept, so the others are never sorted.
     """
     parts = [q(c) for c in partition_cols]
     b = bucketed(df, order_cols, settings, n)
-    size = F.col(weight) if weight else F.lit(1)
-    counts = b.groupBy(*parts, "_bkt").agg(F.sum(size).cast("long").alias("_cnt"))
+    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     w_off = Window.partitionBy(*parts).orderBy("_bkt")
     offsets = counts.withColumn("_off", F.sum("_cnt").over(w_off) - F.col("_cnt"))
     if step > 1:
@@ -206,14 +234,38 @@ def with_position(df: DataFrame, order_cols: list[str], partition_cols: list[str
         offsets = F.broadcast(offsets)
     keys = list(partition_cols) + ["_bkt"]
     w = Window.partitionBy(*parts, "_bkt").orderBy(*[q(c) for c in order_cols])
-    if weight:
-        upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        pos = F.col("_off") + upto - size
-    else:
-        pos = F.col("_off") + F.row_number().over(w) - 1
+    pos = F.col("_off") + F.row_number().over(w) - 1
     return b.join(offsets, keys).withColumn(pos_col, pos.cast("long")).drop("_bkt", "_off")
 
 
+def numbered(df: DataFrame, order_cols: list[str], keep: list[str], n: int,
+             settings: Settings = DEFAULT, step: int = 1) -> DataFrame:
+    """``keep`` of the rows in the order of ``order_cols``, with ``_pos`` (0-based) and ``_c``: the row stands for
+    ``_c`` equal rows from that position on.
+
+    ``order_cols`` must hold all that tells rows apart, a double without NULLs
+    last. Rows of a key that outgrows a range are a bucket of their own, which
+    its count and one value describe: they are never shuffled or sorted. The
+    others are shuffled once, by range. With ``step``, only rows of ranges that
+    hold a multiple of it are shuffled at all.
+    """
+    b, hot = bucketed_points(df, order_cols, settings, n)
+    values = [F.min(q(c)).alias(f"_v{i}") for i, c in enumerate(keep)] if hot else []
+    offsets = (b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"), *values)
+               .withColumn("_off", F.sum("_cnt").over(Window.orderBy("_bkt")) - F.col("_cnt")))
+    if step > 1:
+        offsets = offsets.where(F.pmod(-F.col("_off"), F.lit(step)) < F.col("_cnt"))
+    ranges = offsets.where("_bkt % 2 = 0") if hot else offsets
+    w = Window.partitionBy("_bkt").orderBy(*[q(c) for c in order_cols])
+    # at most 2 x ``order_buckets`` rows: a proven bound for the broadcast
+    rows = b.join(F.broadcast(ranges.select("_bkt", "_off")), "_bkt").select(
+        *[q(c) for c in keep], (F.col("_off") + F.row_number().over(w) - 1).alias("_pos"), F.lit(1).cast("long").alias("_c"))
+    if not hot:
+        return rows
+    return rows.unionAll(offsets.where("_bkt % 2 = 1").select(
+        *[F.col(f"_v{i}").alias(c) for i, c in enumerate(keep)], F.col("_off").alias("_pos"), F.col("_cnt").alias("_c")))
+
+
 def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
                  partition_cols: list[str] = (), settings: Settings = DEFAULT) -> DataFrame:
     """Replace each gap with the last earlier non-missing value; leading gaps stay.
@@ -225,7 +277,10 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
     Rows tied on ``order_cols`` are ordered by a hash of the whole row, so a
     hot order value (say a third of all rows on one timestamp) is split over
     many buckets and the fill among ties is deterministic. Exact copies share
-    the hash; they also receive the same fill, whatever their order.
+    the hash. They receive the same fill, whatever their order, so copies of a
+    row that outgrow a bucket are set apart and take it straight from the
+    per-bucket table: they meet in no window (and without ``partition_cols``
+    they are not shuffled).
     """
     if not cols:
         return df
@@ -233,7 +288,7 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
     hashable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     src = df.withColumn("_ff_tb", F.xxhash64(*hashable))
     order_cols = list(order_cols) + ["_ff_tb"]
-    b = bucketed(src, order_cols, settings)
+    b, hot = bucketed_points(src, order_cols, settings)
     types = {f.name: f.dataType for f in src.schema.fields}
     okey = F.struct(*[order_value(c, types[c]).alias(f"k{j}") for j, c in enumerate(order_cols)])
     lasts = b.groupBy(*parts, "_bkt").agg(*[
@@ -241,13 +296,24 @@ def forward_fill(df: DataFrame, cols: list[str], order_cols: list[str],
     w_prev = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(*parts, "_bkt", *[
         F.last(f"_last{i}", ignorenulls=True).over(w_prev).alias(f"_carry{i}") for i in range(len(cols))])
-    if not partition_cols:
-        carry = F.broadcast(carry)  # at most ``order_buckets`` rows
     w_run = (Window.partitionBy(*parts, "_bkt").orderBy(*[q(c) for c in order_cols])
              .rowsBetween(Window.unboundedPreceding, 0))
-    joined = b.join(carry, list(partition_cols) + ["_bkt"])
-    filled = joined.select(*[
-        (F.coalesce(q(f.name), F.last(q(f.name), ignorenulls=True).over(w_run), F.col(f"_carry{cols.index(f.name)}"))
-         .alias(f.name) if f.name in cols else q(f.name))
-        for f in df.schema.fields])
-    return filled
+
+    def filled(rows: DataFrame, carry: DataFrame, running: bool) -> DataFrame:
+        if partition_cols:
+            # a NULL is a partition of its own, as in the window
+            keys = [*partition_cols, "_bkt"]
+            named = carry.select(*[q(k).alias(f"_p{i}") for i, k in enumerate(keys)], *[f"_carry{i}" for i in range(len(cols))])
+            joined = rows.join(named, [q(k).eqNullSafe(F.col(f"_p{i}")) for i, k in enumerate(keys)])
+        else:
+            joined = rows.join(F.broadcast(carry), "_bkt")  # at most 2 x ``order_buckets`` rows
+
+        def value(c: str) -> Column:
+            earlier = [F.last(q(c), ignorenulls=True).over(w_run)] if running else [q(c)]
+            return F.coalesce(*earlier, F.col(f"_carry{cols.index(c)}")).alias(c)
+
+        return joined.select(*[value(f.name) if f.name in cols else q(f.name) for f in df.schema.fields])
+
+    if not hot:
+        return filled(b, carry, True)
+    return filled(b.where("_bkt % 2 = 0"), carry, True).unionAll(filled(b.where("_bkt % 2 = 1"), carry, False))

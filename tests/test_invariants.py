@@ -228,3 +228,41 @@ def test_quantiles_do_not_trust_the_sketch(spark, monkeypatch):
             {c: (5000, 5000, 0.0, 4999.0) for c in cols}, {c: [at] * (2 * len(probs)) for c in cols}))
         for limit in (4999, 100):
             assert quantiles(df, ["x"], [0.1, 0.5], Settings(direct_distinct_limit=limit)) == {"x": [499 + (4999 * 0.1 - 499), 2499.5]}
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_forward_fill_copies_of_one_row_meet_in_no_window(spark, keys):
+    """A third of all rows is one row (with a gap); a partition key may be NULL; values as pandas fills them."""
+    from siftframe.plans.ordering import bucketed_points
+    rows = [(None if i % 2 else "a", 500, -1, None) if i % 3 == 0 else (None if i % 2 else "a", i % 997, i, None if i % 4 else float(i))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k int, payload int, x double").repartition(5)
+    st = Settings(order_bucket_rows=50)
+    h = F.xxhash64("g", "k", "payload", "x")
+    b, hot = bucketed_points(df.withColumn("_h", h), ["k", "_h"], st)
+    sizes = {r["_bkt"]: r["count"] for r in b.groupBy("_bkt").count().collect()}
+    assert hot and max(n for i, n in sizes.items() if i % 2 == 0) < 200
+    assert b.where("payload = -1 and _bkt % 2 = 0").count() == 0
+    got = forward_fill(df, ["x"], ["k"], keys, st)
+    pdf = df.withColumn("_h", h).toPandas().sort_values(["k", "_h"], kind="stable")
+    pdf["x"] = (pdf.assign(g=pdf["g"].fillna("-")).groupby("g")["x"] if keys else pdf["x"]).ffill()
+
+    def plain(frame):
+        return sorted((str(r.g if isinstance(r.g, str) else None), r.k, r.payload, -1.0 if pd.isna(r.x) else r.x) for r in frame.itertuples())
+    assert plain(got.toPandas()) == plain(pdf)
+
+
+@pytest.mark.parametrize("edge", [float("nan"), float("-inf"), float("inf"), 0.0, None])
+def test_line_and_trend_order_copies_at_the_edges_of_doubles(spark, edge):
+    """Copies of an extreme value outgrow a range; a NULL tiebreak is the smallest key."""
+    from pyspark.sql import Window
+    from siftframe.operators.series import line_series
+    df = spark.range(2400).selectExpr("cast(date'2024-01-01' as timestamp_ntz) as t", "id",
+                                      "case when id % 2 = 0 then null else id end as tie", "cast(id % 7 as double) as v")
+    hot = F.col("id") % 3 == 0
+    df = df.select("t", F.when(~hot, F.col("tie")).alias("tie"), F.when(hot, F.lit(edge if edge is not None else 3.0)).otherwise(F.col("v")).alias("v"))
+    known = df.where("not isnan(v)")  # NaN is a gap
+    want = (known.withColumn("position", F.row_number().over(Window.orderBy("t", "tie", "v")) - 1)
+            .where(F.col("position") % (known.count() // 200) == 0).select("position", "v").collect())
+    got = line_series(df, "t", "v", ["tie"], Settings(order_bucket_rows=60)).collect()
+    assert sorted((r.position, repr(r.value)) for r in got) == sorted((r.position, repr(r.v)) for r in want)

@@ -25,6 +25,19 @@ def test_position_window_is_partitioned(spark, sf_small):
     assert "BroadcastHashJoin [_bkt" in txt
 
 
+def test_line_series_shuffles_the_rows_once(spark, sf_small):
+    from siftframe.operators.series import line_series
+    ev = table(spark, sf_small, "events")
+    third = ev.unionAll(ev.selectExpr("event_id * 0", "timestamp_ntz'2024-03-01'", "user_id", "event_type", "7.5D", "props").toDF(*ev.columns))
+    for df in (ev, third):  # with and without copies that outgrow a range
+        txt = plan_text(line_series(df, "ts", "value", ["event_id"], Settings(order_bucket_rows=50)))
+        shuffles = [line for line in txt.split("\n") if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+        # the counts of the ranges and the rows, both by range; copies only ever reach the counts
+        assert shuffles and all("hashpartitioning(_bkt" in line for line in shuffles)
+        windows = txt.split("row_number() windowspecdefinition(_bkt")
+        assert len(windows) == 2
+
+
 def test_scan_prunes_columns(spark, sf_small):
     from siftframe.operators.profile import missing_counts
     df = missing_counts(table(spark, sf_small, "lineitem").select("l_quantity", "l_tax"))
