@@ -26,9 +26,10 @@ CATALOG_SCHEMA = "seq int, chart_type string, title string, x string, y string"
 
 
 def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
-                 stats: DataFrame | None = None, known: tuple | None = None) -> list[tuple]:
+                 stats: DataFrame | None = None, known: tuple | None = None, n_rows: int | None = None,
+                 tops: DataFrame | None = None, paths: dict | None = None) -> list[tuple]:
     kinds = classify(df)
-    n_rows = df.count()
+    n_rows = df.count() if n_rows is None else n_rows
     out: list[tuple[str, str | None, str]] = []
     out.append(("overview", None,
                 f"{n_rows:,} rows in {len(df.columns)} columns: {len(kinds.numeric)} numeric, "
@@ -61,7 +62,8 @@ def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str
                     f"'{c1}' and '{c2}' move together: {strength} {sign} correlation "
                     f"(r = {r:.2f}, band {band:.4f})."))
     if kinds.categorical:
-        freq = frequency_table(df, kinds.categorical, 1, settings).collect()
+        tops = frequency_table(df, kinds.categorical, 1, settings) if tops is None else tops.where("rank = 1")
+        freq = tops.collect()
         by_col = {r["column_name"]: r for r in freq}
         for c in kinds.categorical:
             r = by_col.get(c)
@@ -72,7 +74,7 @@ def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str
                         f"{r['unique_count']} distinct)."))
     for t in kinds.datetime:
         for v in kinds.numeric[:2]:
-            tr = linear_trend(df, t, v, tiebreak, settings).collect()
+            tr = linear_trend(df, t, v, tiebreak, settings, paths and paths[t, v]).collect()
             if tr:
                 row = tr[0]
                 out.append(("trend", v, f"'{v}' trends {row['direction']} along '{t}' "
@@ -81,45 +83,46 @@ def insight_rows(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str
 
 
 def insight_sentences(df: DataFrame, settings: Settings = DEFAULT, tiebreak: list[str] = (),
-                      stats: DataFrame | None = None, known: tuple | None = None) -> DataFrame:
+                      stats: DataFrame | None = None, known: tuple | None = None, n_rows: int | None = None,
+                      tops: DataFrame | None = None, paths: dict | None = None) -> DataFrame:
     """``(seq, kind, column_name, sentence)``: overview; range (+ skew) per numeric
     column; column with the largest value; strongest pair; top category per
-    categorical; trend per datetime x first 2 numerics. ``stats`` and ``known`` are
-    earlier results of ``descriptive_stats`` and ``correlations`` on ``df``."""
-    return local_frame(df.sparkSession, insight_rows(df, settings, tiebreak, stats, known), SENTENCE_SCHEMA)
+    categorical; trend per datetime x first 2 numerics. ``stats``, ``known`` and ``tops`` are
+    earlier results of ``descriptive_stats``, ``correlations`` and ``frequency_table`` on ``df``, ``n_rows`` its
+    row count and ``paths`` what ``linear_trend`` takes as ``sums`` per (time, value)."""
+    return local_frame(df.sparkSession, insight_rows(df, settings, tiebreak, stats, known, n_rows, tops, paths), SENTENCE_SCHEMA)
 
 
-def chart_catalog(df: DataFrame, settings: Settings = DEFAULT, known: tuple | None = None) -> DataFrame:
+def chart_catalog(df: DataFrame, settings: Settings = DEFAULT, known: tuple | None = None,
+                  counts: dict[tuple, int] | None = None) -> DataFrame:
     """``(seq, chart_type, title, x, y)`` for every chart the data supports, in
     the order line, bar, pie, histogram, scatter, heatmap. One aggregate
-    supplies all the row counts the rules need."""
+    supplies all the row counts the rules need, unless ``counts`` has them:
+    rows with a value per (column,) and with both per (time, value)."""
     kinds = classify(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     nums3, nums2, nums4 = kinds.numeric[:3], kinds.numeric[:2], measure_columns(df, kinds.numeric)[:4]
     cats3 = kinds.categorical[:3]
-    aggs = []
-    for i, t in enumerate(kinds.datetime):
-        for j, v in enumerate(nums3):
-            aggs.append(F.count_if(q(t).isNotNull() & as_double(v, types[v]).isNotNull()).alias(f"l{i}_{j}"))
-    for i, c in enumerate(cats3):
-        aggs.append(F.count(q(c)).alias(f"c{i}"))
-    for i, v in enumerate(nums4):
-        aggs.append(F.count(as_double(v, types[v])).alias(f"h{i}"))
-    row = df.agg(*aggs).first() if aggs else None
+    if counts is None:
+        wanted = {(t, v): F.count_if(q(t).isNotNull() & as_double(v, types[v]).isNotNull())
+                  for t in kinds.datetime for v in nums3}
+        wanted |= {(c,): F.count(q(c)) for c in cats3} | {(v,): F.count(as_double(v, types[v])) for v in nums4}
+        found = df.agg(*[e.alias(f"n{i}") for i, e in enumerate(wanted.values())]).first() if wanted else ()
+        counts = dict(zip(wanted, found))
     rows = []
-    for i, t in enumerate(kinds.datetime):
-        for j, v in enumerate(nums3):
-            if row[f"l{i}_{j}"] >= 2:
+    for t in kinds.datetime:
+        for v in nums3:
+            if counts[t, v] >= 2:
                 rows.append(("line", f"{v} over {t}", t, v))
-    for i, c in enumerate(cats3):
-        if row[f"c{i}"] > 0:
+    for c in cats3:
+        if counts[c,] > 0:
             for v in nums2:
                 rows.append(("bar", f"mean {v} by {c}", c, v))
-    for i, c in enumerate(cats3):
-        if row[f"c{i}"] > 0:
+    for c in cats3:
+        if counts[c,] > 0:
             rows.append(("pie", f"share of {c}", c, None))
-    for i, v in enumerate(nums4):
-        if row[f"h{i}"] >= 2:
+    for v in nums4:
+        if counts[v,] >= 2:
             rows.append(("histogram", f"histogram of {v}", v, None))
     cols, rs, n = known or correlations(df, kinds.numeric, settings)
     for p in pair_rows(cols, rs, n, settings)[:settings.scatter_pairs]:

@@ -29,17 +29,17 @@ def _order(t: str, v: str, tiebreak: list[str]) -> list[str]:
 
 
 def line_series(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
-                settings: Settings = DEFAULT) -> DataFrame:
+                settings: Settings = DEFAULT, n: int | None = None) -> DataFrame:
     """``(position, label, value)``: ``v`` ordered by time; above ``line_max_points``
     rows every (n // line_max_points)-th row from the first is kept.
 
     The wanted ranks are looked up on range counts: only rows of ranges that
     hold one are shuffled (once) and numbered. Copies that outgrow a range are
     one group, which emits the kept positions that fall inside it (at most
-    n / step + 1 rows in total).
+    n / step + 1 rows in total). ``n`` is the number of rows with both values, if known.
     """
     pairs = _pairs_frame(df, t, v, list(tiebreak))
-    n = pairs.count()
+    n = pairs.count() if n is None else n
     if n < 2:
         return local_frame(df.sparkSession, [], "position long, label string, value double")
     step = n // settings.line_max_points if n > settings.line_max_points else 1
@@ -114,17 +114,16 @@ def scatter_sample(df: DataFrame, x: str, y: str, key: list[str] | None = None,
 
 
 def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
-                 settings: Settings = DEFAULT) -> DataFrame:
+                 settings: Settings = DEFAULT, sums: tuple | None = None) -> DataFrame:
     """``(datetime_column, value_column, n, slope, r2, direction)``: least squares
     of ``v`` on its row position in time order (n >= ``trend_min_rows``).
 
-    R^2 is 0 when ``v`` is constant.
+    R^2 is 0 when ``v`` is constant. ``sums`` are the rows with both values, their mean and population variance, if known.
     """
     spark = df.sparkSession
     schema = "datetime_column string, value_column string, n long, slope double, r2 double, direction string"
     pairs = _pairs_frame(df, t, v, list(tiebreak))
-    st = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("ybar"), F.var_pop("_y").alias("vy")).first()
-    n = st["n"]
+    n, ybar, vy = sums or pairs.agg(F.count(F.lit(1)), F.avg("_y"), F.var_pop("_y")).first()
     if n < settings.trend_min_rows:
         return local_frame(spark, [], schema)
     pos = numbered(pairs, _order(t, v, list(tiebreak)), ["_y"], n, settings)
@@ -133,10 +132,10 @@ def linear_trend(df: DataFrame, t: str, v: str, tiebreak: list[str] = (),
     # and sum((x - xbar)^2) = n (n^2 - 1) / 12 exactly
     c, p = F.col("_c").cast("double"), F.col("_pos").cast("double")
     dx = c * (p - F.lit((n - 1) / 2.0)) + c * (c - 1) / 2
-    sxy = pos.agg(F.sum(dx * (F.col("_y") - F.lit(st["ybar"]))).alias("sxy")).first()["sxy"] or 0.0
+    sxy = pos.agg(F.sum(dx * (F.col("_y") - F.lit(ybar))).alias("sxy")).first()["sxy"] or 0.0
     sxx = n * (n * n - 1) / 12.0
     slope = sxy / sxx
-    vy = st["vy"] or 0.0
+    vy = vy or 0.0
     r2 = (sxy * sxy) / (sxx * n * vy) if vy > 0 else 0.0
     return local_frame(spark, [(t, v, n, slope, r2, "upward" if slope > 0 else "downward")], schema)
 

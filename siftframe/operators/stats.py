@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +28,20 @@ STATS_SCHEMA = T.StructType([
 ])
 
 
+def moment_exprs(x: Column) -> list[tuple[str, Column]]:
+    """``[(name, aggregate)]`` of one numeric column's moments and bounds."""
+    n, lo, hi = F.count(x), F.min(x), F.max(x)
+    return [("count", n), ("mean", F.avg(x)), ("std", F.stddev_samp(x)),
+            ("min", lo), ("max", hi),
+            ("skewness", sample_skewness(x, n, lo, hi)),
+            ("kurtosis", sample_kurtosis(x, n, lo, hi)),
+            ("rows", F.count(F.lit(1)))]
+
+
 def moments(df: DataFrame, cols: list[str], settings: Settings = DEFAULT) -> dict[str, dict]:
     """Raw (unrounded) statistics for ``cols``: one wide aggregate + quantile plan."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    per = {}
-    for c in cols:
-        x = as_double(c, types[c])
-        n, lo, hi = F.count(x), F.min(x), F.max(x)
-        per[c] = [("count", n), ("mean", F.avg(x)), ("std", F.stddev_samp(x)),
-                  ("min", lo), ("max", hi),
-                  ("skewness", sample_skewness(x, n, lo, hi)),
-                  ("kurtosis", sample_kurtosis(x, n, lo, hi)),
-                  ("rows", F.count(F.lit(1)))]
-    res = wide_agg(df, per, settings)
+    res = wide_agg(df, {c: moment_exprs(as_double(c, types[c])) for c in cols}, settings)
     med = quantiles(df, cols, [0.5], settings,
                     counts={c: (res[c]["count"], res[c]["count"], res[c]["min"], res[c]["max"])
                             for c in cols})
@@ -50,15 +51,17 @@ def moments(df: DataFrame, cols: list[str], settings: Settings = DEFAULT) -> dic
 
 
 def descriptive_stats(df: DataFrame, cols: list[str] | None = None,
-                      settings: Settings = DEFAULT) -> DataFrame:
+                      settings: Settings = DEFAULT, raw: dict[str, dict] | None = None) -> DataFrame:
     """count, mean, median, std, min, max, skewness, kurtosis, missing % per column.
 
     Columns with no values are skipped. Values are rounded to 4 decimals
-    (missing_pct to 2) inside Spark, after all arithmetic.
+    (missing_pct to 2) inside Spark, after all arithmetic. ``raw`` is an
+    earlier result of ``moments`` on ``df``.
     """
     cols = classify(df).numeric if cols is None else cols
     spark = df.sparkSession
-    raw = moments(df, cols, settings) if cols else {}
+    if raw is None:
+        raw = moments(df, cols, settings) if cols else {}
     rows = []
     for i, c in enumerate(cols):
         s = raw[c]

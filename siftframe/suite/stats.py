@@ -75,6 +75,12 @@ def _sql_fd_plan(tbl: str, cols: list[str]) -> str:
 FROM ({_sql_ranges(tbl, cols, True)}) WHERE n >= 2"""
 
 
+def _sql_chart_plan(tbl: str, cols: list[str]) -> str:
+    return f"""SELECT column_name, n, lo, hi,
+  CAST(least(30, greatest(5, floor(sqrt(CAST(n AS DOUBLE))))) AS INTEGER) AS k
+FROM ({_sql_ranges(tbl, cols, False)}) WHERE n >= 2"""
+
+
 def _sql_binned(tbl: str, cols: list[str], plan_sql: str, label_sql: str) -> str:
     vals = union_all([f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS x FROM {tbl}" for c in cols])
     wlo = "(CASE WHEN p.lo = p.hi THEN p.lo - 0.5 ELSE p.lo END)"

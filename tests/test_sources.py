@@ -135,6 +135,21 @@ def test_full_report(spark, sf_small):
     assert rep["insights"].where(F.col("kind") == "trend").count() == 2
 
 
+def test_full_report_computes_each_statistic_once(spark, sf_small, monkeypatch):
+    """One wide aggregate, one quantile plan, one grouped count, one correlation, one pass over the bins."""
+    import importlib
+    calls = []
+    for module, name in (("plans.facts", "wide_agg"), ("operators.histogram", "wide_agg"), ("operators.stats", "wide_agg"),
+                         ("plans.facts", "quantiles"), ("operators.histogram", "quantiles"), ("operators.stats", "quantiles"),
+                         ("operators.frequency", "value_counts"), ("plans.facts", "correlations"),
+                         ("operators.narrative", "correlations"), ("plans.facts", "binned_counts"), ("operators.histogram", "binned_counts")):
+        at = importlib.import_module(f"siftframe.{module}")
+        real = getattr(at, name)
+        monkeypatch.setattr(at, name, lambda *a, real=real, name=name, **k: (calls.append(name), real(*a, **k))[1])
+    full_report(table(spark, sf_small, "events"), tiebreak=["event_id"], checkpoint=False)
+    assert sorted(calls) == ["binned_counts", "correlations", "quantiles", "value_counts", "wide_agg"]
+
+
 def _many_splits(spark, size=300):
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
