@@ -58,6 +58,23 @@ def _own_shingles(words: Column, size: int) -> Column:
     return made
 
 
+def _placed(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, row, n, at, h): the runs of each of ``sizes`` words (descending) in ``texts`` (doc_id, row, words).
+
+    The words of a place stand side by side in one row, so they are hashed by
+    compiled code; a function over the array would be interpreted, word by word.
+    """
+    words, n = F.col("words"), F.size("words")
+    places = F.greatest(n - sizes[-1] + 1, F.lit(0))
+    side = F.arrays_zip(*[F.slice(words, F.lit(k + 1), places).alias(f"w{k}") for k in range(sizes[0])])
+    rows = texts.select("doc_id", "row", n.alias("n"), F.posexplode(side).alias("at", "s"))
+    runs = [F.xxhash64(*[F.col(f"s.w{k}") for k in range(size)]) for size in sizes]
+    if len(runs) == 1:
+        return rows.select("doc_id", "row", "n", "at", runs[0].alias("h"))
+    whole = [F.when(F.col("at") + size <= F.col("n"), h) for size, h in zip(sizes, runs, strict=True)]
+    return rows.select("doc_id", "row", "n", "at", F.explode(F.array_compact(F.array(*whole))).alias("h"))
+
+
 def _fingerprints(shingles: DataFrame, *key: str) -> DataFrame:
     """(key.., fp): the SimHash of each key's shingles (h, weight)."""
     bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(1)
@@ -121,9 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
 
     texts = docs.where("doc_id is not null").select("doc_id", _words(F.col("text")).alias("words"))
     texts = texts.withColumn("row", F.xxhash64("words"))
-    runs = F.concat(_shingles(F.col("words"), size), *[_shingles(F.col("words"), k) for k in short])
-    met = texts.select("doc_id", "row", F.size("words").alias("n"), F.explode(runs).alias("s")).select("doc_id", "row", "n", "s.at", "s.h")
-    hits = prefilter(met, "h", item_sets.select("h")).join(item_sets.select("h", "item", "length"), "h")
+    hits = prefilter(_placed(texts, [size, *reversed(short)]), "h", item_sets.select("h")).join(item_sets.select("h", "item", "length"), "h")
     windows = stage(_starts(hits, cfg), "windows")
     of_row = stage(windows.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length")).alias("w")), "of-row")
     cut = prefilter(texts, "row", of_row.select("row")).join(of_row, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
