@@ -33,6 +33,11 @@ GAPPY_VALUE = ["event_id", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END
 GAPPY_PRIORITY = ["o_orderkey", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority"]
 FEW_TS_GAPS = ["event_id", "CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS ts", "value"]
 MANY_TS_GAPS = ["event_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS ts"]
+#: few gaps (rows dropped), many (filled), few again, and a measure whose fill follows from the rows left.
+LEFT_TO_RIGHT = ["event_id", "CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS seen",
+                 "CASE WHEN event_id % 3 = 0 OR event_id % 40 IN (1, 2) THEN NULL ELSE ts END AS sent",
+                 "CASE WHEN event_id % 40 = 1 THEN NULL ELSE ts END AS done",
+                 "CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value"]
 DATE_TEXT = ["o_orderkey",
              "CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS o_orderdate"]
 ISO_TEXT = ["o_orderkey", "CASE WHEN o_orderkey % 9 = 0 THEN 'bad' ELSE concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T02:30:12.',"
@@ -86,6 +91,10 @@ def q_forward_fill(spark, sf):
     return impute(dirty(spark, sf, "events", MANY_TS_GAPS), order_by=["event_id"])[0]
 
 
+def q_impute_left_to_right(spark, sf):
+    return impute(dirty(spark, sf, "events", LEFT_TO_RIGHT), order_by=["event_id"])[0]
+
+
 def q_convert_dates(spark, sf):
     df = dirty(spark, sf, "orders", DATE_TEXT)
     fmts = sniff_date_columns(df)
@@ -186,6 +195,7 @@ QUERIES = {
     "impute_mode": q_impute_mode,
     "drop_missing_datetime": q_drop_missing_datetime,
     "forward_fill": q_forward_fill,
+    "impute_left_to_right": q_impute_left_to_right,
     "convert_dates": q_convert_dates,
     "convert_dates_iso": q_convert_dates_iso,
     "typed_from_text": q_typed_from_text,
@@ -326,6 +336,10 @@ SELECT o_orderkey, coalesce(o_orderpriority, m.v) AS o_orderpriority FROM t, m""
     "drop_missing_datetime": f"SELECT * FROM {sql_from('events', FEW_TS_GAPS)} WHERE ts IS NOT NULL",
     "forward_fill": f"""SELECT event_id, last_value(ts IGNORE NULLS) OVER (ORDER BY event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts FROM {sql_from('events', MANY_TS_GAPS)}""",
+    "impute_left_to_right": f"""WITH filled AS (SELECT event_id, seen, last_value(sent IGNORE NULLS) OVER (ORDER BY event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent, done, value FROM {sql_from('events', LEFT_TO_RIGHT)} WHERE seen IS NOT NULL)
+SELECT event_id, seen, sent, done, coalesce(value, CASE WHEN abs(skewness(value) OVER ()) > 1 THEN quantile_cont(value, 0.5) OVER ()
+  ELSE avg(value) OVER () END) AS value FROM filled WHERE done IS NOT NULL""",
     "convert_dates": f"SELECT o_orderkey, try_strptime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM {sql_from('orders', DATE_TEXT)}",
     "convert_dates_iso": f"""SELECT o_orderkey, try_strptime(with_zone, '%Y-%m-%dT%H:%M:%S.%fZ') AS with_zone,
   try_strptime(no_zone, '%Y-%m-%d %H:%M:%S.%f') AS no_zone FROM {sql_from('orders', ISO_TEXT)}""",
