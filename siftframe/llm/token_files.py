@@ -23,16 +23,19 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftframe.llm.bpe import _byte_letters
 from siftframe.llm.common import per_worker, shared_dir, small_batches, stage
+from siftframe.llm.tokens import buffers
 
 END_ID = 2
 SCALE = 20              # the frequencies of a table sum to 2**SCALE
@@ -42,9 +45,11 @@ LANES = 1024
 FEW_LANES = 32          # for blocks under FEW_TOKENS
 FEW_TOKENS = 1 << 14
 CHECKPOINT = 128        # steps between two checkpoints
-KNOWN_WORDS = 800_000   # words a worker remembers before it starts anew
+CHUNK_BYTES = 4_000_000  # text coded at once by a task
+KNOWN_WORDS = 600_000   # words of a generation that a worker remembers, of two generations
 KNOWN_LETTERS = 64      # longer words are not remembered
 MARKS = ".,;:!?*#&$%()"  # marks behind a word's letters that make one piece of their own
+LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
 # Fixed value: the pieces of the word vocabulary, as its file states them.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -82,8 +87,16 @@ class Table:
         return Table.of_shares(ids, share)
 
     def slots(self) -> np.ndarray:
-        """For each of the 2**SCALE values, the index of the id whose share holds it."""
-        return np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.share.astype(np.int64))
+        """For each of the 2**SCALE values, the id whose share holds it; of 16 bits where they are enough."""
+        narrow = np.uint16 if self.ids.max(initial=0) < 1 << 16 else np.uint32
+        return np.repeat(self.ids.astype(narrow), self.share.astype(np.int64))
+
+    @cached_property
+    def by_id(self) -> tuple[np.ndarray, np.ndarray]:
+        """Share and start of every number up to the largest id; 0 for those that are no ids."""
+        out = np.zeros((2, int(self.ids.max(initial=0)) + 1), U64)
+        out[0, self.ids], out[1, self.ids] = self.share, self.start
+        return out[0], out[1]
 
 
 @dataclass
@@ -100,27 +113,28 @@ def encode(values: np.ndarray, table: Table) -> Block:
     n = len(values)
     lanes = LANES if n >= FEW_TOKENS else FEW_LANES
     steps = -(-n // lanes)
-    at = np.searchsorted(table.ids, values)
-    share, start = table.share[at], table.start[at]
-    limit = share << U64(63 - SCALE)
+    share, start = (of[values] for of in table.by_id)
+    limit, gap = share << U64(63 - SCALE), U64(1 << SCALE) - share
     x = np.full(lanes, LOWEST, U64)
     streams: list[np.ndarray] = []
     states: list[bytes] = []
     places: list[int] = []
     written = 0
-    low, half, scale = U64(0xFFFFFFFF), U64(32), U64(SCALE)
+    half = U64(32)
     for step in range(steps - 1, -1, -1):
         lo, hi = step * lanes, min((step + 1) * lanes, n)
         now = x[: hi - lo]
-        over = now >= limit[lo:hi]
-        if over.any():
+        over = np.flatnonzero(now >= limit[lo:hi])
+        if len(over):
             out = now[over]
-            streams.append((out & low).astype("<u4"))
+            streams.append(out.astype("<u4"))  # the low half
             now[over] = out >> half
             written += len(out)
-        f = share[lo:hi]
-        whole = now // f
-        now[:] = (whole << scale) + (now - whole * f) + start[lo:hi]
+        # whole * 2**SCALE + (now - whole * share) + start
+        whole = now // share[lo:hi]
+        whole *= gap[lo:hi]
+        now += whole
+        now += start[lo:hi]
         if step % CHECKPOINT == 0:
             states.append(x.astype("<u8").tobytes())
             places.append(written)
@@ -135,14 +149,16 @@ def decode(block: Block, table: Table, slots: np.ndarray, first: int = 0, last:
     All stretches run side by side, each from its own checkpoint.
     """
     n, lanes = block.n, block.lanes
-    words = np.frombuffer(block.words, "<u4").astype(U64)
-    x = np.frombuffer(block.states, "<u8").reshape(-1, lanes)[first:last].astype(U64)
+    # states stay below 2**63, so signed numbers hold them and index without a cast
+    words = np.frombuffer(block.words, "<u4").astype(np.int64)
+    x = np.frombuffer(block.states, "<i8").reshape(-1, lanes)[first:last].astype(np.int64)
     place = np.frombuffer(block.places, "<i8")[first:last].copy()
+    share, start = (of.view(np.int64) for of in table.by_id)
     base = first * CHECKPOINT * lanes
     end = n if last is None else min(n, last * CHECKPOINT * lanes)
     out = np.empty(end - base, np.uint32)
     length = CHECKPOINT * lanes
-    mask, scale, half, lowest = U64((1 << SCALE) - 1), U64(SCALE), U64(32), U64(LOWEST)
+    mask = (1 << SCALE) - 1
     whole = (end - base) // length * length
     for full, lo, hi in ((True, 0, whole // length), (False, whole // length, len(x))):
         if lo == hi:
@@ -155,31 +171,66 @@ def decode(block: Block, table: Table, slots: np.ndarray, first: int = 0, last:
             now = state[:, : b - a]
             value = now & mask
             found = slots[value]
-            target[:, a:b] = table.ids[found]
-            now = table.share[found] * (now >> scale) + value - table.start[found]
-            under = now < lowest
-            counts = under.sum(1)
-            if counts.any():
+            target[:, a:b] = found
+            now = now >> SCALE
+            now *= share[found]
+            now += value
+            now -= start[found]
+            under = now < LOWEST
+            lacking = np.flatnonzero(under)
+            if len(lacking):
                 # the words of a stretch follow one another; its lanes take them in order
-                index = (np.cumsum(under, 1) - 1 + at[:, None])[under]
-                now[under] = (now[under] << half) | words[index]
+                counts = under.sum(1)
+                index = np.arange(len(lacking)) + np.repeat(at - np.cumsum(counts) + counts, counts)
+                flat = now.reshape(-1)
+                flat[lacking] = (flat[lacking] << 32) | words[index]
                 at += counts
             state[:, : b - a] = now
     return out
 
 
-class Words(dict):
+class Recent:
+    """Values by key of two generations of at most ``size`` keys: a full one ages, and the one before is given up.
+
+    A key asked for again moves to the newer generation; keys of more than
+    KNOWN_LETTERS letters are not remembered.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _value(self, key: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = make(key)
+        if len(key) <= KNOWN_LETTERS:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = found
+        return found
+
+    def values(self, keys: pa.Array, make: Callable[[str], bytes]) -> pa.Array:
+        """The values of ``keys``; those not remembered are made."""
+        keys = keys.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.new.get, keys))
+        return pa.array([self._value(k, make) if v is None else v for k, v in zip(keys, found, strict=True)], pa.binary())
+
+
+class Words:
     """Ids of texts by the tokenizers library, which sees each distinct word of a worker's texts once.
 
     Where the vocabulary's pieces hold no white space (``WORD_PIECES``), a text's
-    ids are those of what stands between its blanks and line breaks, one after
+    ids are those of what stands between its ASCII white space, one after
     another; a word of Latin letters and the marks behind it are two pieces, and
     the library's model takes the letters without its text steps, which change
     nothing but their case. Texts of other vocabularies go whole to the library.
+    Arrow cuts texts, tells words apart and lays their ids side by side, many
+    texts at a time; Python sees the distinct words of those.
     """
 
     def __init__(self, path: str, kind: str):
-        super().__init__()
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
@@ -190,44 +241,53 @@ class Words(dict):
         steps = (steps or {}).get("pretokenizers", [])
         self.by_word = bool(steps) and steps[0].get("pattern", {}).get("Regex") == WORD_PIECES
         self.model = self.library.model
-        self.stems: dict[str, bytes] = {}
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
+        self.known = Recent(KNOWN_WORDS)
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
-    def _stem(self, letters: str) -> bytes:
+    def stem(self, letters: str) -> bytes:
+        """Ids of lower-case Latin letters that are a piece."""
         plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
-        found = self._packed([t.id for t in self.model.tokenize(plain)])
-        if len(self.stems) >= KNOWN_WORDS:
-            self.stems.clear()
-        if len(letters) <= KNOWN_LETTERS:
-            self.stems[letters] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(MARKS)
-        if bare.isalpha() and (bare.isascii() or max(bare) <= "\u00ff"):
-            letters = bare.lower()
-            found = self.stems.get(letters) or self._stem(letters)
-            if len(bare) < len(word):
-                found += self[word[len(bare):]]
-        else:
-            found = self.whole(word)
-        if len(word) <= KNOWN_LETTERS:
-            self[word] = found
-        return found
+        return self._packed([t.id for t in self.model.tokenize(plain)])
 
     def whole(self, text: str) -> bytes:
         return self._packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def coded(self, text: str) -> bytes:
+    def _of_words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words, and the place of each word's ids in that array.
+
+        What goes whole to the library is never of Latin letters alone, so one memory serves both ways.
+        """
+        bare = pc.ascii_rtrim(words, characters=MARKS)
+        rest = pc.binary_length(pc.utf8_ltrim(bare, characters=LATIN)).to_numpy()
+        plain = (rest == 0) & (pc.binary_length(bare).to_numpy() > 0)
+        place = np.empty(len(words), np.int64)
+        place[plain], place[~plain] = np.arange(plain.sum()), np.arange(plain.sum(), len(words))
+        chosen = pa.array(plain)
+        stems = pc.utf8_lower(bare.filter(chosen)).dictionary_encode()
+        marks = pc.utf8_ltrim(words.filter(chosen), characters=LATIN).dictionary_encode()
+        of_stems = self.known.values(stems.dictionary, self.stem).take(stems.indices)
+        of_marks = self.known.values(marks.dictionary, self.whole).take(marks.indices)
+        of_others = self.known.values(words.filter(pa.array(~plain)), self.whole)
+        return pa.concat_arrays([pc.binary_join_element_wise(of_stems, of_marks, b""), of_others]), place
+
+    def coded(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Ids of each text (a null is empty), and ``end`` behind them."""
+        texts = texts.fill_null("")
         if not self.by_word:
-            return self.whole(text)
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return pa.array([self.whole(t) + end for t in texts.to_pylist()], pa.binary())
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        found, place = self._of_words(words.dictionary)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+        order = np.insert(place[words.indices.to_numpy()], ends, len(found))
+        laid = pa.concat_arrays([found, pa.array([end], pa.binary())]).take(pa.array(order))
+        data, offsets = buffers(laid)
+        cuts = offsets[np.concatenate(([0], ends + np.arange(1, len(texts) + 1)))].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
 
 
 def _words(path: str, kind: str) -> Words:
@@ -255,10 +315,21 @@ def token_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = _words(_path(path), kind), np.array([end_id], kind).tobytes()
+
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coded = words.coded(pa.concat_arrays([b.column("text") for b in held]), end)
+            doc_ids = pa.concat_arrays([b.column("doc_id").cast(pa.int64()) for b in held])
+            yield pa.RecordBatch.from_arrays([doc_ids, coded], names=["doc_id", "ids"])
+
+        held, size = [], 0
         for batch in batches:
-            coded = [words.coded(t or "") + end for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(coded, pa.binary())],
-                                             names=["doc_id", "ids"])
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= CHUNK_BYTES:
+                yield from done(held)
+                held, size = [], 0
+        if held:
+            yield from done(held)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -268,10 +339,9 @@ def frequencies(coded: DataFrame, kind: str) -> Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                more = np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=len(counts))
-                more[: len(counts)] += counts
-                counts = more
+            more = np.bincount(buffers(batch.column("ids"))[0].view(kind), minlength=len(counts))
+            more[: len(counts)] += counts
+            counts = more
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[found], pa.int64())], names=["id", "n"])
 

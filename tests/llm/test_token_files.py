@@ -5,11 +5,13 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftframe.llm import token_files
 from siftframe.llm.common import shared_dir
-from siftframe.llm.token_files import Table, decode, encode, read_range, read_tokens, round_trip, write_tokens
+from siftframe.llm.token_files import (
+    Recent, Table, Words, _path, decode, encode, read_range, read_tokens, round_trip, token_ids, write_tokens)
 
 from conftest_llm import frame
 
@@ -104,3 +106,58 @@ def test_query_on_the_given_table(spark, sf_small):
         assert got.pop(r.doc_id) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert not got
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_texts_of_a_chunk_have_the_librarys_ids(kind):
+    library = _library()
+    made = ["", None, " \n\t ", "Tree tree. TREE! treé*** ***tree", "a\tb\x0bc\x0cd\re\x1cf\x85g\xa0h i", "o" * 200 + "!",
+            "don't we'll it's", "µªº ßÄÖÜÿ ×÷", "x<|endoftext|>y <|startoftext|>", "1,234.5 a1b2", "...", "ﬁ İ é ?́"]
+    for texts in (made, made[::-1], [], [None], [" "], ["..."], ["1 2"]):
+        words = Words(_path(None), "<u2")
+        for chunk in (pa.array(texts, kind), pa.array(["before", *texts, "behind"], kind).slice(1, len(texts))):
+            got = [np.frombuffer(v, "<u2").tolist() for v in words.coded(chunk, b"\x02\x00").to_pylist()]
+            assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_python_sees_a_chunks_distinct_words_only(monkeypatch):
+    asked, made = [], []
+    monkeypatch.setattr(Recent, "values", lambda self, keys, make, f=Recent.values: asked.extend(keys.to_pylist()) or f(self, keys, make))
+    monkeypatch.setattr(Words, "stem", lambda self, letters, f=Words.stem: made.append(letters) or f(self, letters))
+    words = Words(_path(None), "<u2")
+    texts = pa.array(["Tree tree. TREE! tree*** 12"] * 300)
+    ids = words.coded(texts, b"").to_pylist()
+    assert len(set(ids)) == 1 and sorted(asked) == ["", "!", "***", ".", "12", "tree"] and made == ["tree"]
+    assert words.coded(texts, b"").to_pylist() == ids and made == ["tree"]
+
+
+def test_recent_words_stay_and_others_leave():
+    made = []
+    recent = Recent(3)
+
+    def make(key):
+        made.append(key)
+        return key.encode()
+
+    for keys in (["a", "b", "c"], ["a", "d"], ["a", "e"], ["f", "a"], ["g"], ["a"]):
+        assert recent.values(pa.array(keys), make).to_pylist() == [k.encode() for k in keys]
+        assert len(recent.new) <= 3 and len(recent.old) <= 3
+    assert made == ["a", "b", "c", "d", "e", "f", "g"]
+    assert recent.values(pa.array(["b", "x" * 65]), make).to_pylist() == [b"b", b"x" * 65] and made[7:] == ["b", "x" * 65]
+    assert "x" * 65 not in recent.new
+
+
+def test_chunks_of_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 5_000)
+    texts = [f"word{k} Word, words. {k}" * (k % 40) for k in range(700)]
+    rows = token_ids(frame(spark, [(k, t or None) for k, t in enumerate(texts)]).coalesce(1)).collect()
+    library = _library()
+    assert [r.doc_id for r in rows] == list(range(700))
+    assert all(np.frombuffer(bytes(r.ids), "<u2").tolist() == [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2] for r in rows)
+
+
+def test_coder_takes_ids_beyond_16_bits_and_of_few_tokens():
+    for ids, counts in (([70_000, 3, 131_072], [5, 1, 900_000]), ([9], [4])):
+        table = Table.of_counts(np.array(ids), np.array(counts))
+        values = np.random.default_rng(1).choice(np.array(ids, np.uint32), 40_000)
+        assert (decode(encode(values, table), table, table.slots()) == values).all()
